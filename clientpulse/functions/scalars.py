@@ -47,6 +47,6 @@ def hash_key(seed: int, *keys: str | Column) -> Column:
 
 
 def percent_text(col: str | Column) -> Column:
-    """A share as a whole percent, e.g. ``83%``."""
+    """A share as a whole percent, halves to the even side, e.g. ``83%``."""
     col = F.col(col) if isinstance(col, str) else col
-    return F.concat(F.round(col * 100).cast("int").cast("string"), F.lit("%"))
+    return F.concat(F.bround(col * 100).cast("int").cast("string"), F.lit("%"))
