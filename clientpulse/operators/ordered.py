@@ -3,12 +3,13 @@
 A plain window sends a whole group to one task. Where a group may hold a third of all rows (one client, one cluster,
 one feature, the whole table) these operators cut the sort order ``(group keys, order keys)`` into ranges instead:
 
-1. split points come from a bounded sample of keys (those with the smallest hashes, so every retry sees the same ones);
-2. each row finds its range by binary search in that one small array;
-3. windows run inside ``(range, group)``, and the few groups that contain a split point get their offsets from a table
-   with at most two rows per split point, which is why broadcasting it is safe at any data size.
+1. the rows are range-partitioned and written once to the shared folder together with their range number, so every
+   later step sees the same ranges and the input is computed once;
+2. windows run inside ``(range, group)``, which no group can overload;
+3. only the first and last group of a range can continue elsewhere. Their sums per range form a table of at most three
+   rows per range, which is why broadcasting it is safe at any data size.
 
-The split points only balance the work: any choice gives the same result.
+Where the ranges are cut only balances the work: any cut gives the same result.
 """
 
 from __future__ import annotations
@@ -19,49 +20,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from clientpulse.session import shuffle_width
+from clientpulse.session import materialize, shuffle_width
 
-OVERSAMPLE = 16
-_SPLITS, _RANGE, _CARRY = "__splits", "__range", "__carry"
+_RANGE, _CARRY = "__range", "__carry"
 
 
-def _key(by: Sequence[str], order: Sequence[str]) -> Column:
-    cols = list(by) + list(order)
-    return F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(cols)])
+def in_ranges(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows with their range number in ``(by, order)`` order, written once and read back."""
+    placed = df.repartitionByRange(shuffle_width(df.sparkSession), *by, *order)
+    return materialize(placed.withColumn(_RANGE, F.spark_partition_id()), "ranges")
 
 
-def with_ranges(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Add the range number of every row, and whether its group continues in another range (``__spans``)."""
-    pieces = shuffle_width(df.sparkSession)
-    key = _key(by, order)
-    sample = df.select(key.alias("k")).orderBy(F.xxhash64("k")).limit(pieces * OVERSAMPLE)
-    splits = sample.agg(F.sort_array(F.collect_list("k")).alias("s")).select(
-        F.filter("s", lambda x, i: (i + 1) % OVERSAMPLE == 0)
-    )
-    steps = [1 << p for p in range(pieces.bit_length(), -1, -1)]
-    found = F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda at, step: F.when(
-            (at + step <= F.size(_SPLITS)) & (F.get(_SPLITS, at + step - 1) < key), at + step
-        ).otherwise(at),
-    )
-    ranged = df.withColumn(_SPLITS, splits.scalar()).withColumn(_RANGE, found)
-
-    def same_group(position: Column) -> Column:
-        split = F.get(_SPLITS, position)
-        same = split.isNotNull()
-        for i, c in enumerate(by):
-            same = same & split[f"k{i}"].eqNullSafe(F.col(c))
-        return same
+def _pieces(ranged: DataFrame, by: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
+    """Aggregates per range and group, for the groups at the edge of a range."""
+    if not by:
+        return ranged.groupBy(_RANGE).agg(*aggs)
+    group = F.struct(*by)
+    edges = ranged.groupBy(_RANGE).agg(F.min(group).alias("lo"), F.max(group).alias("hi"))
+    keys = edges.select(F.explode(F.array("lo", "hi")).alias("edge")).distinct()
+    on = [F.col(c).eqNullSafe(F.col("edge")[c]) for c in by]
+    return ranged.join(F.broadcast(keys), on, "left_semi").groupBy(*by, _RANGE).agg(*aggs)
 
-    spans = same_group(F.col(_RANGE)) | ((F.col(_RANGE) > 0) & same_group(F.greatest(F.col(_RANGE) - 1, F.lit(0))))
-    return ranged.withColumn("__spans", spans).drop(_SPLITS)
 
-
-def _attach(ranged: DataFrame, by: Sequence[str], table: DataFrame) -> DataFrame:
+def _attach(ranged: DataFrame, by: Sequence[str], pieces: DataFrame) -> DataFrame:
     """Left join of the per-range carry table; group keys may be null."""
-    renamed = table.select(
+    renamed = pieces.select(
         F.col(_RANGE).alias("__r"), *[F.col(c).alias(f"__g{i}") for i, c in enumerate(by)], F.col(_CARRY)
     )
     on = F.col(_RANGE) == F.col("__r")
@@ -78,9 +61,8 @@ def running_totals(
     ``(by, order)`` should identify a row; measures should be whole numbers where exactness matters.
     Sums from the other end are ``all - run + own``.
     """
-    ranged = with_ranges(df, by, order)
-    sums = [F.sum(m).alias(m) for m in measures]
-    parts = ranged.filter("__spans").groupBy(*by, _RANGE).agg(*sums)
+    ranged = in_ranges(df, by, order)
+    parts = _pieces(ranged, by, [F.sum(m).alias(m) for m in measures])
     earlier = W.partitionBy(*by).orderBy(_RANGE).rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*by)
     carry = parts.select(
@@ -91,7 +73,6 @@ def running_totals(
             *[F.sum(m).over(whole).alias(f"{m}_total") for m in measures],
         ).alias(_CARRY),
     )
-    joined = _attach(ranged, by, carry)
     inside = W.partitionBy(_RANGE, *by)
     upto = inside.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     added = {
@@ -99,20 +80,20 @@ def running_totals(
     }
     if group_totals:
         added |= {f"{m}_all": F.coalesce(F.col(_CARRY)[f"{m}_total"], F.sum(m).over(inside)) for m in measures}
-    return joined.withColumns(added).drop(_CARRY, _RANGE, "__spans")
+    return _attach(ranged, by, carry).withColumns(added).drop(_CARRY, _RANGE)
 
 
 def previous_row(
     df: DataFrame, by: Sequence[str], order: Sequence[str], cols: Sequence[str], name: str = "previous"
 ) -> DataFrame:
     """Add a struct with ``cols`` of the row before this one in its group; null on the first row."""
-    ranged = with_ranges(df, by, order)
+    ranged = in_ranges(df, by, order)
     packed = F.struct(*cols)
-    last = ranged.filter("__spans").groupBy(*by, _RANGE).agg(F.max_by(packed, F.struct(*order)).alias("__last"))
+    last = _pieces(ranged, by, [F.max_by(packed, F.struct(*order)).alias("__last")])
     carry = last.select(*by, _RANGE, F.lag("__last").over(W.partitionBy(*by).orderBy(_RANGE)).alias(_CARRY))
     inside = W.partitionBy(_RANGE, *by).orderBy(*order)
     joined = _attach(ranged, by, carry).withColumn("__inside", F.lag(packed).over(inside))
-    return joined.withColumn(name, F.coalesce("__inside", _CARRY)).drop(_CARRY, _RANGE, "__spans", "__inside")
+    return joined.withColumn(name, F.coalesce("__inside", _CARRY)).drop(_CARRY, _RANGE, "__inside")
 
 
 def ranked(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "rank") -> DataFrame:
@@ -146,3 +127,21 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[st
     dist = distribution(df, by, value)
     aggs = quantile_columns(value, probs)
     return dist.groupBy(*by).agg(*aggs) if by else dist.agg(*aggs)
+
+
+def next_point(rows: DataFrame, points: DataFrame, at: str, cols: Sequence[str], name: str = "point") -> DataFrame:
+    """Add to each row a struct with ``cols`` of the first point whose ``at`` is not below the row's.
+
+    Rows and points are sorted together, so neither side has to fit anywhere as a whole.
+    """
+    packed = F.struct(*cols)
+    left = rows.select("*", F.lit(0).alias("__kind"), F.lit(None).cast(points.select(packed).schema[0].dataType).alias("__p"))
+    right = points.select(at, F.lit(1).alias("__kind"), packed.alias("__p"))
+    ranged = in_ranges(left.unionByName(right, allowMissingColumns=True), [], [at, "__kind"])
+    firsts = ranged.groupBy(_RANGE).agg(F.min_by("__p", F.when(F.col("__kind") == 1, F.col(at))).alias("__first"))
+    later = W.partitionBy(F.lit(1)).orderBy(F.desc(_RANGE)).rowsBetween(W.unboundedPreceding, -1)
+    carry = firsts.select(_RANGE, F.last("__first", ignorenulls=True).over(later).alias(_CARRY))
+    inside = W.partitionBy(_RANGE).orderBy(F.desc(at), F.desc("__kind")).rowsBetween(W.unboundedPreceding, 0)
+    joined = ranged.join(F.broadcast(carry), _RANGE, "left")
+    found = F.coalesce(F.last("__p", ignorenulls=True).over(inside), F.col(_CARRY))
+    return joined.withColumn(name, found).filter(F.col("__kind") == 0).drop("__kind", "__p", _CARRY, _RANGE)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clientpulse.functions.dates import is_day, is_night, period_start, shift_months
@@ -24,6 +24,7 @@ from clientpulse.operators.history import (
 )
 from clientpulse.operators.ordered import exact_quantiles, previous_row
 from clientpulse.operators.rollup import by_code, category_profile, top_code
+from clientpulse.session import materialize
 
 KEY = ["client_id", "mon"]
 # The three currency codes tracked one by one.
@@ -136,12 +137,15 @@ def dialog_months(dialog: DataFrame) -> DataFrame:
     )
 
 
-def first_last_drift(months: DataFrame) -> DataFrame:
-    """Distance from the first to the last vector of the month, in one aggregation instead of a join of two halves."""
+def drift_aggs() -> list[Column]:
+    """First and last vector of a group by time: aggregates, so no ranking and no join of two halves."""
     at = F.struct("event_time", "tie")
-    ends = months.groupBy(*KEY).agg(
-        F.min_by("embedding", at).alias("first_emb"), F.max_by("embedding", at).alias("last_emb")
-    )
+    return [F.min_by("embedding", at).alias("first_emb"), F.max_by("embedding", at).alias("last_emb")]
+
+
+def first_last_drift(months: DataFrame) -> DataFrame:
+    """Distance from the first to the last vector of the month."""
+    ends = months.groupBy(*KEY).agg(*drift_aggs())
     return ends.select(*KEY, euclidean("first_emb", "last_emb").alias("dialog_drift_m"))
 
 
@@ -157,21 +161,32 @@ def consecutive_distances(months: DataFrame) -> DataFrame:
     )
 
 
+def moments(value: str, prefix: str) -> list[Column]:
+    return [F.avg(value).alias(f"{prefix}_mean_m"), F.stddev(value).alias(f"{prefix}_std_m")]
+
+
+def median_of(df: DataFrame, value: str, prefix: str) -> DataFrame:
+    return exact_quantiles(df, KEY, value, {f"{prefix}_median_m": 0.5})
+
+
 def score_summary(df: DataFrame, value: str, prefix: str) -> DataFrame:
     """Mean, standard deviation and exact median of a derived score per client-month."""
-    moments = df.groupBy(*KEY).agg(F.avg(value).alias(f"{prefix}_mean_m"), F.stddev(value).alias(f"{prefix}_std_m"))
-    return moments.join(exact_quantiles(df, KEY, value, {f"{prefix}_median_m": 0.5}), KEY, "left")
+    return df.groupBy(*KEY).agg(*moments(value, prefix)).join(median_of(df, value, prefix), KEY, "left")
 
 
 def feats_dialog(dialog: DataFrame) -> DataFrame:
+    """Dialog features. The distances are written once: mean, spread and median all read that narrow table."""
     months = dialog_months(dialog)
-    counts = months.groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("dialog_cnt_m"), F.count_distinct("event_time").alias("dialog_days_active_m")
+    base = months.groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("dialog_cnt_m"),
+        F.count_distinct("event_time").alias("dialog_days_active_m"),
+        *moments("v_norm", "dialog_norm"),
+        *drift_aggs(),
     )
-    joined = (
-        counts.join(score_summary(months, "v_norm", "dialog_norm"), KEY, "left")
-        .join(first_last_drift(months), KEY, "left")
-        .join(score_summary(consecutive_distances(months), "cos_dist", "dialog_cos_dist"), KEY, "left")
+    base = base.withColumn("dialog_drift_m", euclidean("first_emb", "last_emb")).drop("first_emb", "last_emb")
+    distances = materialize(consecutive_distances(months), "distances")
+    joined = base.join(median_of(months, "v_norm", "dialog_norm"), KEY, "left").join(
+        score_summary(distances, "cos_dist", "dialog_cos_dist"), KEY, "left"
     )
     span = timeline("client_id", "mon")
     out = joined.withColumns(
