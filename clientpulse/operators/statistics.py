@@ -7,7 +7,7 @@ All features are scored together: one wide aggregation, or one aggregation over
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
@@ -16,7 +16,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import DoubleType, NumericType
 
 from clientpulse.operators.ordered import distribution, quantile_columns
 from clientpulse.session import materialize
@@ -154,14 +154,11 @@ def beta_tail(x: float, a: float, b: float) -> float:
     return front * total
 
 
-@F.pandas_udf("double")
-def f_tail(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+@F.pandas_udf(DoubleType())
+def f_tail(f: pd.Series, dfn: pd.Series, dfd: pd.Series) -> pd.Series:
     """P(F > f) for one result row per feature."""
-    for f, dfn, dfd in batches:
-        rows = [
-            None if pd.isna(v) else beta_tail(n2 / (n2 + n1 * v), n2 / 2.0, n1 / 2.0) for v, n1, n2 in zip(f, dfn, dfd)
-        ]
-        yield pd.Series(rows, dtype="float64")
+    rows = [None if pd.isna(v) else beta_tail(n2 / (n2 + n1 * v), n2 / 2.0, n1 / 2.0) for v, n1, n2 in zip(f, dfn, dfd)]
+    return pd.Series(rows, dtype="float64")
 
 
 def anova(df: DataFrame, target: str, cols: Sequence[str]) -> DataFrame:

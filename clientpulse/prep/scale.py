@@ -14,10 +14,16 @@ from clientpulse.prep.base import Fit, Fitted, Stage, column_aggregates, column_
 
 
 class ColumnPicker(Stage, Transformer, DefaultParamsReadable, DefaultParamsWritable):
-    """Keep the listed columns; a missing one is an error."""
+    """Keep the listed columns; a missing one is an error. Optional ones (a target) are kept where they exist."""
+
+    optionalCols = Param(Params._dummy(), "optionalCols", "kept if present", TypeConverters.toListString)
+
+    def _defaults(self) -> None:
+        self._setDefault(optionalCols=[])
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        return dataset.select(*self.columns())
+        extra = [c for c in self.getOrDefault("optionalCols") if c in dataset.columns]
+        return dataset.select(*self.columns(), *extra)
 
 
 class _Threshold(Stage):

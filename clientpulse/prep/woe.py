@@ -211,15 +211,15 @@ class WoeEncoder(Fit, _Woe):
             weights |= {(c, *m): w for members, w in final.items() for m in members}
         spark = df.sparkSession
         table = spark.createDataFrame(
-            [(f, v, s, w) for (f, v, s), w in weights.items()], "feature string, level string, slot int, woe double"
+            [(f, v, s, w) for (f, v, s), w in weights.items()], "in_feature string, level string, in_slot int, woe double"
         )
         # at most 2 / minShare + 1 rows per feature
         same = (
-            (pooled.feature == table.feature)
-            & group.eqNullSafe(table.level)
-            & pooled.slot.eqNullSafe(table.slot)
+            (F.col("feature") == F.col("in_feature"))
+            & group.eqNullSafe(F.col("level"))
+            & F.col("slot").eqNullSafe(F.col("in_slot"))
         )
-        mapping = pooled.join(F.broadcast(table), same).select(pooled.feature, "value", "woe")
+        mapping = pooled.join(F.broadcast(table), same).select("feature", "value", "woe")
         if pooled.count() <= INLINE_LEVELS:
             return [list(r) for r in mapping.collect()], ivs
         path = scratch_path(spark, "woe-levels")
