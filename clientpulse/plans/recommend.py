@@ -42,11 +42,21 @@ def positive_predictions(predictions: DataFrame) -> DataFrame:
     )
 
 
-def in_portfolio(positives: DataFrame, portfolio: DataFrame) -> DataFrame:
-    """Recommended pairs with the chat they belong to; ids are compared trimmed and in lower case."""
-    left = positives.withColumn("client_id", normal_id("client_id"))
-    right = portfolio.select(normal_id("client_id").alias("client_id"), F.col("chat_id").cast("long").alias("chat_id"))
-    return left.join(right, "client_id")
+def normalised(df: DataFrame) -> DataFrame:
+    """Client ids trimmed and in lower case."""
+    return df.withColumn("client_id", normal_id("client_id"))
+
+
+def owners(portfolio: DataFrame) -> DataFrame:
+    """Distinct ``client_id, chat_id`` with comparable ids."""
+    return normalised(portfolio).select("client_id", F.col("chat_id").cast("long").alias("chat_id")).distinct()
+
+
+def in_portfolio(positives: DataFrame, portfolio: DataFrame, chat_id: int | None = None) -> DataFrame:
+    """Recommended pairs with the chat they belong to, or those of one chat."""
+    mine = owners(portfolio)
+    mine = mine if chat_id is None else mine.filter(F.col("chat_id") == chat_id)
+    return normalised(positives).join(mine, "client_id")
 
 
 def _lines(line: Column) -> Column:
@@ -133,12 +143,12 @@ def general_text(reasons: DataFrame, names: DataFrame, k: int = 3) -> DataFrame:
     return rows.agg(F.concat(F.lit(f"{GENERAL_TITLE}\n\n"), body).alias("body"))
 
 
-def portfolio_messages(owned: DataFrame, size: int = CLIENTS_PER_MESSAGE) -> DataFrame:
+def portfolio_messages(positives: DataFrame, portfolio: DataFrame, size: int = CLIENTS_PER_MESSAGE) -> DataFrame:
     """``chat_id, part_no, body``: each chat's whole portfolio in messages of ``size`` clients.
 
     Positions come from a range-partitioned rank, so a chat with very many clients is split like any other.
     """
-    blocks = recommendation_blocks(owned).join(owned.select("client_id", "chat_id").distinct(), "client_id")
+    blocks = recommendation_blocks(normalised(positives)).join(owners(portfolio), "client_id")
     placed = ranked(blocks, ["chat_id"], ["client_id"], "place")
     paged = placed.withColumn("part_no", F.floor((F.col("place") - 1) / size).cast("int") + 1)
     listed = F.sort_array(F.collect_list(F.struct("client_id", "block")))
@@ -163,9 +173,7 @@ def resolve_scope(requests: DataFrame, portfolio: DataFrame) -> DataFrame:
     the chat), ``fallback`` (none does). Membership is tested on the portfolio itself.
     """
     asked = requested(requests)
-    owned = portfolio.select(
-        F.col("chat_id").cast("long").alias("owner"), normal_id("client_id").alias("client_id")
-    ).distinct()
+    owned = owners(portfolio).withColumnRenamed("chat_id", "owner")
     chats = owned.select("owner").distinct().withColumn("known", F.lit(True))
     named = asked.select("update_id", "chat_id", F.explode("asked").alias("client_id")).distinct()
     tested = named.join(
@@ -212,7 +220,7 @@ def answer(
     joined to the requests that need it.
     """
     scope = resolve_scope(requests, portfolio)
-    owned = in_portfolio(positives, portfolio)
+    positives = normalised(positives)
     ids = ["update_id", "chat_id"]
     whole, subset = F.col("outcome").isin("whole", "fallback"), F.col("outcome") == "subset"
     recs, why = F.array_contains("intents", "recs"), F.array_contains("intents", "razones")
@@ -223,7 +231,7 @@ def answer(
     chat_recs = (
         scope.filter(whole & recs)
         .select(*ids)
-        .join(portfolio_messages(owned), "chat_id", "left")
+        .join(portfolio_messages(positives, portfolio), "chat_id", "left")
         .select(*ids, F.lit(1).alias("section"), F.coalesce("part_no", F.lit(1)).alias("part_no"), F.coalesce("body", F.lit(NO_RECS)).alias("body"))
     )
     chat_reasons = scope.filter(whole & why).select(
@@ -244,8 +252,8 @@ def answer(
             nothing.select(*ids, F.lit(section).alias("section"), F.lit(1).alias("part_no"), F.lit(none).alias("body"))
         )
 
-    client_recs = per_client(1, recs, recommendation_blocks(owned), f"{RECS_TITLE}\n\n", NO_RECS)
-    client_reasons = per_client(2, why, personal_blocks(owned, reasons), "", NO_PERSONAL)
+    client_recs = per_client(1, recs, recommendation_blocks(positives), f"{RECS_TITLE}\n\n", NO_RECS)
+    client_reasons = per_client(2, why, personal_blocks(positives, reasons), "", NO_PERSONAL)
     out = notices
     for part in (chat_recs, chat_reasons, client_recs, client_reasons):
         out = out.unionByName(part)
