@@ -44,9 +44,13 @@ def rare_levels(levels: DataFrame, min_share: float) -> DataFrame:
     totals = levels.groupBy("feature").agg(F.sum("n").alias("total"))
     # one row per feature: bounded by the schema
     shared = levels.join(F.broadcast(totals), "feature").withColumn("rare", F.col("n") / F.col("total") < min_share)
+    none = F.lit(None).cast("int")
+    frequent = shared.filter(~F.col("rare")).select("feature", "value", "n", "bad", none.alias("slot"))
     rare = shared.filter("rare").withColumn("order", -F.col("n"))
-    run = materialize(running_totals(rare, ["feature"], ["order", "value"], ["n"], group_totals=False), "rare")
-    ends: dict[str, list[int]] = {}
+    if rare.isEmpty():
+        return frequent
+    pooled = materialize(running_totals(rare, ["feature"], ["order", "value"], ["n"], group_totals=False), "rare")
+    run, ends = pooled, {}
     while True:
         start = _per_feature({f: e[-1] for f, e in ends.items()}, 0)
         reached = (F.col("n_run") - start) / F.col("total") >= min_share
@@ -61,8 +65,6 @@ def rare_levels(levels: DataFrame, min_share: float) -> DataFrame:
     for f, e in ends.items():
         closed = sum((F.when(F.col("n_run") > at, 1).otherwise(0) for at in e), F.lit(0))
         slot = F.when(F.col("feature") == f, closed).otherwise(slot)
-    pooled = running_totals(rare, ["feature"], ["order", "value"], ["n"], group_totals=False)
-    frequent = shared.filter(~F.col("rare")).select("feature", "value", "n", "bad", F.lit(None).cast("int").alias("slot"))
     return frequent.unionByName(pooled.select("feature", "value", "n", "bad", slot.cast("int").alias("slot")))
 
 
