@@ -62,11 +62,8 @@ def _tag(rows: DataFrame, time_col: str, cuts: Column, part) -> DataFrame:
 
     ``cuts`` is the array of fold dates; ``part`` says whether the row is train, test or out (null) for a date.
     """
-    tagged = F.filter(
-        F.transform("__cuts", lambda d: F.struct(d.alias("fold"), part(F.col(time_col), d).alias("part"))),
-        lambda f: f["part"].isNotNull(),
-    )
-    return rows.withColumn("__cuts", cuts).select(*rows.columns, F.inline(tagged))
+    each = rows.withColumn("fold", F.explode(cuts))
+    return each.withColumn("part", part(F.col(time_col), F.col("fold"))).filter(F.col("part").isNotNull())
 
 
 def fold_dates(rows: DataFrame, time_col: str, freq: str, start: Column, end: Column) -> Column:

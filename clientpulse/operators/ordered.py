@@ -61,7 +61,13 @@ def running_totals(
     ``(by, order)`` should identify a row; measures should be whole numbers where exactness matters.
     Sums from the other end are ``all - run + own``.
     """
-    ranged = in_ranges(df, by, order)
+    return cumulate(in_ranges(df, by, order), by, order, measures, group_totals)
+
+
+def cumulate(
+    ranged: DataFrame, by: Sequence[str], order: Sequence[str], measures: Sequence[str], group_totals: bool = True
+) -> DataFrame:
+    """``running_totals`` over a table that ``in_ranges`` has already written."""
     parts = _pieces(ranged, by, [F.sum(m).alias(m) for m in measures])
     earlier = W.partitionBy(*by).orderBy(_RANGE).rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*by)
@@ -102,11 +108,16 @@ def ranked(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "
     return counted.withColumn(name, F.col(f"{name}_run")).drop(f"{name}_run")
 
 
-def distribution(df: DataFrame, by: Sequence[str], value: str, measures: dict[str, Column] | None = None) -> DataFrame:
-    """Distinct non-null values per group with their counts ``n`` (and further sums), cumulated in value order."""
+def value_table(df: DataFrame, by: Sequence[str], value: str, measures: dict[str, Column] | None = None) -> DataFrame:
+    """Distinct non-null values per group with their counts ``n`` (and further sums), written in ranges."""
     sums = {"n": F.count(F.lit(1)), **(measures or {})}
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(*[c.alias(k) for k, c in sums.items()])
-    return running_totals(counts, by, [value], list(sums))
+    return in_ranges(counts, by, [value])
+
+
+def distribution(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Distinct non-null values per group with their counts ``n``, cumulated in value order."""
+    return cumulate(value_table(df, by, value), by, [value], ["n"])
 
 
 def quantile_columns(value: str, probs: dict[str, float], n: str = "n") -> list[Column]:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, NumericType
 
-from clientpulse.operators.ordered import distribution, quantile_columns
+from clientpulse.operators.ordered import cumulate, distribution, quantile_columns, value_table
 from clientpulse.session import materialize
 
 AGGREGATES_PER_PASS = 300
@@ -215,11 +215,12 @@ def cramers_v(df: DataFrame, target: str, cols: Sequence[str]) -> DataFrame:
     )
 
 
-def quantile_edges(dist: DataFrame, bins: int, by: Sequence[str] = ("feature",)) -> DataFrame:
-    """Sorted, deduplicated quantile edges per feature from a ``distribution``."""
+def quantile_edges(counts: DataFrame, bins: int) -> DataFrame:
+    """Sorted, deduplicated quantile edges per feature from ``value_counts``."""
     names = {f"q{i}": i / bins for i in range(bins + 1)}
-    row = dist.groupBy(*by).agg(*quantile_columns("value", names))
-    return row.select(*by, F.array_sort(F.array_distinct(F.array(*names))).alias("edges"))
+    dist = cumulate(counts, ["feature"], ["value"], ["n"])
+    row = dist.groupBy("feature").agg(*quantile_columns("value", names))
+    return row.select("feature", F.array_sort(F.array_distinct(F.array(*names))).alias("edges"))
 
 
 def bin_index(value: str | Column, edges: str | Column) -> Column:
@@ -239,15 +240,15 @@ def equal_width_bin(value: str | Column, lo: Column, hi: Column, bins: int) -> C
 
 
 def value_counts(df: DataFrame, target: str, cols: Sequence[str]) -> DataFrame:
-    """Distinct values per numeric feature with counts and positives, cumulated, written once for several readers."""
+    """Distinct values per numeric feature with counts and positives, written once for several readers."""
     rows = long_view(df, cols, target).filter(F.col("target").isNotNull())
-    return materialize(distribution(rows, ["feature"], "value", {"bad": F.sum("target")}), "value-counts")
+    return value_table(rows, ["feature"], "value", {"bad": F.sum("target")})
 
 
-def binned_counts(dist: DataFrame, bins: int) -> DataFrame:
+def binned_counts(counts: DataFrame, bins: int) -> DataFrame:
     """``feature, bin, n, bad`` of quantile bins; edges are at most bins+1 numbers per feature, so they broadcast."""
-    edges = quantile_edges(dist, bins)
-    placed = dist.join(F.broadcast(edges), "feature").withColumn("bin", bin_index("value", "edges"))
+    edges = quantile_edges(counts, bins)
+    placed = counts.join(F.broadcast(edges), "feature").withColumn("bin", bin_index("value", "edges"))
     return placed.groupBy("feature", "bin").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
 
 
@@ -277,8 +278,7 @@ def information_value(
     """``feature, iv`` for all features, largest first; null where no bin has both classes."""
     parts = []
     if numeric:
-        dist = value_counts(df, target, numeric)
-        parts.append(binned_counts(dist, bins).select("feature", "n", "bad"))
+        parts.append(binned_counts(value_counts(df, target, numeric), bins).select("feature", "n", "bad"))
     if categorical:
         parts.append(level_counts(df, target, categorical).select("feature", "n", "bad"))
     counts = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

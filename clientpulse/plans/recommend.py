@@ -13,6 +13,7 @@ from clientpulse.functions.scalars import percent_text
 from clientpulse.functions.text import ids_in_text, normal_id, reply_ids, reply_intents
 from clientpulse.operators.ordered import ranked
 from clientpulse.plans.reasons import UP, global_reasons, top_global
+from clientpulse.session import materialize
 
 CLIENTS_PER_MESSAGE = 50
 # The wording of the messages.
@@ -148,7 +149,9 @@ def portfolio_messages(positives: DataFrame, portfolio: DataFrame, size: int = C
 
     Positions come from a range-partitioned rank, so a chat with very many clients is split like any other.
     """
-    blocks = recommendation_blocks(normalised(positives)).join(owners(portfolio), "client_id")
+    mine = owners(portfolio)
+    theirs = normalised(positives).join(mine.select("client_id").distinct(), "client_id", "left_semi")
+    blocks = recommendation_blocks(theirs).join(mine, "client_id")
     placed = ranked(blocks, ["chat_id"], ["client_id"], "place")
     paged = placed.withColumn("part_no", F.floor((F.col("place") - 1) / size).cast("int") + 1)
     listed = F.sort_array(F.collect_list(F.struct("client_id", "block")))
@@ -219,11 +222,15 @@ def answer(
     Section 0 is the notice, 1 the recommendations, 2 the reasons. Every text is built once per client or chat and
     joined to the requests that need it.
     """
-    scope = resolve_scope(requests, portfolio)
-    positives = normalised(positives)
+    scope = materialize(resolve_scope(requests, portfolio), "scope")
+    positives, reasons = normalised(positives), normalised(reasons)
     ids = ["update_id", "chat_id"]
     whole, subset = F.col("outcome").isin("whole", "fallback"), F.col("outcome") == "subset"
     recs, why = F.array_contains("intents", "recs"), F.array_contains("intents", "razones")
+    clients = scope.filter(subset).select(*ids, "intents", F.posexplode("inside").alias("i", "client_id"))
+    # texts are only built for the chats and clients somebody asked about
+    chats = owners(portfolio).join(scope.filter(whole & recs).select("chat_id").distinct(), "chat_id", "left_semi")
+    wanted = positives.join(clients.select("client_id").distinct(), "client_id", "left_semi")
 
     notices = scope.filter(F.col("notice").isNotNull()).select(
         *ids, F.lit(0).alias("section"), F.lit(1).alias("part_no"), F.col("notice").alias("body")
@@ -231,13 +238,17 @@ def answer(
     chat_recs = (
         scope.filter(whole & recs)
         .select(*ids)
-        .join(portfolio_messages(positives, portfolio), "chat_id", "left")
-        .select(*ids, F.lit(1).alias("section"), F.coalesce("part_no", F.lit(1)).alias("part_no"), F.coalesce("body", F.lit(NO_RECS)).alias("body"))
+        .join(portfolio_messages(positives, chats), "chat_id", "left")
+        .select(
+            *ids,
+            F.lit(1).alias("section"),
+            F.coalesce("part_no", F.lit(1)).alias("part_no"),
+            F.coalesce("body", F.lit(NO_RECS)).alias("body"),
+        )
     )
     chat_reasons = scope.filter(whole & why).select(
         *ids, F.lit(2).alias("section"), F.lit(1).alias("part_no"), general_text(reasons, names).scalar().alias("body")
     )
-    clients = scope.filter(subset).select(*ids, "intents", F.posexplode("inside").alias("i", "client_id"))
 
     def per_client(section: int, wanted: Column, blocks: DataFrame, title: str, none: str) -> DataFrame:
         found = clients.filter(wanted).join(blocks, "client_id", "left")
@@ -252,8 +263,8 @@ def answer(
             nothing.select(*ids, F.lit(section).alias("section"), F.lit(1).alias("part_no"), F.lit(none).alias("body"))
         )
 
-    client_recs = per_client(1, recs, recommendation_blocks(positives), f"{RECS_TITLE}\n\n", NO_RECS)
-    client_reasons = per_client(2, why, personal_blocks(positives, reasons), "", NO_PERSONAL)
+    client_recs = per_client(1, recs, recommendation_blocks(wanted), f"{RECS_TITLE}\n\n", NO_RECS)
+    client_reasons = per_client(2, why, personal_blocks(wanted, reasons), "", NO_PERSONAL)
     out = notices
     for part in (chat_recs, chat_reasons, client_recs, client_reasons):
         out = out.unionByName(part)
