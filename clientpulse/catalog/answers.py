@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from clientpulse.catalog.base import Query
 from clientpulse.catalog.modelling import CATEGORIES, FEATURES, KEY, trained
 from clientpulse.functions.text import reply_intents
+from clientpulse.operators.sampling import fraction_sample
 from clientpulse.plans import models as ML
 from clientpulse.plans import reasons as R
 from clientpulse.plans import recommend as RC
@@ -55,13 +57,10 @@ def _tree_rows(s, d, family):
     prepared = ML.prefix(model).transform(test_rows)
     classifier = model.stages[-1]
     scored = classifier.transform(prepared)
-    parts = R.tree_contributions(scored, [*KEY, "rawPrediction", "probability"], classifier, [*FEATURES, *CATEGORIES])
-    return parts
+    return R.tree_contributions(scored, [*KEY, "rawPrediction", "probability"], classifier, [*FEATURES, *CATEGORIES])
 
 
 def _forest_contributions(s, d):
-    from pyspark.ml.functions import vector_to_array
-
     rows = _tree_rows(s, d, "forest")
     total = F.aggregate("contribs", F.lit(0.0), lambda a, c: a + c["contribution"])
     return rows.select(
@@ -70,8 +69,6 @@ def _forest_contributions(s, d):
 
 
 def _boosted_contributions(s, d):
-    from pyspark.ml.functions import vector_to_array
-
     rows = _tree_rows(s, d, "boosted")
     total = F.aggregate("contribs", F.lit(0.0), lambda a, c: a + c["contribution"])
     return rows.select(
@@ -84,6 +81,17 @@ def _lookup(s, d):
     return sampled.withColumn("reasons", F.array_join("reasons", "; "))
 
 
+def _model_reasons(s, d):
+    """Reasons of a fitted forest for a twentieth of the clients it recommends product 1 to."""
+    model, test_rows = trained(s, d, "forest")
+    month = test_rows.agg(F.min("mon").alias("m")).scalar()
+    master = materialize(test_rows.filter(F.col("mon") == month), "month")
+    wanted = ML.score(master, model).filter("pred = 1").select("client_id", F.lit(1).alias("product_id"))
+    sampled = fraction_sample(wanted, ["client_id"], 0.05)
+    contribs = R.explain(sampled, master, {1: model}, [*FEATURES, *CATEGORIES], KEY)
+    return R.top_reasons(contribs).withColumn("reasons", F.array_join("reasons", "; "))
+
+
 def _completed(s, d):
     pairs, contribs = positives(s, d), pair_contribs(s, d)
     sampled = materialize(R.build_reasons(pairs, contribs, fraction=0.05), "sampled")
@@ -242,6 +250,7 @@ QUERIES = [
         f"""select p.client_id, product_id, reasons from (select * from positives where {SAMPLED}) p
             join {REASON_TEXT} r on p.client_id = r.client_id""",
     ),
+    Query("n3_model_reasons", "client_id:i mon:d product_id:i reasons:s", _model_reasons),
     Query(
         "n4_complete_reasons",
         "client_id:s product_id:i reasons:s",

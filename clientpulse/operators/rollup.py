@@ -66,15 +66,14 @@ def category_profile(df: DataFrame, key: Sequence[str], cats: dict[str, str]) ->
 
 
 def share_of_total(df: DataFrame, by: Sequence[str], measures: dict[str, Column]) -> DataFrame:
-    """Group sums and their share of the grand total.
+    """Group counts or sums and their share of the grand total (``pct_<measure>``).
 
-    The total is a second aggregate over the same input, read as a scalar subquery: no window over all rows.
+    The total adds up the groups and is read as a scalar subquery over the same aggregate: no window over all rows.
     """
     groups = df.groupBy(*by).agg(*[c.alias(n) for n, c in measures.items()])
-    totals = df.agg(F.struct(*[c.alias(n) for n, c in measures.items()]).alias("t")).scalar()
-    with_total = groups.withColumn("__t", totals)
+    totals = groups.agg(F.struct(*[F.sum(n).alias(n) for n in measures]).alias("t")).scalar()
     shares = {f"pct_{n}": F.try_divide(F.col(n), F.col("__t")[n]) for n in measures}
-    return with_total.withColumns(shares).drop("__t")
+    return groups.withColumn("__t", totals).withColumns(shares).drop("__t")
 
 
 def frequency(df: DataFrame, by: Sequence[str], name: str = "n") -> DataFrame:

@@ -45,7 +45,7 @@ def preprocessing(
     """Stages in order: select, cap outliers, fill categories, fill numbers, encode, signed log, scale."""
     numeric, categorical = list(numeric), list(categorical)
     return [
-        ColumnPicker(inputCols=[*ids, *numeric, *categorical], optionalCols=[target, "weight"]),
+        ColumnPicker(inputCols=[*ids, *numeric, *categorical], optionalCols=[target, "weight", "shown"]),
         OutlierCapper(inputCols=numeric, excludeCols=list(uncapped)),
         CategoryImputer(inputCols=categorical),
         NumericImputer(inputCols=numeric, strategy="median", addFlags=False),

@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel, RandomForestClassificationModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -96,11 +97,11 @@ def _walk(x: np.ndarray, trees: list[tuple], out: np.ndarray) -> np.ndarray:
     return out
 
 
-def tree_contributions(df: DataFrame, keys: Sequence[str], model, features: Sequence[str], raw: Sequence[str] = ()) -> DataFrame:
+def tree_contributions(df: DataFrame, keys: Sequence[str], model, features: Sequence[str]) -> DataFrame:
     """``keys, base, contribs`` of a forest (probability of class 1) or boosted model (margin).
 
     ``df`` holds the assembled ``features`` vector; base plus contributions is the model's score. The reported values
-    are those of ``raw`` columns when given (same order as ``features``), else the vector's.
+    come from an array column ``shown`` where there is one, else from the vector.
     """
     spark, features = df.sparkSession, list(features)
     nodes = tree_nodes(model, spark)
@@ -112,8 +113,8 @@ def tree_contributions(df: DataFrame, keys: Sequence[str], model, features: Sequ
         raise TypeError("a forest or boosted-tree classifier is needed")
     roots = nodes[nodes["node"] == 0].sort_values("tree")
     base = float((roots["value"].to_numpy() * weights).sum())
-    shown = [F.col(c).cast("double") for c in raw] if raw else None
-    rows = df.select(*keys, vector_to_array("features").alias("x"), *([F.array(*shown).alias("shown")] if shown else []))
+    shown = ["shown"] if "shown" in df.columns else []
+    rows = df.select(*keys, vector_to_array("features").alias("x"), *shown)
     rows = rows.withColumn("parts", F.transform("x", lambda _: F.lit(0.0)))
     schema = T.StructType(rows.schema.fields)
     for chunk in _node_chunks(nodes, weights):
@@ -132,16 +133,35 @@ def tree_contributions(df: DataFrame, keys: Sequence[str], model, features: Sequ
     return rows.select(*keys, F.lit(base).alias("base"), packed.alias("contribs"))
 
 
-def contributions(df: DataFrame, keys: Sequence[str], model, features: Sequence[str], raw: Sequence[str] = ()) -> DataFrame:
+def contributions(df: DataFrame, keys: Sequence[str], model, features: Sequence[str]) -> DataFrame:
     """Contributions of any of the three model families over an assembled ``features`` vector."""
     if not isinstance(model, LogisticRegressionModel):
-        return tree_contributions(df, keys, model, features, raw).drop("base")
+        return tree_contributions(df, keys, model, features).drop("base")
+    shown = ["shown"] if "shown" in df.columns else []
     names = [f"__x{i}" for i in range(len(features))]
     wide = df.withColumns({n: F.get(vector_to_array("features"), F.lit(i)) for i, n in enumerate(names)})
-    scored = linear_contributions(wide, [*keys, *raw], dict(zip(names, map(float, model.coefficients))))
-    at = [F.get("contribs", F.lit(i)) for i in range(len(features))]
-    values = [F.col(c) for c in raw] if raw else [p["value"] for p in at]
-    return scored.select(*keys, _packed(features, values, [p["contribution"] for p in at]).alias("contribs"))
+    scored = linear_contributions(wide, [*keys, *shown], dict(zip(names, map(float, model.coefficients))))
+    parts = [F.get("contribs", F.lit(i)) for i in range(len(features))]
+    values = [F.get("shown", F.lit(i)) if shown else p["value"] for i, p in enumerate(parts)]
+    return scored.select(*keys, _packed(features, values, [p["contribution"] for p in parts]).alias("contribs"))
+
+
+def explain(
+    wanted: DataFrame, master: DataFrame, models: dict[int, PipelineModel], features: Sequence[str], keys: Sequence[str]
+) -> DataFrame:
+    """``keys, product_id, contribs`` of the wanted (client, product) pairs, each by its product's own pipeline.
+
+    The values reported are the raw ones of the master table, not the encoded and scaled ones the model sees.
+    """
+    raw = F.array(*[F.col(f).try_cast("double") for f in features]).alias("shown")
+    out = None
+    for product, model in models.items():
+        clients = wanted.filter(F.col("product_id") == product).select("client_id").distinct()
+        rows = master.join(clients, "client_id", "left_semi").select("*", raw)
+        prepared = PipelineModel(model.stages[:-1]).transform(rows)
+        part = contributions(prepared, keys, model.stages[-1], features).withColumn("product_id", F.lit(product))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def top_reasons(contribs: DataFrame, k: int = 2) -> DataFrame:
