@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -164,19 +166,16 @@ def _inference(s, d):
     last = purchase.agg(F.max("mon").alias("m")).scalar()
     current = purchase.filter(F.col("mon") == last).select(*KEY)
     rows = materialize(M.join_features(current, FT.feats_purchase(purchase)), "current")
-    models = {}
-    for product, family in ((1, "logistic"), (3, "logistic"), (4, "logistic")):
-        model, _ = trained(s, d, family, product)
-        models[product] = (model, ML.THRESHOLDS[product])
-    return ML.batch_inference(rows, models)
+    fitted = ML.run_all({k: partial(trained, s, d, "logistic", k) for k in B.PRODUCTS})
+    return ML.batch_inference(rows, {k: (model, ML.THRESHOLDS[k]) for k, (model, _) in fitted.items()})
 
 
 def _quality(s, d):
     """Ranking quality of the three families on the test months."""
-    data, out = dataset(s, d), None
-    train_rows, test_rows = M.temporal_split(data)
-    for family, params in PARAMS.items():
-        model = ML.train(train_rows, stages(), family, "target", **params)
+    train_rows, test_rows = M.temporal_split(dataset(s, d))
+    jobs = {f: partial(ML.train, train_rows, stages(), f, "target", **p) for f, p in PARAMS.items()}
+    out = None
+    for family, model in ML.run_all(jobs).items():
         part = ML.score(test_rows, model).select(F.lit(family).alias("model"), "target", "prob")
         out = part if out is None else out.unionByName(part)
     return ranking_metrics(score_histogram(out, "target", "prob", ["model"]), ["model"])

@@ -19,7 +19,10 @@ def period_rollup(
     return keyed.groupBy(key, name).agg(*[c.alias(n) for n, c in aggs.items()])
 
 
-def distinct_counts(cols: dict[str, str | Column]) -> dict[str, Column]:
+def distinct_counts(cols: dict[str, str | Column], rsd: float | None = None) -> dict[str, Column]:
+    """Exact distinct counts, or sketches with the given relative error where an estimate is enough."""
+    if rsd is not None:
+        return {name: F.approx_count_distinct(c, rsd) for name, c in cols.items()}
     return {name: F.count_distinct(c) for name, c in cols.items()}
 
 

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from datetime import date
+from functools import partial, reduce
+from typing import Any
 
+from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 
 from clientpulse.operators.folds import MONTHS, calendar
 from clientpulse.operators.metrics import decide, ranking_metrics, score_histogram, threshold_metrics
@@ -70,6 +73,13 @@ def train(
     return Pipeline(stages=[*stages, classifier(family, target, seed, **params)]).fit(weighted)
 
 
+def run_all(jobs: Mapping[Any, Callable[[], Any]]) -> dict[Any, Any]:
+    """Run independent fits from a few threads, so that small ones share the cluster; results by key."""
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        pending = {key: pool.submit(inheritable_thread_target(job)) for key, job in jobs.items()}
+        return {key: result.result() for key, result in pending.items()}
+
+
 def prefix(model: PipelineModel) -> PipelineModel:
     """The fitted preprocessing without the classifier."""
     return PipelineModel(model.stages[:-1])
@@ -132,25 +142,19 @@ def search(
     freq: str = "monthly",
     last_folds: int | None = None,
 ) -> DataFrame:
-    """Mean F1 over expanding folds for seeded parameter draws: ``trial, params, mean_f1``, best first.
-
-    Fits are submitted from a few threads so that small folds share the cluster.
-    """
+    """Mean F1 over expanding folds for seeded parameter draws: ``trial, params, mean_f1``, best first."""
     spark, cuts = df.sparkSession, fold_cuts(df, time_col, freq, last_folds)
-    folds = [prepared_fold(df, time_col, cut, stages, freq) for cut in cuts]
+    folds = run_all({cut: partial(prepared_fold, df, time_col, cut, stages, freq) for cut in cuts})
     trials = draw(family, n_trials, seed)
 
-    def one(job: tuple[int, int]) -> tuple[int, float]:
-        trial, fold = job
-        params, (train_rows, test_rows) = trials[trial], folds[fold]
+    def one(trial: int, cut: date) -> float:
+        params, (train_rows, test_rows) = trials[trial], folds[cut]
         model = classifier(family, target, seed, **params).fit(balanced_weight(train_rows, target, params["weight_root"]))
         scored = score(test_rows, model, threshold)
-        f1 = threshold_metrics(scored, target, "pred").select("f1").first()["f1"]
-        return trial, f1
+        return threshold_metrics(scored, target, "pred").select("f1").first()["f1"]
 
-    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        results = list(pool.map(one, [(t, f) for t in range(len(trials)) for f in range(len(folds))]))
-    rows = [(t, str(sorted(trials[t].items())), f1) for t, f1 in results]
+    results = run_all({(t, cut): partial(one, t, cut) for t in range(n_trials) for cut in cuts})
+    rows = [(t, str(sorted(trials[t].items())), f1) for (t, _), f1 in results.items()]
     table = spark.createDataFrame(rows, "trial int, params string, f1 double")
     return table.groupBy("trial", "params").agg(F.avg("f1").alias("mean_f1")).orderBy(F.desc("mean_f1"), "trial")
 
@@ -166,20 +170,19 @@ def compare(
     seed: int = 42,
 ) -> DataFrame:
     """Brier, ROC AUC and PR AUC per rolling fold and family, all from one grouped metrics job."""
-    parts = []
-    for cut in fold_cuts(df, time_col, last=last_folds):
-        train_rows, test_rows = prepared_fold(df, time_col, cut, stages, span=span)
-        for family, params in families.items():
-            root = params.get("weight_root", 1)
-            model = classifier(family, target, seed, **params).fit(balanced_weight(train_rows, target, root))
-            parts.append(
-                score(test_rows, model).select(
-                    F.lit(cut).alias("fold"), F.lit(family).alias("model"), F.col(target).alias("y"), "prob"
-                )
-            )
-    scored = parts[0]
-    for part in parts[1:]:
-        scored = scored.unionByName(part)
+    cuts = fold_cuts(df, time_col, last=last_folds)
+    folds = run_all({cut: partial(prepared_fold, df, time_col, cut, stages, span=span) for cut in cuts})
+
+    def one(cut: date, family: str, params: dict) -> DataFrame:
+        train_rows, test_rows = folds[cut]
+        root = params.get("weight_root", 1)
+        model = classifier(family, target, seed, **params).fit(balanced_weight(train_rows, target, root))
+        return score(test_rows, model).select(
+            F.lit(cut).alias("fold"), F.lit(family).alias("model"), F.col(target).alias("y"), "prob"
+        )
+
+    parts = run_all({(cut, f): partial(one, cut, f, p) for cut in cuts for f, p in families.items()})
+    scored = reduce(DataFrame.unionByName, parts.values())
     by = ["fold", "model"]
     return ranking_metrics(score_histogram(scored, "y", "prob", by), by).select(
         *by, "pr_auc", "roc_auc", "brier_score_loss"
