@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from clientpulse.catalog.base import Query
 from clientpulse.operators import metrics as M
 from clientpulse.sources import bindings as B

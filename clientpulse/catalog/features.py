@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from clientpulse.catalog.base import Query
 from clientpulse.plans import features as FT
 from clientpulse.plans import master as M
