@@ -9,9 +9,43 @@ from pyspark.sql import functions as F
 
 from clientpulse.llm.bpe import token_digests
 from clientpulse.llm.exact_dedup import exact_groups
+from clientpulse.llm.jaccard_join import jaccard_groups
+from clientpulse.llm.language_id import document_rows, identify, page_rows
+from clientpulse.llm.language_model import score_documents
+from clientpulse.llm.ordinal import fit_on_labels, grade
 from clientpulse.llm.packing import pack
 from clientpulse.llm.substring_dedup import remove_passages
 from clientpulse.llm.texts import table
+from clientpulse.llm.warc import round_trip
+from clientpulse.llm.weighted_sampling import fingerprints
+
+
+def op1_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and pages together, so that priors rest on both; a page has the id -1 - page_id."""
+    docs = document_rows(table(spark, sf_dir, "documents"))
+    pages = page_rows(table(spark, sf_dir, "pages")).withColumn("id", -1 - F.col("id"))
+    found = identify(docs.unionByName(pages), docs.select("id", "text", F.col("declared").alias("label")))
+    return found.withColumnRenamed("id", "doc_id").withColumn("posterior", F.round("posterior", 9))
+
+
+def op2_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op3_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = round_trip(table(spark, sf_dir, "pages"))
+    return done.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return grade(docs, fit_on_labels(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
+    done = score_documents(table(spark, sf_dir, "documents"), remainder == 2)
+    return done.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +57,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.col("text").alias("kept_sha256"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "set_id")
+
+
 def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"))
 
@@ -34,6 +72,15 @@ def op10_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHITE, WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]+"
 
 ORACLES: dict[str, str] = {
+    "op3_warc_chain": """
+with t as (select page_id, encode(coalesce(html, '')) as payload, coalesce(html, '') as html from pages),
+k as (select page_id, octet_length(payload) as payload_bytes, sha1(html) as hex, max(page_id) over (partition by html) as top from t),
+bits as (select *, list_transform(range(0, 40), lambda i: lpad(bin(cast('0x' || substr(hex, i + 1, 1) as int)), 4, '0')) as b from k),
+text as (select *, list_aggregate(b, 'string_agg', '') as s from bits)
+select page_id, payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(0, 5), lambda j: cast(substr(s, cast(i * 5 + j + 1 as int), 1) as int) * cast(power(2, 4 - j) as int)))::int, 1)), 'string_agg', '') as payload_digest,
+       case when page_id = top then 'response' else 'revisit' end as record_type, case when page_id < top then top end as refers_to
+from text""",
     "op10_chunk_recipes": f"""
 with t as (select doc_id, coalesce(text, '') as text, regexp_replace(coalesce(text, ''), '{WHITE}', '', 'g') as bare from documents),
 k as (select *, first_value(doc_id) over (partition by bare order by length(text) desc, doc_id) as keep_id, count(*) over (partition by bare) as group_size from t)
@@ -51,5 +98,17 @@ from t left join lost using (doc_id)""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_best_fit_packing, op7_substring_dedup, op9_bpe_automaton, op10_chunk_recipes)
+    f.__name__: f
+    for f in (
+        op1_language_fusion,
+        op2_weighted_sampling,
+        op3_warc_chain,
+        op4_ordinal_quality,
+        op5_pitman_yor,
+        op6_best_fit_packing,
+        op7_substring_dedup,
+        op8_ngram_jaccard,
+        op9_bpe_automaton,
+        op10_chunk_recipes,
+    )
 }

@@ -175,3 +175,9 @@ def remove_passages(docs: DataFrame, size: int = WINDOW, digest: bool = False) -
     own = docs.withColumn("_part", F.pmod(F.coalesce("doc_id", F.lit(_NO_ID)), F.lit(parts)))
     schema = docs.withColumns({"_n_words": F.lit(0).cast("long"), "_n_removed": F.lit(0).cast("long")}).schema
     return own.groupBy("_part").cogroup(told.groupBy("_part")).applyInArrow(_kept(size, names, digest), schema)
+
+
+def drop_passages(docs: DataFrame) -> DataFrame:
+    """The documents with the text that stays, and n_chars brought up to it; no document goes."""
+    done = remove_passages(docs).drop("_n_words", "_n_removed")
+    return done.withColumn("n_chars", F.length("text").cast(done.schema["n_chars"].dataType)) if "n_chars" in done.columns else done

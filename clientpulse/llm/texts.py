@@ -74,7 +74,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijective scramble of 64-bit numbers."""
-    x = x + np.uint64((seed * 0x9E3779B97F4A7C15) % (1 << 64))
+    x = x + np.uint64((int(seed) * 0x9E3779B97F4A7C15) % (1 << 64))
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
