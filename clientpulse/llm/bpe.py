@@ -5,8 +5,8 @@ base symbol. Each merge (u, v) -> w adds one gadget: all u-arcs go to a copy of
 with a u-arc gets a w-arc to where v led. So all arcs of one token share a target at any time: a state is the last token read,
 its copies differ by what was removed when, and w starts from v's state of that time. ``has`` reads an arc off these tables by
 following the right part of the state's token and the left part of the arc's; answers are kept in a transition table.
-Encoding walks the word's bytes: a prefix has exactly one accepted token string, so each position holds one state and one back
-pointer. Decoding emits the labels of the arcs.
+Encoding follows arcs over the word's bytes; a prefix has exactly one accepted token string, so a place is entered with one state
+and, once found to lead nowhere, never again. Decoding emits the labels of the arcs.
 
 Letters are those of this machine's Unicode tables; code points that Unicode assigned only lately may split differently elsewhere.
 """
@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 END = "</w>"
+_SEPARATORS = regex.compile("[\x1c-\x1f]")
 _MISSING, START = -1, (1 << 20) - 1
 
 
@@ -96,35 +98,51 @@ class Automaton:
         return known
 
     def encode(self, word: bytes) -> list[int]:
-        """Ids of one word."""
+        """Ids of one word: arcs are tried from the longest on; a place from which no path ends is never entered again."""
         size = len(word)
         symbols = [*word[:-1], word[-1] + 256]
         trie, accepts, arcs = self.trie.get, self.accepts, self.arcs.get
-        reached, back = [_MISSING] * (size + 1), [(0, 0)] * (size + 1)
-        reached[0] = START
-        for at in range(size):
-            state = reached[at]
-            if state == _MISSING:
-                continue
-            node, row = 0, state << 20
+        at, state, out, closed = 0, START, [], bytearray(size + 1)
+        open_arcs: list[list[tuple[int, int]]] = []
+        came: list[tuple[int, int]] = []
+        while True:
+            found, node = [], 0
             for to in range(at, size):
                 node = trie(node << 9 | symbols[to])
                 if node is None:
                     break
-                token = accepts[node]
-                if token != _MISSING:
-                    arc = arcs(row | token)
-                    if arc or arc is None and self.has(state, token):
-                        reached[to + 1], back[to + 1] = token, (at, token)
-        out, at = [], size
-        while at:
-            at, token = back[at]
+                if accepts[node] != _MISSING:
+                    found.append((accepts[node], to + 1))
+            while True:
+                row = state << 20
+                while found:
+                    token, to = found.pop()
+                    if not closed[to]:
+                        arc = arcs(row | token)
+                        if arc or arc is None and self.has(state, token):
+                            break
+                else:
+                    if not came:
+                        return []
+                    closed[at] = 1
+                    at, state = came.pop()
+                    found = open_arcs.pop()
+                    out.pop()
+                    continue
+                break
             out.append(token)
-        return out[::-1]
+            if to == size:
+                return out
+            came.append((at, state))
+            open_arcs.append(found)
+            at, state = to, token
 
 
 class Encoder:
-    """Normalising, splitting and the automaton, as the vocabulary file prescribes; ``words`` keeps what frequent words gave."""
+    """Normalising, splitting and the automaton, as the vocabulary file prescribes.
+
+    No word crosses white space, so what a run of other characters gives is kept for the frequent runs, as bytes of its ids.
+    """
 
     _made: dict[str, Encoder] = {}
 
@@ -137,7 +155,9 @@ class Encoder:
         self.automaton.labels.update({i: t for t, i in self.special.items()})
         self.marks = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.words: dict[str, tuple[bytes, bytes]] = {}
+        self.words: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        self.spoken: dict[bytes, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -145,39 +165,59 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _word(self, word: str) -> tuple[bytes, bytes]:
-        ids = self.automaton.encode(word.encode())
-        return np.array(ids, "<u4").tobytes(), self.decode(ids).encode()
-
-    def decode(self, ids: list[int]) -> str:
-        labels = self.automaton.labels
-        return " ".join(labels[i] for i in ids)
-
-    def _plain(self, text: str) -> list[tuple[bytes, bytes]]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+    def _run(self, run: str) -> bytes:
+        """Ids of a run of characters without white space (or with it, which parts words)."""
+        text = run if run.isascii() else unicodedata.normalize("NFC", run).replace("Σ", "σ")
         known, out = self.words, []
         for word in self.split.findall(text.lower()):
             got = known.get(word)
             if got is None:
                 if len(known) >= CACHED_WORDS:
                     known.clear()
-                got = known[word] = self._word(word)
+                got = known[word] = array("I", self.automaton.encode(word.encode())).tobytes()
             out.append(got)
+        return b"".join(out)
+
+    def _plain(self, text: str) -> list[bytes]:
+        if _SEPARATORS.search(text):  # white space to str.split, but not to the vocabulary's pattern
+            return [self._run(text)]
+        runs = self.runs
+        parts = text.split()
+        out = list(map(runs.get, parts))
+        if None in out:
+            for i, part in enumerate(parts):
+                if out[i] is None:
+                    if len(runs) >= CACHED_WORDS:
+                        runs.clear()
+                    out[i] = runs[part] = self._run(part)
         return out
 
-    def encode(self, text: str) -> tuple[bytes, bytes]:
-        """Ids as little-endian unsigned 32-bit numbers, and the decoded text in UTF-8."""
+    def parts(self, text: str) -> list[bytes]:
+        """Ids as little-endian unsigned 32-bit numbers, by runs of characters."""
         if self.marks is None or "<|" not in text:
-            parts = self._plain(text)
-        else:
-            parts = []
-            for piece in self.marks.split(text):
-                if piece in self.special:
-                    parts.append((np.array([self.special[piece]], "<u4").tobytes(), piece.encode()))
-                elif piece:
-                    parts += self._plain(piece)
-        return b"".join([p[0] for p in parts]), b" ".join([p[1] for p in parts if p[0]])
+            return self._plain(text)
+        out = []
+        for piece in self.marks.split(text):
+            out += [array("I", [self.special[piece]]).tobytes()] if piece in self.special else self._plain(piece)
+        return out
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(self.parts(text))
+
+    def decode(self, ids: list[int]) -> str:
+        labels = self.automaton.labels
+        return " ".join([labels[i] for i in ids])
+
+    def _say(self, part: bytes) -> bytes:
+        if len(self.spoken) >= CACHED_WORDS:
+            self.spoken.clear()
+        said = self.spoken[part] = self.decode(np.frombuffer(part, "<u4").tolist()).encode()
+        return said
+
+    def decode_parts(self, parts: list[bytes]) -> bytes:
+        """What the ids of several runs decode to, in UTF-8."""
+        spoken = self.spoken.get
+        return b" ".join([spoken(p) or self._say(p) for p in parts if p])
 
 
 def _digests(path: str):
@@ -186,7 +226,8 @@ def _digests(path: str):
         for batch in batches:
             counts, ids, texts = [], [], []
             for text in batch.column("text"):
-                coded, decoded = encoder.encode(text.as_py() or "")
+                parts = encoder.parts(text.as_py() or "")
+                coded, decoded = b"".join(parts), encoder.decode_parts(parts)
                 counts.append(len(coded) // 4)
                 ids.append(hashlib.sha256(coded).hexdigest())
                 texts.append(hashlib.sha256(decoded).hexdigest())
@@ -199,7 +240,7 @@ def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
         for batch in batches:
-            coded = [np.frombuffer(encoder.encode(t.as_py() or "")[0], "<u4").tolist() for t in batch.column("text")]
+            coded = [np.frombuffer(encoder.encode(t.as_py() or ""), "<u4").tolist() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(coded, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return run

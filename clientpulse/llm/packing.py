@@ -83,7 +83,7 @@ def _pieces(path: str, capacity: int):
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                coded = encoder.encode(text.as_py() or "")[0] + closing
+                coded = encoder.encode(text.as_py() or "") + closing
                 serial += 1
                 for piece, start in enumerate(range(0, len(coded), 4 * capacity)):
                     part = coded[start : start + 4 * capacity]
