@@ -3,7 +3,7 @@
 A document's set is its distinct word shingles in one global order, rarest first by a count sketch of all documents. Equal sets become one
 class. Sets that reach the threshold share one of their first elements, so every class reports its first elements; each element names the smallest
 class that reports it, its pivot, and a class joins the buckets of its pivots: any two that share a first element meet in one bucket.
-In a bucket the sets stand in a trie of shared beginnings. Each set walks it, adding up the overlap with every shared segment once, and leaves
+Members without another of like size leave the bucket. In a bucket the sets stand in a trie of shared beginnings. Each set walks it, adding up the overlap with every shared segment once, and leaves
 a subtree when no length in it can still reach the threshold, or when all of it already belongs to the walker's group.
 
 Buckets over ``BLOCK`` shingles are cut into blocks that all hold the pivot. Whatever is then outside the bucket's largest group is compared
@@ -16,6 +16,7 @@ a null id is never the smallest unless alone. An empty table gives an empty resu
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -236,7 +237,8 @@ def jaccard_groups(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> Dat
     classes = materialize(classes.where("rep is not null").select("set_id", "rep", "n"), "classes")
     heads = texts.where("doc_id is not null").mapInArrow(_prefixes(size, sketch, least), "item long, set_id long")
     pivots = heads.groupBy("item").agg(F.min("set_id").alias("bucket"), F.max("set_id").alias("y")).where("bucket <> y").select("item", "bucket")
-    candidates = materialize(heads.join(pivots, "item").select("set_id", "bucket").distinct().join(classes, "set_id"), "candidates")
+    met = materialize(heads.join(pivots, "item").select("set_id", "bucket").distinct().join(classes, "set_id"), "met")
+    candidates = _of_like_size(met, least)
     sizes = candidates.groupBy("bucket").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     placed = candidates.join(sizes, "bucket")
     block = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
@@ -254,6 +256,18 @@ def jaccard_groups(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> Dat
     return out.select("doc_id", F.col("n").alias("n_shingles"), "set_id", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _of_like_size(met: DataFrame, least: int) -> DataFrame:
+    """The rows of a bucket that have another row there whose size lets the two be linked; most chance meetings end here.
+
+    Linked sizes differ by at most the threshold, so they stand in the same or in neighbouring powers of it.
+    """
+    level = F.floor(F.ln("n") / math.log(100 / least)).cast("int")
+    rows = met.withColumn("level", level)
+    near = rows.select("bucket", F.explode(F.array(*(F.col("level") + k for k in (-1, 0, 1)))).alias("level"))
+    enough = near.groupBy("bucket", "level").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    return materialize(rows.join(enough, ["bucket", "level"]).drop("level"), "candidates")
+
+
 def _across(texts: DataFrame, cut: DataFrame, roots: DataFrame, size: int, sketch: np.ndarray, least: int) -> DataFrame:
     """Links that only show between blocks of one bucket: whatever is outside the bucket's largest group against every block."""
     labelled = cut.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("root", "set_id")).drop("root")
