@@ -3,7 +3,8 @@
 A document's set is its distinct word shingles in one global order, rarest first by a count sketch of all documents. Equal sets become one
 class. Sets that reach the threshold share one of their first elements, so every class reports its first elements; each element names the smallest
 class that reports it, its pivot, and a class joins the buckets of its pivots: any two that share a first element meet in one bucket.
-Members without another of like size leave the bucket. In a bucket the sets stand in a trie of shared beginnings. Each set walks it, adding up the overlap with every shared segment once, and leaves
+Members without another of like size, or whose
+odd sketch differs from all others by more bits than a link allows, leave the bucket before any text moves. In a bucket the sets stand in a trie of shared beginnings. Each set walks it, adding up the overlap with every shared segment once, and leaves
 a subtree when no length in it can still reach the threshold, or when all of it already belongs to the walker's group.
 
 Buckets over ``BLOCK`` shingles are cut into blocks that all hold the pivot. Whatever is then outside the bucket's largest group is compared
@@ -29,6 +30,7 @@ from clientpulse.session import materialize
 
 SIZE, LEAST = 4, 85  # words of a shingle; percent
 SKETCH = 1 << 15
+SMALL = 200  # what a set of any size counts for in a block
 BLOCK = 600_000  # shingles of the sets that one trie holds, about
 
 
@@ -53,6 +55,19 @@ class Sets:
         self.row, self.items = row[fresh], hashes[fresh]
         self.first = np.searchsorted(self.row, np.arange(len(column) + 1))
 
+    def parities(self) -> list[bytes]:
+        """Odd sketch of each set: a bit per hash value, flipped by every element; two bits or more per element.
+
+        Two sketches differ in no more bits than their sets differ in elements. A bit's place is the hash's first digits, so a sketch
+        is halved by joining neighbours.
+        """
+        spread, out = mixed(self.items, 9), []
+        for low, high in zip(self.first[:-1].tolist(), self.first[1:].tolist(), strict=True):
+            bits = 64 << max(0, (2 * (high - low) - 1).bit_length() - 6)
+            flips = np.bincount((spread[low:high] >> np.uint64(65 - bits.bit_length())).astype(np.int64), minlength=bits)
+            out.append(np.packbits((flips & 1).astype(np.uint8)).tobytes())
+        return out
+
     def names(self) -> tuple[np.ndarray, np.ndarray]:
         """Two 64-bit names of each row's set."""
         out = []
@@ -88,7 +103,7 @@ def _classes(size: int, sketch: np.ndarray):
             sets = Sets(batch.column("text"), size, sketch)
             n = np.diff(sets.first)
             name, check = sets.names()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(name, mask=n == 0), pa.array(check)], ["doc_id", "n", "set_id", "other"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(name, mask=n == 0), pa.array(check), pa.array(sets.parities(), pa.binary())], ["doc_id", "n", "set_id", "other", "parity"])
 
     return run
 
@@ -230,16 +245,16 @@ def jaccard_groups(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> Dat
     """doc_id, n_shingles, set_id (class of equal sets), component_id."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = sketch_levels(texts, size)
-    members = materialize(texts.mapInArrow(_classes(size, sketch), "doc_id long, n long, set_id long, other long"), "members")
-    classes = members.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min("other").alias("x"), F.max("other").alias("y"))
+    members = materialize(texts.mapInArrow(_classes(size, sketch), "doc_id long, n long, set_id long, other long, parity binary"), "members")
+    classes = members.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min("other").alias("x"), F.max("other").alias("y"), F.first("parity").alias("parity"))
     if not classes.where("x <> y").isEmpty():
         raise ValueError("two different sets have the same 64-bit name; choose other seeds")
-    classes = materialize(classes.where("rep is not null").select("set_id", "rep", "n"), "classes")
+    classes = materialize(classes.where("rep is not null").select("set_id", "rep", "n", "parity"), "classes")
     heads = texts.where("doc_id is not null").mapInArrow(_prefixes(size, sketch, least), "item long, set_id long")
     pivots = heads.groupBy("item").agg(F.min("set_id").alias("bucket"), F.max("set_id").alias("y")).where("bucket <> y").select("item", "bucket")
-    met = materialize(heads.join(pivots, "item").select("set_id", "bucket").distinct().join(classes, "set_id"), "met")
-    candidates = _of_like_size(met, least)
-    sizes = candidates.groupBy("bucket").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    met = heads.join(pivots, "item").select("set_id", "bucket").distinct()
+    candidates = _promising(_of_like_size(met.join(classes.select("set_id", "rep", "n"), "set_id"), least), classes, least)
+    sizes = candidates.groupBy("bucket").agg(F.ceil(F.sum(F.col("n") + SMALL) / BLOCK).cast("int").alias("blocks"))
     placed = candidates.join(sizes, "bucket")
     block = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
     everywhere = F.when((F.col("set_id") == F.col("bucket")), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))
@@ -265,7 +280,54 @@ def _of_like_size(met: DataFrame, least: int) -> DataFrame:
     rows = met.withColumn("level", level)
     near = rows.select("bucket", F.explode(F.array(*(F.col("level") + k for k in (-1, 0, 1)))).alias("level"))
     enough = near.groupBy("bucket", "level").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    return materialize(rows.join(enough, ["bucket", "level"]).drop("level"), "candidates")
+    return materialize(rows.join(enough, ["bucket", "level"]).drop("level"), "met")
+
+
+def _paired(least: int):
+    def run(table: pa.Table) -> pa.Table:
+        """The rows of each (bucket, block) that differ from another one's sketch by no more bits than a link allows elements."""
+        kept = np.zeros(table.num_rows, bool)
+        sizes, raw = table.column("n").to_numpy(), table.column("parity").to_pylist()
+        members: dict[tuple, list[int]] = {}
+        for i, k in enumerate(zip(table.column("bucket").to_pylist(), table.column("block").to_pylist(), strict=True)):
+            members.setdefault(k, []).append(i)
+        for rows in members.values():
+            by_width: dict[int, list[int]] = {}
+            for i in rows:
+                by_width.setdefault(len(raw[i]), []).append(i)
+            for width, own in by_width.items():
+                more = by_width.get(2 * width, [])
+                sketch = np.frombuffer(b"".join(raw[i] for i in own), np.uint64).reshape(len(own), -1)
+                wide = np.frombuffer(b"".join(raw[i] for i in more), np.uint64).reshape(len(more), 2 * width // 8)
+                others = np.array(own + more)
+                both = np.concatenate([sketch, _halved(wide)]) if more else sketch
+                for i, one in enumerate(own):
+                    rest = both[i + 1 :]
+                    differ = np.bitwise_count(rest ^ sketch[i]).sum(1, dtype=np.int64)
+                    near = (100 + least) * differ <= (100 - least) * (sizes[others[i + 1 :]] + sizes[one])
+                    if near.any():
+                        kept[one] = True
+                        kept[others[i + 1 :][near]] = True
+        return table.select(["set_id", "bucket", "rep", "n"]).filter(pa.array(kept))
+
+    return run
+
+
+def _halved(wide: np.ndarray) -> np.ndarray:
+    bits = np.unpackbits(wide.view(np.uint8), axis=1)
+    return np.packbits(bits[:, ::2] ^ bits[:, 1::2], axis=1).view(np.uint64)
+
+
+def _promising(met: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """The rows of a bucket that may have a link there, by odd sketches; buckets of several blocks keep all theirs."""
+    sizes = met.groupBy("bucket").agg(F.ceil(F.sum(F.col("n") + SMALL) / BLOCK).cast("int").alias("blocks"))
+    rows = met.join(sizes, "bucket")
+    one = rows.where("blocks = 1").drop("blocks").join(classes.select("set_id", "parity"), "set_id").withColumn("block", F.lit(0))
+    slots = 4 * int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = one.withColumn("slot", F.pmod(F.xxhash64("bucket"), F.lit(slots)))
+    near = dealt.groupBy("slot").applyInArrow(_paired(least), "set_id long, bucket long, rep long, n long")
+    large = rows.where("blocks > 1").select("set_id", "bucket", "rep", "n")
+    return materialize(near.unionByName(large), "candidates")
 
 
 def _across(texts: DataFrame, cut: DataFrame, roots: DataFrame, size: int, sketch: np.ndarray, least: int) -> DataFrame:
@@ -275,7 +337,7 @@ def _across(texts: DataFrame, cut: DataFrame, roots: DataFrame, size: int, sketc
     counts = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
     largest = counts.groupBy("bucket").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
     outside = labelled.join(largest, "bucket").where("label <> main")
-    groups = outside.groupBy("bucket").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("parts"))
+    groups = outside.groupBy("bucket").agg(F.ceil(F.sum(F.col("n") + SMALL) / BLOCK).cast("int").alias("parts"))
     walkers = outside.join(groups, "bucket").select(
         "bucket", "set_id", "rep", "label", F.pmod(F.xxhash64("set_id", F.lit(1)), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own")
     )
