@@ -97,29 +97,22 @@ def sketch_levels(texts: DataFrame, size: int) -> np.ndarray:
     return np.ceil(2 * np.log2(counts + 1)).astype(np.int64)
 
 
-def _classes(size: int, sketch: np.ndarray):
+def _classes(size: int, sketch: np.ndarray, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row per document; ``heads`` are the first elements of a set, in one of a slice's rows that have that set and an id."""
         for batch in sliced(batches, "text"):
             sets = Sets(batch.column("text"), size, sketch)
             n = np.diff(sets.first)
             name, check = sets.names()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(name, mask=n == 0), pa.array(check), pa.array(sets.parities(), pa.binary())], ["doc_id", "n", "set_id", "other", "parity"])
-
-    return run
-
-
-def _prefixes(size: int, sketch: np.ndarray, least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
-            sets = Sets(batch.column("text"), size, sketch)
-            n = np.diff(sets.first)
-            name, _ = sets.names()
+            known = np.flatnonzero(batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False))
             once = np.zeros(len(n), bool)
-            once[np.unique(name, return_index=True)[1]] = True
-            reach = np.where(once, n - -(-least * n // 100) + 1, 0)
+            once[known[np.unique(name[known], return_index=True)[1]]] = True
+            reach = np.where(once & (n > 0), n - -(-least * n // 100) + 1, 0)
             place = np.arange(len(sets.items)) - sets.first[sets.row]
-            head = place < reach[sets.row]
-            yield pa.RecordBatch.from_arrays([pa.array(sets.items[head].astype(np.int64)), pa.array(name[sets.row[head]])], ["item", "set_id"])
+            items = sets.items[place < reach[sets.row]].astype(np.int64)
+            heads = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(reach)]).astype(np.int32)), pa.array(items))
+            columns = [batch.column("doc_id"), pa.array(n), pa.array(name, mask=n == 0), pa.array(check), pa.array(sets.parities(), pa.binary()), heads]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "set_id", "other", "parity", "heads"])
 
     return run
 
@@ -242,28 +235,31 @@ def _compared(texts: DataFrame, work: DataFrame, size: int, sketch: np.ndarray,
 
 
 def jaccard_groups(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> DataFrame:
-    """doc_id, n_shingles, set_id (class of equal sets), component_id."""
+    """doc_id, n_shingles, set_id (class of equal sets), component_id. ``least`` is 50 percent or more: odd sketches of linked sets are then at most a factor of two apart."""
+    if not 50 <= least <= 100:
+        raise ValueError("least must be from 50 to 100")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = sketch_levels(texts, size)
-    members = materialize(texts.mapInArrow(_classes(size, sketch), "doc_id long, n long, set_id long, other long, parity binary"), "members")
+    schema = "doc_id long, n long, set_id long, other long, parity binary, heads array<long>"
+    members = materialize(texts.mapInArrow(_classes(size, sketch, least), schema), "members")
     classes = members.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min("other").alias("x"), F.max("other").alias("y"), F.first("parity").alias("parity"))
     if not classes.where("x <> y").isEmpty():
         raise ValueError("two different sets have the same 64-bit name; choose other seeds")
     classes = materialize(classes.where("rep is not null").select("set_id", "rep", "n", "parity"), "classes")
-    heads = texts.where("doc_id is not null").mapInArrow(_prefixes(size, sketch, least), "item long, set_id long")
+    heads = members.select("set_id", F.explode("heads").alias("item"))
     pivots = heads.groupBy("item").agg(F.min("set_id").alias("bucket"), F.max("set_id").alias("y")).where("bucket <> y").select("item", "bucket")
     met = heads.join(pivots, "item").select("set_id", "bucket").distinct()
-    candidates = _promising(_of_like_size(met.join(classes.select("set_id", "rep", "n"), "set_id"), least), classes, least)
-    sizes = candidates.groupBy("bucket").agg(F.ceil(F.sum(F.col("n") + SMALL) / BLOCK).cast("int").alias("blocks"))
-    placed = candidates.join(sizes, "bucket")
-    block = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
-    everywhere = F.when((F.col("set_id") == F.col("bucket")), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))
+    rows = _of_like_size(met.join(classes.select("set_id", "rep", "n"), "set_id"), least)
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.sum(F.col("n") + SMALL) / BLOCK).cast("int").alias("blocks"))
+    placed = materialize(rows.join(sizes, "bucket"), "placed")
+    block = F.pmod(F.xxhash64("set_id"), F.col("blocks"))
+    everywhere = F.when((F.col("set_id") == F.col("bucket")), F.sequence(F.lit(0), F.col("blocks") - 1).cast("array<long>")).otherwise(F.array(block))
     first = placed.select("bucket", F.explode(everywhere).alias("block"), "set_id", "rep", F.lit(False).alias("walker"), F.col("set_id").alias("label"))
-    links = _compared(texts, first, size, sketch, least)
+    links = _compared(texts, _promising(first, classes, least), size, sketch, least)
     roots = components(links)
     cut = placed.where("blocks > 1")
     if not cut.isEmpty():
-        links = links.unionByName(_across(texts, cut, roots, size, sketch, least))
+        links = links.unionByName(_compared(texts, _promising(_across(cut, roots), classes, least), size, sketch, least))
         roots = components(links)
     joined = members.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     smallest = joined.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -285,30 +281,39 @@ def _of_like_size(met: DataFrame, least: int) -> DataFrame:
 
 def _paired(least: int):
     def run(table: pa.Table) -> pa.Table:
-        """The rows of each (bucket, block) that differ from another one's sketch by no more bits than a link allows elements."""
+        """The rows of each (bucket, block) that differ from another group's row by no more sketch bits than a link allows elements.
+
+        Where a block has walkers, only pairs with a walker count.
+        """
         kept = np.zeros(table.num_rows, bool)
-        sizes, raw = table.column("n").to_numpy(), table.column("parity").to_pylist()
+        sizes, walks, labels = (table.column(c).to_numpy() for c in ("n", "walker", "label"))
+        raw = table.column("parity").to_pylist()
         members: dict[tuple, list[int]] = {}
         for i, k in enumerate(zip(table.column("bucket").to_pylist(), table.column("block").to_pylist(), strict=True)):
             members.setdefault(k, []).append(i)
         for rows in members.values():
+            all_walk = not walks[rows].any()
             by_width: dict[int, list[int]] = {}
-            for i in rows:
+            for i in sorted(rows, key=lambda i: not walks[i]):
                 by_width.setdefault(len(raw[i]), []).append(i)
             for width, own in by_width.items():
                 more = by_width.get(2 * width, [])
-                sketch = np.frombuffer(b"".join(raw[i] for i in own), np.uint64).reshape(len(own), -1)
-                wide = np.frombuffer(b"".join(raw[i] for i in more), np.uint64).reshape(len(more), 2 * width // 8)
+                both = np.frombuffer(b"".join(raw[i] for i in own), np.uint64).reshape(len(own), -1)
+                if more:
+                    both = np.concatenate([both, _halved(np.frombuffer(b"".join(raw[i] for i in more), np.uint64).reshape(len(more), -1))])
                 others = np.array(own + more)
-                both = np.concatenate([sketch, _halved(wide)]) if more else sketch
+                wide_walkers = len(own) + int(walks[more].sum())
                 for i, one in enumerate(own):
-                    rest = both[i + 1 :]
-                    differ = np.bitwise_count(rest ^ sketch[i]).sum(1, dtype=np.int64)
-                    near = (100 + least) * differ <= (100 - least) * (sizes[others[i + 1 :]] + sizes[one])
+                    span = slice(i + 1, None) if all_walk or walks[one] else slice(len(own), wide_walkers)
+                    far = others[span]
+                    if not len(far):
+                        continue
+                    differ = np.bitwise_count(both[span] ^ both[i]).sum(1, dtype=np.int64)
+                    near = ((100 + least) * differ <= (100 - least) * (sizes[far] + sizes[one])) & (labels[far] != labels[one])
                     if near.any():
                         kept[one] = True
-                        kept[others[i + 1 :][near]] = True
-        return table.select(["set_id", "bucket", "rep", "n"]).filter(pa.array(kept))
+                        kept[far[near]] = True
+        return table.select(["bucket", "block", "set_id", "rep", "walker", "label"]).filter(pa.array(kept))
 
     return run
 
@@ -318,20 +323,16 @@ def _halved(wide: np.ndarray) -> np.ndarray:
     return np.packbits(bits[:, ::2] ^ bits[:, 1::2], axis=1).view(np.uint64)
 
 
-def _promising(met: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    """The rows of a bucket that may have a link there, by odd sketches; buckets of several blocks keep all theirs."""
-    sizes = met.groupBy("bucket").agg(F.ceil(F.sum(F.col("n") + SMALL) / BLOCK).cast("int").alias("blocks"))
-    rows = met.join(sizes, "bucket")
-    one = rows.where("blocks = 1").drop("blocks").join(classes.select("set_id", "parity"), "set_id").withColumn("block", F.lit(0))
-    slots = 4 * int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = one.withColumn("slot", F.pmod(F.xxhash64("bucket"), F.lit(slots)))
-    near = dealt.groupBy("slot").applyInArrow(_paired(least), "set_id long, bucket long, rep long, n long")
-    large = rows.where("blocks > 1").select("set_id", "bucket", "rep", "n")
-    return materialize(near.unionByName(large), "candidates")
+def _promising(work: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """The rows of ``work`` (bucket, block, set_id, rep, walker, label) that may have a link in their block, by odd sketches."""
+    slots = 4 * int(work.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = work.join(classes.select("set_id", "n", "parity"), "set_id").withColumn("slot", F.pmod(F.xxhash64("bucket", "block"), F.lit(slots)))
+    schema = "bucket long, block long, set_id long, rep long, walker boolean, label long"
+    return materialize(dealt.groupBy("slot").applyInArrow(_paired(least), schema), "candidates")
 
 
-def _across(texts: DataFrame, cut: DataFrame, roots: DataFrame, size: int, sketch: np.ndarray, least: int) -> DataFrame:
-    """Links that only show between blocks of one bucket: whatever is outside the bucket's largest group against every block."""
+def _across(cut: DataFrame, roots: DataFrame) -> DataFrame:
+    """What may link between blocks of one bucket: whatever is outside the bucket's largest group against every block."""
     labelled = cut.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("root", "set_id")).drop("root")
     labelled = materialize(labelled, "labelled")
     counts = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
@@ -345,8 +346,7 @@ def _across(texts: DataFrame, cut: DataFrame, roots: DataFrame, size: int, sketc
     rest = labelled.join(groups, "bucket").select("bucket", "set_id", "rep", "label", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), own.alias("own"))
     marked = walkers.withColumn("walker", F.lit(True)).unionByName(rest.withColumn("walker", F.lit(False)))
     once = marked.groupBy("bucket", "set_id", "rep", "label", "part", "own").agg(F.max("walker").alias("walker"))
-    work = once.select("bucket", F.shiftleft(F.col("part").cast("long"), 32).bitwiseOR(F.col("own").cast("long")).alias("block"), "set_id", "rep", "walker", "label")
-    return _compared(texts, work, size, sketch, least)
+    return once.select("bucket", F.shiftleft(F.col("part").cast("long"), 32).bitwiseOR(F.col("own").cast("long")).alias("block"), "set_id", "rep", "walker", "label")
 
 
 def drop_near(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> DataFrame:
