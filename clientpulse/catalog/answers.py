@@ -140,13 +140,19 @@ def _offsets(s, d):
 
 
 def _once(s, d):
+    """The requests delivered newest half first, then all of them again in later batches."""
     root = scratch_path(s, "once")
     rows = ST.usable(B.requests(s, d))
-    rows.unionByName(rows).write.mode("overwrite").parquet(f"{root}/in")
+    middle = rows.agg(F.avg(F.unix_micros("received_at"))).scalar()
+    for part in (rows.filter(F.unix_micros("received_at") > middle), rows, rows):
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+
+    def handle(batch, number):
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+
     query = (
-        ST.once(ST.read_requests(s, f"{root}/in"))
-        .writeStream.format("parquet")
-        .option("path", f"{root}/out")
+        ST.read_requests(s, f"{root}/in", files_per_trigger=1)
+        .writeStream.foreachBatch(ST.each_once(handle, f"{root}/answered"))
         .option("checkpointLocation", f"{root}/checkpoint")
         .trigger(availableNow=True)
         .start()

@@ -102,26 +102,48 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
 
 
 def _inflation(matrix: np.ndarray) -> np.ndarray:
-    """Diagonal of the inverse correlation matrix; perfectly collinear columns come out as infinity."""
-    try:
-        return np.diag(np.linalg.inv(matrix))
-    except np.linalg.LinAlgError:
-        return np.full(len(matrix), np.inf)
+    """1 / (1 - R²) of each column on the others: infinity for columns that others determine, whatever the rest does.
+
+    A column is determined where it has a part in the null space of the matrix; for the others the pseudo-inverse has the factor.
+    """
+    roots, vectors = np.linalg.eigh(matrix)
+    null = roots < 1e-10 * len(matrix)
+    factors = np.sum(vectors[:, ~null] ** 2 / roots[~null], axis=1)
+    return np.where(np.sum(vectors[:, null] ** 2, axis=1) > 1e-8, np.inf, factors)
+
+
+def _varying(df: DataFrame, cols: Sequence[str]) -> list[str]:
+    """The columns that are not constant, nulls counting as zero."""
+    ends = column_ends(df, cols)
+    return [c for c in cols if ends[c][0] != ends[c][1]]
+
+
+def column_ends(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple]:
+    """Smallest and largest value per column, nulls counting as zero."""
+    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols}
+    row = df.agg(*[F.struct(F.min(v), F.max(v)).alias(c) for c, v in filled.items()]).first()
+    return {c: tuple(row[c]) for c in cols}
 
 
 def vif(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Variance inflation factor per feature, largest first. Constant columns must be removed before."""
-    factors = _inflation(correlation_matrix(df, cols))
-    rows = sorted(zip(cols, map(float, factors)), key=lambda r: (-r[1], r[0]))
+    """Variance inflation factor per feature, largest first; constant columns have none and come last with null."""
+    varying = _varying(df, cols)
+    factors = _inflation(correlation_matrix(df, varying)) if varying else []
+    rows = sorted(zip(varying, map(float, factors)), key=lambda r: (-r[1], r[0]))
+    rows += [(c, None) for c in sorted(set(cols) - set(varying))]
     return df.sparkSession.createDataFrame(rows, "feature string, vif double")
 
 
 def vif_eliminate(df: DataFrame, cols: Sequence[str], limit: float = 5.0) -> DataFrame:
     """Drop the feature with the largest factor while any exceeds the limit.
 
-    The matrix is computed once; every later round works on a sub-matrix. Output: ``feature, vif, dropped_at``.
+    Constant columns go first, with a null factor. The matrix is computed once; every later round works on a sub-matrix.
+    Output: ``feature, vif, dropped_at``.
     """
-    matrix, left, rows = correlation_matrix(df, cols), list(range(len(cols))), []
+    varying = _varying(df, cols)
+    rows = [(c, None, at) for at, c in enumerate((c for c in cols if c not in varying), 1)]
+    cols, left = varying, list(range(len(varying)))
+    matrix = correlation_matrix(df, cols) if cols else None
     while left:
         factors = _inflation(matrix[np.ix_(left, left)])
         worst = int(np.argmax(factors))
@@ -164,22 +186,24 @@ def f_tail(f: pd.Series, dfn: pd.Series, dfd: pd.Series) -> pd.Series:
 def anova(df: DataFrame, target: str, cols: Sequence[str]) -> DataFrame:
     """One-way F test of each feature between target 0 and 1: ``feature, n, f, p_value``.
 
-    Group sizes, means and variances of all features come from one aggregation with a row per feature and class.
+    Group sizes, means and variances of all features come from one aggregation with a row per feature and class. Classes that
+    are each constant at different values are told apart perfectly: F is infinite and p zero.
     """
     rows = long_view(df, cols, target).filter(F.col("value").isNotNull() & F.col("target").isin(0, 1))
     groups = rows.groupBy("feature", "target").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("var")
+        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("var"),
+        F.min("value").alias("lo"), F.max("value").alias("hi"),
     )
     n0, n1 = (F.sum(F.when(F.col("target") == k, F.col("n")).otherwise(0)) for k in (0, 1))
     m0, m1 = (F.max(F.when(F.col("target") == k, F.col("mean"))) for k in (0, 1))
     joined = groups.groupBy("feature").agg(
-        n0.alias("n0"), n1.alias("n1"), m0.alias("m0"), m1.alias("m1"), F.sum(F.col("n") * F.col("var")).alias("within")
+        n0.alias("n0"), n1.alias("n1"), m0.alias("m0"), m1.alias("m1"), F.sum(F.col("n") * F.col("var")).alias("within"),
+        (F.bool_and(F.col("lo") == F.col("hi")) & (F.count(F.lit(1)) == 2) & (F.min("lo") < F.max("lo"))).alias("apart"),
     )
     n = F.col("n0") + F.col("n1")
     between = F.col("n0") * F.col("n1") / n * F.pow(F.col("m0") - F.col("m1"), F.lit(2))
-    scored = joined.select(
-        "feature", n.alias("n"), F.try_divide(between, F.try_divide(F.col("within"), n - 2)).alias("f")
-    )
+    ratio = F.try_divide(between, F.try_divide(F.col("within"), n - 2))
+    scored = joined.select("feature", n.alias("n"), F.when(F.col("apart"), F.lit(math.inf)).otherwise(ratio).alias("f"))
     return scored.withColumn("p_value", f_tail("f", F.lit(1.0), (F.col("n") - 2).cast("double")))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from clientpulse.operators.folds import MONTHS, calendar
 from clientpulse.operators.metrics import decide, ranking_metrics, score_histogram, threshold_metrics
 from clientpulse.operators.sampling import balanced_weight
-from clientpulse.prep import CategoryImputer, ColumnPicker, NumericImputer, OutlierCapper, Scaler, SignedLog, WoeEncoder
+from clientpulse.prep import CategoryImputer, ColumnPicker, FeatureMeans, NumericImputer, OutlierCapper, Scaler, SignedLog, WoeEncoder
 from clientpulse.session import materialize
 
 FAMILIES = {"forest": RandomForestClassifier, "boosted": GBTClassifier, "logistic": LogisticRegression}
@@ -70,7 +70,8 @@ def train(
 ) -> PipelineModel:
     """Preprocessing and classifier as one pipeline; positives weighted by (n0/n1)^(1/weight_root)."""
     weighted = balanced_weight(df, target, weight_root)
-    return Pipeline(stages=[*stages, classifier(family, target, seed, **params)]).fit(weighted)
+    baseline = [FeatureMeans()] if family == "logistic" else []
+    return Pipeline(stages=[*stages, *baseline, classifier(family, target, seed, **params)]).fit(weighted)
 
 
 def run_all(jobs: Mapping[Any, Callable[[], Any]]) -> dict[Any, Any]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clientpulse.operators.sampling import fraction_sample
+from clientpulse.prep import FeatureMeansModel
 from clientpulse.session import scratch_path
 
 # The direction marks of a reason.
@@ -32,10 +34,18 @@ def _packed(features: Sequence[str], values: Sequence[Column], parts: Sequence[C
     )
 
 
-def linear_contributions(df: DataFrame, keys: Sequence[str], weights: dict[str, float]) -> DataFrame:
-    """``keys, contribs`` with weight * (x - mean) per feature; they add up to the score minus the mean score."""
+def linear_contributions(
+    df: DataFrame, keys: Sequence[str], weights: dict[str, float], means: dict[str, float] | None = None
+) -> DataFrame:
+    """``keys, contribs`` with weight * (x - mean) per feature; they add up to the score minus the mean score.
+
+    Without given ``means``, those of ``df`` are used.
+    """
     features = list(weights)
-    means = df.agg(F.struct(*[F.avg(f).alias(f) for f in features]).alias("m")).scalar()
+    if means is None:
+        means = df.agg(F.struct(*[F.avg(f).alias(f) for f in features]).alias("m")).scalar()
+    else:
+        means = F.struct(*[F.lit(float(means[f])).alias(f) for f in features])
     with_means = df.withColumn("__m", means)
     parts = [F.lit(float(weights[f])) * (F.col(f) - F.col("__m")[f]) for f in features]
     return with_means.select(*keys, _packed(features, [F.col(f) for f in features], parts).alias("contribs"))
@@ -133,42 +143,55 @@ def tree_contributions(df: DataFrame, keys: Sequence[str], model, features: Sequ
     return rows.select(*keys, F.lit(base).alias("base"), packed.alias("contribs"))
 
 
-def contributions(df: DataFrame, keys: Sequence[str], model, features: Sequence[str]) -> DataFrame:
-    """Contributions of any of the three model families over an assembled ``features`` vector."""
+def contributions(
+    df: DataFrame, keys: Sequence[str], model, features: Sequence[str], means: Sequence[float] | None = None
+) -> DataFrame:
+    """Contributions of any of the three model families over an assembled ``features`` vector; ``means`` are a linear model's baseline."""
     if not isinstance(model, LogisticRegressionModel):
         return tree_contributions(df, keys, model, features).drop("base")
     shown = ["shown"] if "shown" in df.columns else []
     names = [f"__x{i}" for i in range(len(features))]
     wide = df.withColumns({n: F.get(vector_to_array("features"), F.lit(i)) for i, n in enumerate(names)})
-    scored = linear_contributions(wide, [*keys, *shown], dict(zip(names, map(float, model.coefficients))))
+    baseline = None if means is None else dict(zip(names, means, strict=True))
+    scored = linear_contributions(wide, [*keys, *shown], dict(zip(names, map(float, model.coefficients))), baseline)
     parts = [F.get("contribs", F.lit(i)) for i in range(len(features))]
     values = [F.get("shown", F.lit(i)) if shown else p["value"] for i, p in enumerate(parts)]
     return scored.select(*keys, _packed(features, values, [p["contribution"] for p in parts]).alias("contribs"))
 
 
 def explain(
-    wanted: DataFrame, master: DataFrame, models: dict[int, PipelineModel], features: Sequence[str], keys: Sequence[str]
+    wanted: DataFrame,
+    master: DataFrame,
+    models: dict[int, PipelineModel],
+    features: Sequence[str],
+    keys: Sequence[str],
+    time_col: str = "mon",
 ) -> DataFrame:
     """``keys, product_id, contribs`` of the wanted (client, product) pairs, each by its product's own pipeline.
 
-    The values reported are the raw ones of the master table, not the encoded and scaled ones the model sees.
+    Each client is explained at its latest month. The values reported are the raw ones of the master table, not the encoded and
+    scaled ones the model sees. A linear model's baseline is the training mean kept in its pipeline, so it does not depend on who asks.
     """
     raw = F.array(*[F.col(f).try_cast("double") for f in features]).alias("shown")
     out = None
     for product, model in models.items():
         clients = wanted.filter(F.col("product_id") == product).select("client_id").distinct()
-        rows = master.join(clients, "client_id", "left_semi").select("*", raw)
+        newest = F.row_number().over(W.partitionBy("client_id").orderBy(F.desc(time_col)))  # one row per client and month
+        rows = master.join(clients, "client_id", "left_semi").withColumn("__place", newest).filter("__place = 1").drop("__place").select("*", raw)
         prepared = PipelineModel(model.stages[:-1]).transform(rows)
-        part = contributions(prepared, keys, model.stages[-1], features).withColumn("product_id", F.lit(product))
+        means = next((s.values["means"] for s in model.stages if isinstance(s, FeatureMeansModel)), None)
+        if means is None and isinstance(model.stages[-1], LogisticRegressionModel):
+            raise ValueError("the pipeline keeps no training means; fit it with models.train")
+        part = contributions(prepared, keys, model.stages[-1], features, means).withColumn("product_id", F.lit(product))
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def top_reasons(contribs: DataFrame, k: int = 2) -> DataFrame:
-    """The ``k`` features with the largest absolute contribution as text, inside the row and without a shuffle."""
+    """The ``k`` features with the largest absolute contribution as text, inside the row and without a shuffle; null ones come last."""
     ordered = F.sort_array(
         F.transform(
-            "contribs", lambda c: F.struct((-F.abs(c["contribution"])).alias("size"), c["feature"].alias("feature"), c.alias("c"))
+            "contribs", lambda c: F.struct(F.coalesce(-F.abs(c["contribution"]), F.lit(math.inf)).alias("size"), c["feature"].alias("feature"), c.alias("c"))
         )
     )
     mark = lambda c: F.when(c["contribution"] > 0, UP).otherwise(DOWN)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from clientpulse.functions.dates import period_start
 from clientpulse.operators.history import lookahead_max, timeline, trailing
-from clientpulse.operators.sampling import fraction_sample, stratified_sample
+from clientpulse.operators.sampling import stratified_sample
 from clientpulse.prep import Scaler, SignedLog
 from clientpulse.session import materialize
 
@@ -66,13 +66,13 @@ def by_class(df: DataFrame, flag: str = "ind_any_purchase") -> tuple[DataFrame,
 
 
 def reduced(
-    df: DataFrame, cols: Sequence[str] = STRATA_FEATURES, k: int = 3, fraction: float = 0.05, seed: int = 42
+    df: DataFrame, cols: Sequence[str] = STRATA_FEATURES, k: int = 3
 ) -> DataFrame:
-    """Signed log, standard scale, nulls to 0, then ``k`` principal components fitted on a sample of the rows."""
+    """Signed log, standard scale, nulls to 0, then ``k`` principal components fitted on all rows."""
     cols = list(cols)
     tidy = Pipeline(stages=[SignedLog(inputCols=cols), Scaler(inputCols=cols, kind="standard")]).fit(df)
     vectors = VectorAssembler(inputCols=cols, outputCol="v").transform(tidy.transform(df).na.fill(0.0, cols))
-    pca = PCA(k=k, inputCol="v", outputCol="components").fit(fraction_sample(vectors, KEY, fraction, seed))
+    pca = PCA(k=k, inputCol="v", outputCol="components").fit(vectors)
     return pca.transform(vectors).drop("v")
 
 

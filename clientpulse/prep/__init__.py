@@ -4,6 +4,7 @@ Fitting is aggregation that leaves a small table of numbers; transforming is col
 """
 
 from clientpulse.prep.impute import CategoryImputer, CategoryImputerModel, NumericImputer, NumericImputerModel
+from clientpulse.prep.means import FeatureMeans, FeatureMeansModel
 from clientpulse.prep.outliers import OutlierCapper, OutlierCapperModel
 from clientpulse.prep.scale import ColumnPicker, Scaler, ScalerModel, SignedLog, SignedLogModel
 from clientpulse.prep.woe import WoeEncoder, WoeEncoderModel
@@ -12,6 +13,8 @@ __all__ = [
     "CategoryImputer",
     "CategoryImputerModel",
     "ColumnPicker",
+    "FeatureMeans",
+    "FeatureMeansModel",
     "NumericImputer",
     "NumericImputerModel",
     "OutlierCapper",

@@ -113,6 +113,8 @@ class NumericImputer(Fit, _Numeric):
         strategy = self.getOrDefault("strategy")
         if strategy not in ("mean", "median", "random"):
             raise ValueError("strategy must be mean, median or random")
+        if strategy == "random" and not self.getOrDefault("keyCols"):
+            raise ValueError("a random draw needs keyCols; without them all missing values of a column would get the same one")
         if not cols:
             return {}
         nulls, flags = _null_counts(df, cols), self.getOrDefault("addFlags")

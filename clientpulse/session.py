@@ -54,6 +54,6 @@ def materialize(df, name: str):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def shuffle_width(spark: SparkSession, ceiling: int = 1024) -> int:
-    """How many ranges a globally ordered computation is cut into."""
-    return max(2, min(int(spark.conf.get("spark.sql.shuffle.partitions")), ceiling))
+def shuffle_width(spark: SparkSession) -> int:
+    """How many ranges a globally ordered computation is cut into: the cluster's own partition count."""
+    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
