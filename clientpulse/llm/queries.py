@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clientpulse.llm.bpe import token_digests
+from clientpulse.llm.collocations import mine_phrases
 from clientpulse.llm.exact_dedup import exact_groups
 from clientpulse.llm.jaccard_join import jaccard_groups
 from clientpulse.llm.language_id import document_rows, identify, page_rows
 from clientpulse.llm.language_model import score_documents
+from clientpulse.llm.lexical_search import build_index, search
 from clientpulse.llm.ordinal import fit_on_labels, grade
 from clientpulse.llm.packing import pack
 from clientpulse.llm.substring_dedup import remove_passages
 from clientpulse.llm.texts import table
+from clientpulse.llm.token_counts import over_budget, prefix_counts
 from clientpulse.llm.warc import round_trip
 from clientpulse.llm.weighted_sampling import fingerprints
 
@@ -69,6 +72,20 @@ def op10_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = over_budget(prefix_counts(table(spark, sf_dir, "documents")))
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit", "prefix_steps")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = build_index(table(spark, sf_dir, "documents"))
+    return search(spark, index, table(spark, sf_dir, "benchmark"))
+
+
 WHITE, WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]+"
 
 ORACLES: dict[str, str] = {
@@ -95,6 +112,43 @@ lost as (select doc_id, list(p) as lost from gone group by doc_id)
 select t.doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(len(lost), 0) as bigint) as n_removed,
        sha256(coalesce(array_to_string(list_filter(words, lambda x, i: not coalesce(list_contains(lost, i), false)), ' '), '')) as kept_sha256
 from t left join lost using (doc_id)""",
+    "op12_collocations": r"""
+with pieces as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from pieces),
+starts as (select lang, ws, unnest(range(1, len(ws) + 1)) as i from w),
+grams as (select lang, cast(k as int) as k, array_to_string(list_slice(ws, i, i + k - 1), ' ') as phrase
+          from starts, (select unnest(range(1, 6)) as k) where i + k - 1 <= len(ws)),
+totals as (select lang, count(*) as n from grams where k = 1 group by lang),
+f as (select lang, k, phrase, count(*) as f from grams group by all having count(*) >= 100),
+cuts as (select lang, k, phrase, f as a, string_split(phrase, ' ') as ws, unnest(range(1, k)) as c from f where k > 1),
+parts as (select cuts.lang, cuts.k, cuts.phrase, a, c, h.f as l, t.f as r, n,
+            (1000::hugeint * a * n) // (h.f::hugeint * t.f) as score
+          from cuts join f h on h.lang = cuts.lang and h.phrase = array_to_string(ws[1:c], ' ')
+          join f t on t.lang = cuts.lang and t.phrase = array_to_string(ws[c + 1:], ' ') join totals on totals.lang = cuts.lang),
+best as (select * from parts qualify row_number() over (partition by lang, phrase order by score, c) = 1),
+absorbed as (select lang, phrase, max(a) as longer from (
+  select lang, array_to_string(ws[:-2], ' ') as phrase, a from (select distinct lang, ws, a, k from cuts) where k > 2 union all
+  select lang, array_to_string(ws[2:], ' '), a from (select distinct lang, ws, a, k from cuts) where k > 2) group by all),
+kept as (select best.* from best left join absorbed using (lang, phrase) where longer is null or longer < a)
+select lang, cast(row_number() over (partition by lang order by score desc, a desc, phrase) as bigint) as rank, phrase,
+       cast(a as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r, cast(n as bigint) as n, cast(score as bigint) as score
+from kept qualify rank <= 2000""",
+    "op13_lexical_search": r"""
+with lower_docs as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+d as (select doc_id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from lower_docs),
+q as (select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+lens as (select doc_id, count(*) as n from d group by doc_id),
+sizes as (select count(*) as n_docs, cast(sum(n) as bigint) as n_terms from lens),
+m as (select doc_id, 75 + (25 * n * n_docs) // n_terms as m from lens, sizes),
+tf as (select term, doc_id, count(*) as tf from d where term in (select term from q) group by all),
+w as (select term, cast(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) as bigint) as w from tf, sizes group by term, n_docs),
+asked as (select item_id, term, count(*) as times from q group by all),
+scores as (select item_id, doc_id, cast(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) as bigint) as score
+           from asked join tf using (term) join w using (term) join m using (doc_id) group by all)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank, doc_id, score
+from scores where score > 0 qualify rank <= 20""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -110,5 +164,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_ngram_jaccard,
         op9_bpe_automaton,
         op10_chunk_recipes,
+        op11_token_counts,
+        op12_collocations,
+        op13_lexical_search,
     )
 }
