@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clientpulse.catalog.base import Query
-from clientpulse.catalog.modelling import CATEGORIES, FEATURES, KEY, trained
+from clientpulse.catalog.modelling import CATEGORIES, FEATURES, KEY, TEST_ROWS, chosen, features, trained
 from clientpulse.functions.text import reply_intents
 from clientpulse.operators.sampling import fraction_sample
+from clientpulse.plans import master as M
 from clientpulse.plans import models as ML
+from clientpulse.plans import reason_store as RS
 from clientpulse.plans import reasons as R
 from clientpulse.plans import recommend as RC
+from clientpulse.plans import target as T
 from clientpulse.session import materialize, scratch_path
 from clientpulse.sources import bindings as B
 from clientpulse.streaming import requests as ST
@@ -57,7 +61,7 @@ def _tree_rows(s, d, family):
     prepared = ML.prefix(model).transform(test_rows)
     classifier = model.stages[-1]
     scored = classifier.transform(prepared)
-    return R.tree_contributions(scored, [*KEY, "rawPrediction", "probability"], classifier, [*FEATURES, *CATEGORIES])
+    return R.tree_contributions(scored, [*KEY, "rawPrediction", "probability"], classifier, ML.feature_names(model))
 
 
 def _forest_contributions(s, d):
@@ -82,14 +86,58 @@ def _lookup(s, d):
 
 
 def _model_reasons(s, d):
-    """Reasons of a fitted forest for a twentieth of the clients it recommends product 1 to."""
-    model, test_rows = trained(s, d, "forest")
-    month = test_rows.agg(F.min("mon").alias("m")).scalar()
-    master = materialize(test_rows.filter(F.col("mon") == month), "month")
-    wanted = ML.score(master, model).filter("pred = 1").select("client_id", F.lit(1).alias("product_id"))
-    sampled = fraction_sample(wanted, ["client_id"], 0.05)
-    contribs = R.explain(sampled, master, {1: model}, [*FEATURES, *CATEGORIES], KEY)
-    return R.top_reasons(contribs).withColumn("reasons", F.array_join("reasons", "; "))
+    """Reasons of every product's own model for a twentieth of the clients it recommends the product to, at their newest test month."""
+    models = {k: model for k, (model, _) in chosen(s, d).items()}
+    master = materialize(test_master(s, d), "master")
+    wanted = None
+    for product, model in models.items():
+        part = ML.score(newest(master), model, ML.THRESHOLDS[product]).filter("pred = 1").select("client_id", F.lit(product).alias("product_id"))
+        wanted = part if wanted is None else wanted.unionByName(part)
+    sampled = materialize(fraction_sample(wanted, ["client_id", "product_id"], 0.05), "sampled")
+    return R.top_reasons(R.explain(sampled, master, models, KEY))
+
+
+def test_master(s, d):
+    """Features of the client-months of the test period."""
+    label = T.lookahead_label(B.purchase(s, d), "target_1", "target_1")
+    return M.join_features(M.temporal_split(label)[1].select(*KEY), features(s, d))
+
+
+def newest(rows):
+    place = F.row_number().over(W.partitionBy("client_id").orderBy(F.desc("mon")))  # one row per client and month
+    return rows.withColumn("__place", place).filter("__place = 1").drop("__place")
+
+
+def _reason_facts(s, d):
+    """Each explained pair, with whether it has two reasons of different features that the models know."""
+    names = [*FEATURES, *CATEGORIES]
+    known = F.array(*[F.lit(n) for c in names for n in (c, f"{c}_null")])
+    feature = F.transform("reasons", lambda r: F.substring_index(F.substring(r, 3, 1000), " = ", 1))
+    good = (F.size("reasons") == 2) & (F.size(F.array_intersect(feature, known)) == 2)
+    return _model_reasons(s, d).agg(
+        (F.count(F.lit(1)) - F.count_distinct("client_id", "product_id")).alias("repeated"), F.count_if(~good).alias("unknown")
+    )
+
+
+def _explained(family):
+    """Whether base and contributions add up to the model's own score."""
+
+    def build(s, d):
+        rows = _forest_contributions(s, d) if family == "forest" else _boosted_contributions(s, d)
+        score = "prob" if family == "forest" else "margin"
+        return rows.select(*KEY, (F.abs(F.col(score) - F.col("explained")) < 1e-9).cast("int").alias("adds_up"))
+
+    return build
+
+
+def _kept_reasons(s, d):
+    """A twentieth of the pairs asked for first, then all, then all again: reasons and the run that computed them."""
+    store = RS.ReasonStore(s, scratch_path(s, "kept-reasons"), 1)
+    pairs, contribs = positives(s, d), pair_contribs(s, d)
+    store.complete(fraction_sample(pairs, ["client_id", "product_id"], 0.05), contribs)
+    store.complete(pairs, contribs)
+    store.compact()
+    return store.complete(pairs, contribs).withColumn("reasons", F.array_join("reasons", "; "))
 
 
 def _completed(s, d):
@@ -147,12 +195,10 @@ def _once(s, d):
     for part in (rows.filter(F.unix_micros("received_at") > middle), rows, rows):
         part.coalesce(1).write.mode("append").parquet(f"{root}/in")
 
-    def handle(batch, number):
-        batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
-
     query = (
-        ST.read_requests(s, f"{root}/in", files_per_trigger=1)
-        .writeStream.foreachBatch(ST.each_once(handle, f"{root}/answered"))
+        ST.first_deliveries(ST.read_requests(s, f"{root}/in", files_per_trigger=1))
+        .writeStream.format("parquet")
+        .option("path", f"{root}/out")
         .option("checkpointLocation", f"{root}/checkpoint")
         .trigger(availableNow=True)
         .start()
@@ -235,6 +281,10 @@ QUERIES = [
     ),
     Query("n1_forest_contributions", "client_id:i mon:d prob:f explained:f", _forest_contributions),
     Query("n1_boosted_contributions", "client_id:i mon:d margin:f explained:f", _boosted_contributions),
+    *[
+        Query(f"n1_{f}_adds_up", "client_id:i mon:d adds_up:i", _explained(f), f"select client_id, mon, 1 as adds_up from {TEST_ROWS}")
+        for f in ("forest", "boosted")
+    ],
     Query(
         "n2_top_reasons",
         "client_id:s reasons:s",
@@ -256,7 +306,20 @@ QUERIES = [
         f"""select p.client_id, product_id, reasons from (select * from positives where {SAMPLED}) p
             join {REASON_TEXT} r on p.client_id = r.client_id""",
     ),
-    Query("n3_model_reasons", "client_id:i mon:d product_id:i reasons:s", _model_reasons),
+    Query(
+        "n3_model_reasons",
+        "client_id:i mon:d product_id:i reasons:s",
+        lambda s, d: _model_reasons(s, d).withColumn("reasons", F.array_join("reasons", "; ")),
+    ),
+    Query("n3_reason_facts", "repeated:i unknown:i", _reason_facts, "select 0 * count(*) as repeated, 0 * count(*) as unknown from purchase"),
+    Query(
+        "n4_kept_reasons",
+        "client_id:s product_id:i reasons:s run:i",
+        _kept_reasons,
+        f"""select p.client_id, p.product_id, reasons, case when s.client_id is null then 2 else 1 end as run
+            from positives p join {REASON_TEXT} r on p.client_id = r.client_id
+            left join (select client_id, product_id from positives where {SAMPLED}) s on p.client_id = s.client_id and p.product_id = s.product_id""",
+    ),
     Query(
         "n4_complete_reasons",
         "client_id:s product_id:i reasons:s",

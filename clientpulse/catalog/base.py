@@ -7,13 +7,29 @@ both sides are cast and rounded by that list.
 from __future__ import annotations
 
 import re
+import threading
+from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_MADE: dict[tuple, Any] = {}
+_LOCKS: dict[tuple, threading.Lock] = defaultdict(threading.Lock)
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Any]) -> Any:
+    """What ``build`` returns, made once per session and input: several queries look at the same model or table."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    with _LOCKS[key]:
+        if key not in _MADE:
+            _MADE[key] = build()
+        return _MADE[key]
+
+
 @dataclass(frozen=True)
 class Query:
     key: str

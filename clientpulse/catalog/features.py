@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from clientpulse.catalog.base import Query
 from clientpulse.plans import features as FT
 from clientpulse.plans import master as M
 from clientpulse.plans.target import lookahead_label
 from clientpulse.sources import bindings as B
+from clientpulse.sources import bucketed as BU
 
 OVER = "over (partition by client_id order by mon"
 
@@ -114,16 +117,33 @@ MASTER_COLUMNS = """client_id:i mon:d target_1:i dialog_cnt_m:i trans_trx_cnt_m:
 trans_trx_cnt_roc_1m:f geo_ping_cnt_m:i pur_product_1_rsum_m:i pur_recency_purchase:f"""
 
 
-def master(spark, sf):
-    """Product-1 label with the features of all four tables."""
+def master_parts(spark, sf):
+    """Product-1 label and the features of all four tables."""
     purchase = B.purchase(spark, sf)
-    return M.join_features(
+    return [
         lookahead_label(purchase, "target_1", "target_1"),
-        FT.feats_dialog(B.dialog(spark, sf)).select("client_id", "mon", "dialog_cnt_m"),
+        FT.feats_dialog(B.dialog(spark, sf), summaries=False).select("client_id", "mon", "dialog_cnt_m"),
         FT.feats_trx(B.trx(spark, sf), B.CURRENCIES),
         FT.feats_geo(B.geo(spark, sf)).select("client_id", "mon", "geo_ping_cnt_m"),
         FT.feats_purchase(purchase),
-    )
+    ]
+
+
+def master(spark, sf):
+    return M.join_features(*master_parts(spark, sf))
+
+
+def bucketed_master(spark, sf, buckets: int = 16):
+    """The master table from tables stored in buckets of the key: the join moves nothing."""
+    # a bucket is a hash of the typed key, so the key has one type in all tables
+    typed = [part.withColumn("client_id", F.col("client_id").cast("long")) for part in master_parts(spark, sf)]
+    label, *tables = [BU.write_bucketed(part, M.KEY, buckets) for part in typed]
+    return BU.co_located(spark, label, tables, M.KEY)
+
+
+def exchange_counts(spark, sf):
+    """How many exchanges the join of the bucketed tables plans."""
+    return spark.createDataFrame([("c1_bucketed_master", BU.exchanges(bucketed_master(spark, sf)))], "plan string, exchanges int")
 
 
 QUERIES = [
@@ -131,11 +151,12 @@ QUERIES = [
     Query("feats_geo", GEO_COLUMNS, lambda s, d: FT.feats_geo(B.geo(s, d), "week"), GEO_BODY),
     Query("feats_dialog", DIALOG_COLUMNS, lambda s, d: FT.feats_dialog(B.dialog(s, d)), DIALOG_BODY),
     Query("feats_purchase", PURCHASE_COLUMNS, lambda s, d: FT.feats_purchase(B.purchase(s, d)), PURCHASE_BODY),
-    Query(
-        "c1_master",
-        MASTER_COLUMNS,
-        master,
-        f"""select l.client_id, l.mon, l.target_1, d.dialog_cnt_m, t.trans_trx_cnt_m, t.trans_event_type_entropy_m,
+    *[
+        Query(
+            key,
+            MASTER_COLUMNS,
+            build,
+            f"""select l.client_id, l.mon, l.target_1, d.dialog_cnt_m, t.trans_trx_cnt_m, t.trans_event_type_entropy_m,
               t.trans_trx_cnt_roc_1m, g.geo_ping_cnt_m, p.pur_product_1_rsum_m, p.pur_recency_purchase
             from (select client_id, mon, target_1 from (select client_id, mon,
                     max(target_1) over (partition by client_id order by mon rows between current row and 4 following) as target_1
@@ -145,5 +166,13 @@ QUERIES = [
             left join (select client_id, date '2024-02-01' as mon, count(*) as geo_ping_cnt_m from geo group by 1) g
               on l.client_id = g.client_id and l.mon = g.mon
             left join ({PURCHASE_BODY}) p on l.client_id = p.client_id and l.mon = p.mon""",
+        )
+        for key, build in (("c1_master", master), ("c1_bucketed_master", bucketed_master))
+    ],
+    Query(
+        "c1_bucketed_exchanges",
+        "plan:s exchanges:i",
+        exchange_counts,
+        "select 'c1_bucketed_master' as plan, 0 * count(*) as exchanges from purchase",
     ),
 ]

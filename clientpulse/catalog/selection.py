@@ -88,6 +88,15 @@ QUERIES = [
             [*NUMERIC, "f_const", *CATEGORICAL],
         ),
     ),
+    Query(
+        "i1_capped_types",
+        "feature:s n_distinct:i kind:s",
+        lambda s, d: S.column_types(B.feat(s, d), [*IDS, "target"], exact=False),
+        _union(
+            "select '{c}' as feature, least(count(distinct {c}), 4) as n_distinct, case when count(distinct {c}) > 3 and '{c}' like 'f\\_%' escape '\\' then 'numeric' else 'categorical' end as kind from feat",
+            [*NUMERIC, "f_const", *CATEGORICAL],
+        ),
+    ),
     Query(
         "i2_zero_share",
         "feature:s zero_share:f mostly_zero:i",

@@ -62,8 +62,10 @@ def _tag(rows: DataFrame, time_col: str, cuts: Column, part) -> DataFrame:
 
     ``cuts`` is the array of fold dates; ``part`` says whether the row is train, test or out (null) for a date.
     """
-    each = rows.withColumn("fold", F.explode(cuts))
-    return each.withColumn("part", part(F.col(time_col), F.col("fold"))).filter(F.col("part").isNotNull())
+    dated = rows.withColumn("__cuts", cuts)
+    own = F.filter("__cuts", lambda d: part(F.col(time_col), d).isNotNull())
+    each = dated.withColumn("fold", F.explode(own)).drop("__cuts")
+    return each.withColumn("part", part(F.col(time_col), F.col("fold")))
 
 
 def fold_dates(rows: DataFrame, time_col: str, freq: str, start: Column, end: Column) -> Column:

@@ -140,19 +140,21 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[st
     return dist.groupBy(*by).agg(*aggs) if by else dist.agg(*aggs)
 
 
-def next_point(rows: DataFrame, points: DataFrame, at: str, cols: Sequence[str], name: str = "point") -> DataFrame:
-    """Add to each row a struct with ``cols`` of the first point whose ``at`` is not below the row's.
+def next_point(
+    rows: DataFrame, points: DataFrame, at: str, cols: Sequence[str], name: str = "point", by: Sequence[str] = ()
+) -> DataFrame:
+    """Add to each row a struct with ``cols`` of the first point of its group whose ``at`` is not below the row's.
 
     Rows and points are sorted together, so neither side has to fit anywhere as a whole.
     """
-    packed = F.struct(*cols)
+    by, packed = list(by), F.struct(*cols)
     left = rows.select("*", F.lit(0).alias("__kind"), F.lit(None).cast(points.select(packed).schema[0].dataType).alias("__p"))
-    right = points.select(at, F.lit(1).alias("__kind"), packed.alias("__p"))
-    ranged = in_ranges(left.unionByName(right, allowMissingColumns=True), [], [at, "__kind"])
-    firsts = ranged.groupBy(_RANGE).agg(F.min_by("__p", F.when(F.col("__kind") == 1, F.col(at))).alias("__first"))
-    later = W.partitionBy(F.lit(1)).orderBy(F.desc(_RANGE)).rowsBetween(W.unboundedPreceding, -1)
-    carry = firsts.select(_RANGE, F.last("__first", ignorenulls=True).over(later).alias(_CARRY))
-    inside = W.partitionBy(_RANGE).orderBy(F.desc(at), F.desc("__kind")).rowsBetween(W.unboundedPreceding, 0)
-    joined = ranged.join(F.broadcast(carry), _RANGE, "left")
+    right = points.select(*by, at, F.lit(1).alias("__kind"), packed.alias("__p"))
+    ranged = in_ranges(left.unionByName(right, allowMissingColumns=True), by, [at, "__kind"])
+    firsts = _pieces(ranged, by, [F.min_by("__p", F.when(F.col("__kind") == 1, F.col(at))).alias("__first")])
+    later = W.partitionBy(*by).orderBy(F.desc(_RANGE)).rowsBetween(W.unboundedPreceding, -1)
+    carry = firsts.select(*by, _RANGE, F.last("__first", ignorenulls=True).over(later).alias(_CARRY))
+    inside = W.partitionBy(_RANGE, *by).orderBy(F.desc(at), F.desc("__kind")).rowsBetween(W.unboundedPreceding, 0)
     found = F.coalesce(F.last("__p", ignorenulls=True).over(inside), F.col(_CARRY))
-    return joined.withColumn(name, found).filter(F.col("__kind") == 0).drop("__kind", "__p", _CARRY, _RANGE)
+    joined = _attach(ranged, by, carry).withColumn(name, found)
+    return joined.filter(F.col("__kind") == 0).drop("__kind", "__p", _CARRY, _RANGE)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from clientpulse.functions.dates import period_start
 from clientpulse.functions.scalars import keep_listed
+from clientpulse.operators.ordered import exact_quantiles
 
 
 def period_rollup(
@@ -42,18 +43,27 @@ def top_code(col: str, codes: Sequence) -> Column:
     return keep_listed(col, codes, 0)
 
 
-def category_profile(df: DataFrame, key: Sequence[str], cats: dict[str, str]) -> DataFrame:
-    """Distinct count, Shannon entropy (natural log) and mode of several categories, in one aggregation.
+def category_counts(
+    df: DataFrame, key: Sequence[str], cats: dict[str, str], measured: str | None = None, measures: dict[str, tuple] | None = None
+) -> DataFrame:
+    """``key, cat, val, n``: rows per value of several categories, the columns unpivoted so that the input is read once.
 
-    ``cats`` maps an output prefix to a column. The columns are unpivoted, so the input is read once and every
-    category shares the same two shuffles; both aggregate map-side, so one busy group is never gathered whole.
-    Entropy uses H = ln N - sum(n ln n) / N. Null is a category of its own for entropy and mode, but is not counted
-    as a distinct value. Mode ties go to the smallest value, null first.
+    ``measures`` maps a name to (column, aggregate function); they are taken on the values of the category ``measured`` only.
     """
-    types = {p: df.schema[c].dataType for p, c in cats.items()}
     texts = [F.col(c).cast("string").alias(p) for p, c in cats.items()]
-    long = df.select(*key, *texts).unpivot(list(key), list(cats), "cat", "val")
-    counts = long.groupBy(*key, "cat", "val").agg(F.count(F.lit(1)).alias("n"))
+    carried = {f"__{n}": F.col(c) for n, (c, _) in (measures or {}).items()}
+    wide = df.select(*key, *texts, *[c.alias(n) for n, c in carried.items()])
+    long = wide.unpivot([*key, *carried], list(cats), "cat", "val")
+    own = [fn(F.when(F.col("cat") == measured, F.col(f"__{n}"))).alias(n) for n, (_, fn) in (measures or {}).items()]
+    return long.groupBy(*key, "cat", "val").agg(F.count(F.lit(1)).alias("n"), *own)
+
+
+def profile_columns(cats: dict[str, str], types: dict) -> list[Column]:
+    """Distinct count, Shannon entropy (natural log) and mode of each category, from ``category_counts``.
+
+    Entropy uses H = ln N - sum(n ln n) / N. Null is a category of its own for entropy and mode, but is not counted as a distinct
+    value. Mode ties go to the smallest value, null first.
+    """
     aggs = []
     for prefix in cats:
         here = F.col("cat") == prefix
@@ -65,7 +75,17 @@ def category_profile(df: DataFrame, key: Sequence[str], cats: dict[str, str]) ->
             (F.ln(size) - spread / size).alias(f"{prefix}_entropy"),
             F.min_by(value, F.when(here, F.struct(-F.col("n"), value))).alias(f"{prefix}_mode"),
         ]
-    return counts.groupBy(*key).agg(*aggs)
+    return aggs
+
+
+def category_profile(df: DataFrame, key: Sequence[str], cats: dict[str, str]) -> DataFrame:
+    """Distinct count, entropy and mode of several categories, in one aggregation.
+
+    ``cats`` maps an output prefix to a column. Every category shares the same two shuffles; both aggregate map-side, so one busy
+    group is never gathered whole.
+    """
+    types = {p: df.schema[c].dataType for p, c in cats.items()}
+    return category_counts(df, key, cats).groupBy(*key).agg(*profile_columns(cats, types))
 
 
 def share_of_total(df: DataFrame, by: Sequence[str], measures: dict[str, Column]) -> DataFrame:
@@ -91,20 +111,23 @@ def having(df: DataFrame, key: Sequence[str], sums: Sequence[str], over: int = 1
 
 
 def describe_by(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """count, mean, std, min, quartiles and max of small result tables such as fold metrics."""
-    aggs = []
-    for c in cols:
-        aggs += [
-            F.count(c).alias(f"{c}_count"),
-            F.avg(c).alias(f"{c}_mean"),
-            F.stddev(c).alias(f"{c}_std"),
-            F.min(c).alias(f"{c}_min"),
-            F.percentile(c, F.lit(0.25)).alias(f"{c}_q1"),
-            F.percentile(c, F.lit(0.5)).alias(f"{c}_q2"),
-            F.percentile(c, F.lit(0.75)).alias(f"{c}_q3"),
-            F.max(c).alias(f"{c}_max"),
-        ]
-    return df.groupBy(*by).agg(*aggs)
+    """count, mean, std, min, quartiles and max of each column per group.
+
+    The quartiles are exact and come from the counts of all columns' distinct values, so no group has to fit in a task.
+    """
+    by, cols = list(by), list(cols)
+    moments = {"count": F.count, "mean": F.avg, "std": F.stddev, "min": F.min, "max": F.max}
+    base = df.groupBy(*by).agg(*[fn(c).alias(f"{c}_{name}") for c in cols for name, fn in moments.items()])
+    typed = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
+    long = typed.unpivot(by, cols, "__column", "__value")
+    quartiles = exact_quantiles(long, [*by, "__column"], "__value", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    found = quartiles.groupBy(*[F.col(g).alias(f"__by{i}") for i, g in enumerate(by)]).agg(
+        *[F.max(F.when(F.col("__column") == c, F.col(q))).alias(f"{c}_{q}") for c in cols for q in ("q1", "q2", "q3")]
+    )
+    same = [F.col(g).eqNullSafe(F.col(f"__by{i}")) for i, g in enumerate(by)]
+    names = ("count", "mean", "std", "min", "q1", "q2", "q3", "max")
+    joined = base.join(found, same, "left") if by else base.crossJoin(found)  # without groups both have one row
+    return joined.select(*by, *[f"{c}_{n}" for c in cols for n in names])
 
 
 def column_counts(df: DataFrame, cols: Sequence[str], kind: str = "distinct") -> DataFrame:

@@ -7,17 +7,19 @@ All features are scored together: one wide aggregation, or one aggregation over
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, NumericType
 
+from clientpulse.operators.gram import gram_of_columns, gram_of_entries
 from clientpulse.operators.ordered import cumulate, distribution, quantile_columns, value_table
 from clientpulse.session import materialize
 
@@ -40,17 +42,47 @@ def _wide(df: DataFrame, aggs: dict[str, Column], name: str) -> DataFrame:
     return out
 
 
-def column_types(df: DataFrame, exclude: Sequence[str], threshold: int = 3, numeric: Sequence[str] = ()) -> DataFrame:
-    """``feature, n_distinct, kind``: numeric if a number with more than ``threshold`` distinct values, or forced."""
+def column_types(
+    df: DataFrame, exclude: Sequence[str], threshold: int = 3, numeric: Sequence[str] = (), exact: bool = True
+) -> DataFrame:
+    """``feature, n_distinct, kind``: numeric if a number with more than ``threshold`` distinct values, or forced.
+
+    Without ``exact``, counting stops at ``threshold + 1``, which is all the kind needs.
+    """
     cols = [c for c in df.columns if c not in exclude]
     numbers = [c for c in cols if isinstance(df.schema[c].dataType, NumericType)]
-    distinct = _wide(df, {c: F.count_distinct(c) for c in cols}, "n_distinct")
+    distinct = _wide(df, {c: F.count_distinct(c) for c in cols}, "n_distinct") if exact else capped_distinct(df, cols, threshold + 1)
     is_numeric = (F.col("feature").isin(numbers) & (F.col("n_distinct") > threshold)) | F.col("feature").isin(
         list(numeric)
     )
     return distinct.withColumn("kind", F.when(is_numeric, "numeric").otherwise("categorical"))
 
 
+def capped_distinct(df: DataFrame, cols: Sequence[str], cap: int) -> DataFrame:
+    """``feature, n_distinct``: distinct non-null values per column, counted up to ``cap`` only.
+
+    A task keeps at most ``cap`` values of a column, so one scan moves at most ``cap`` rows per column and task, whatever the
+    columns hold. Values are told apart by their text form.
+    """
+    cols = list(cols)
+    texts = df.select(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(cols)])
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: list[set] = [set() for _ in cols]
+        for batch in batches:
+            for held, column in zip(seen, batch.columns):
+                if len(held) < cap:
+                    held.update(v for v in column.unique().to_pylist() if v is not None)
+        rows = [(c, v) for c, held in zip(cols, seen) for v in sorted(held)[:cap]]
+        feature, value = zip(*rows) if rows else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(feature, pa.string()), pa.array(value, pa.string())], names=["feature", "value"])
+
+    found = texts.mapInArrow(some, "feature string, value string").distinct().groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "feature string")
+    counted = names.join(found, "feature", "left")
+    return counted.select("feature", F.least(F.coalesce("n", F.lit(0)), F.lit(cap)).cast("long").alias("n_distinct"))
+
+
 def zero_share(df: DataFrame, cols: Sequence[str], threshold: float = 0.80) -> DataFrame:
     """Share of zeros per column, nulls counted as zero; flagged when strictly above the threshold."""
     shares = {c: F.avg(F.when(F.coalesce(F.col(c), F.lit(0)) == 0, 1.0).otherwise(0.0)) for c in cols}
@@ -66,32 +98,32 @@ def zero_variance(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def correlation(df: DataFrame, cols: Sequence[str], method: str = "pearson") -> DataFrame:
-    """``a, b, corr`` for every pair of columns, over the rows where both are present."""
-    if method == "spearman":
-        df = mid_ranks(df, cols)
-    pairs = {f"{a}|{b}": F.corr(F.col(a).cast("double"), F.col(b).cast("double")) for a, b in combinations(cols, 2)}
-    halves = F.split("feature", r"\|")
-    return _wide(df, pairs, "corr").select(
-        F.get(halves, F.lit(0)).alias("a"), F.get(halves, F.lit(1)).alias("b"), "corr"
-    )
+    """``a, b, corr`` for every pair of columns, over the rows where both are present (neither null nor NaN).
+
+    All pairs come from one scan, for Spearman's of the ranks. The correlation is null where a column does not vary.
+    """
+    cols = list(cols)
+    gram = gram_of_entries(mid_ranks(df, cols), "ranks", len(cols)) if method == "spearman" else gram_of_columns(df, cols)
+    r = gram.correlations()
+    pairs = [(cols[i], cols[j], None if np.isnan(r[i, j]) else float(r[i, j])) for i, j in combinations(range(len(cols)), 2)]
+    return df.sparkSession.createDataFrame(pairs, "a string, b string, corr double")
 
 
 def mid_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Each column replaced by its rank, ties sharing the mean rank; nulls stay null.
+    """``ranks``: per row an array of (place of the column, its value's rank), ties sharing the mean rank, missing values left out.
 
-    Ranks come from the counts per distinct value of all columns at once. Joining them back needs one join per column;
-    Spark broadcasts a rank table that turns out small and splits a value that holds many rows.
+    The values of all columns are ranked by one sort of their distinct values and meet their ranks in one join, in which Spark
+    splits a value that holds many rows. Rows without a value are left out.
     """
-    narrow = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    values = narrow.unpivot([], list(cols), "feature", "value")
+    names = [f"c{i}" for i in range(len(cols))]
+    numbered = df.select(F.monotonically_increasing_id().alias("row"), *[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(n) for c, n in zip(cols, names)])
+    values = materialize(numbered, "numbered").unpivot(["row"], names, "feature", "value").filter(F.col("value").isNotNull())
     ranks = distribution(values, ["feature"], "value").select(
         "feature", "value", (F.col("n_run") - F.col("n") + (F.col("n") + 1) / 2).alias("rank")
     )
-    ranks, out = materialize(ranks, "ranks"), narrow
-    for c in cols:
-        own = ranks.filter(F.col("feature") == c).select(F.col("value").alias(c), F.col("rank").alias(f"rank_{c}"))
-        out = out.join(own, c, "left").drop(c).withColumnRenamed(f"rank_{c}", c)
-    return out
+    ranked = values.join(materialize(ranks, "ranks"), ["feature", "value"])
+    place = F.expr("cast(substring(feature, 2) as int)")
+    return ranked.groupBy("row").agg(F.collect_list(F.struct(place.alias("place"), "rank")).alias("ranks"))
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> np.ndarray:

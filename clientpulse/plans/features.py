@@ -23,7 +23,7 @@ from clientpulse.operators.history import (
     trailing,
 )
 from clientpulse.operators.ordered import exact_quantiles, previous_row
-from clientpulse.operators.rollup import by_code, category_profile, top_code
+from clientpulse.operators.rollup import category_counts, category_profile, profile_columns
 from clientpulse.session import materialize
 
 KEY = ["client_id", "mon"]
@@ -36,35 +36,46 @@ def close_period(df: DataFrame, months: int = 1) -> DataFrame:
 
 
 def trx_rollup(trx: DataFrame, currencies: Sequence[int] = CURRENCIES) -> DataFrame:
-    """Counts, amounts and category profiles per client and month."""
-    main = currencies[0]
-    dated = trx.withColumns({"mon": period_start("event_time"), "id_currency": top_code("currency", currencies)})
-    one = F.lit(1).cast("long")
-    counts = by_code("id_currency", [*currencies, 0], one, F.sum, 0)
-    sums = by_code("id_currency", currencies, "amount", F.sum, 0.0)
-    mean, spread = (by_code("id_currency", [main], "amount", fn)[main] for fn in (F.avg, F.stddev))
-    base = dated.groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("trans_trx_cnt_m"),
-        *[counts[c].alias(f"trans_trx_currency_{c}_cnt_m") for c in currencies],
-        counts[0].alias("trans_trx_others_currency_cnt_m"),
-        *[sums[c].alias(f"trans_amt_trx_currency_{c}_sum_m") for c in currencies],
-        mean.alias(f"trans_amt_currency_{main}_avg_m"),
-        spread.alias(f"trans_amt_currency_{main}_std_m"),
-    )
+    """Counts, amounts and category profiles per client and month, from one scan.
+
+    Rows are first counted by value of each category; amounts are summed along with the currencies, so everything else is read off
+    that table.
+    """
     cats = {"day": "day", "event": "event_type", "currency": "currency", "src": "src_type11", "dst": "dst_type11"}
-    profile = category_profile(dated.withColumn("day", F.to_date("event_time")), KEY, cats).select(
-        *KEY,
-        F.col("day_distinct").alias("trans_days_active_m"),
-        F.col("event_distinct").alias("trans_type_trx_cnt_m"),
-        F.col("currency_distinct").alias("trans_type_currency_cnt_m"),
-        F.col("src_distinct").alias("trans_type_src_account_cnt_m"),
-        F.col("dst_distinct").alias("trans_type_dst_account_cnt_m"),
-        F.col("event_mode").alias("trans_event_type_mode_m"),
-        F.col("event_entropy").alias("trans_event_type_entropy_m"),
-        F.col("dst_mode").alias("trans_dst_type_mode_m"),
-        F.col("dst_entropy").alias("trans_dst_type_entropy_m"),
+    dated = trx.withColumns({"mon": period_start("event_time"), "day": F.to_date("event_time")})
+    amounts = {"amt_sum": ("amount", F.sum), "amt_avg": ("amount", F.avg), "amt_std": ("amount", F.stddev)}
+    counts = category_counts(dated, KEY, cats, "currency", amounts)
+    paid, main = F.col("cat") == "currency", currencies[0]
+    of = {c: paid & (F.col("val") == str(c)) for c in currencies}
+    listed = F.coalesce(F.col("val").isin([str(c) for c in currencies]), F.lit(False))
+
+    def total(rows: Column, col: str, zero) -> Column:
+        return F.coalesce(F.sum(F.when(rows, F.col(col))), F.lit(zero))
+
+    names = {
+        "day_distinct": "trans_days_active_m",
+        "event_distinct": "trans_type_trx_cnt_m",
+        "currency_distinct": "trans_type_currency_cnt_m",
+        "src_distinct": "trans_type_src_account_cnt_m",
+        "dst_distinct": "trans_type_dst_account_cnt_m",
+        "event_mode": "trans_event_type_mode_m",
+        "event_entropy": "trans_event_type_entropy_m",
+        "dst_mode": "trans_dst_type_mode_m",
+        "dst_entropy": "trans_dst_type_entropy_m",
+    }
+    rolled = counts.groupBy(*KEY).agg(
+        total(paid, "n", 0).alias("trans_trx_cnt_m"),
+        *[total(of[c], "n", 0).alias(f"trans_trx_currency_{c}_cnt_m") for c in currencies],
+        total(paid & ~listed, "n", 0).alias("trans_trx_others_currency_cnt_m"),
+        *[total(of[c], "amt_sum", 0.0).alias(f"trans_amt_trx_currency_{c}_sum_m") for c in currencies],
+        F.max(F.when(of[main], F.col("amt_avg"))).alias(f"trans_amt_currency_{main}_avg_m"),
+        F.max(F.when(of[main], F.col("amt_std"))).alias(f"trans_amt_currency_{main}_std_m"),
+        *profile_columns(cats, {p: dated.schema[c].dataType for p, c in cats.items()}),
+    )
+    profiles = {f"{p}_{kind}" for p in cats for kind in ("distinct", "entropy", "mode")}
+    return rolled.select(
+        *[F.col(c).alias(names.get(c, c)) for c in rolled.columns if c in names or c not in profiles]
     )
-    return base.join(profile, KEY)
 
 
 def feats_trx(trx: DataFrame, currencies: Sequence[int] = CURRENCIES) -> DataFrame:
@@ -174,8 +185,11 @@ def score_summary(df: DataFrame, value: str, prefix: str) -> DataFrame:
     return df.groupBy(*KEY).agg(*moments(value, prefix)).join(median_of(df, value, prefix), KEY, "left")
 
 
-def feats_dialog(dialog: DataFrame) -> DataFrame:
-    """Dialog features. The distances are written once: mean, spread and median all read that narrow table."""
+def feats_dialog(dialog: DataFrame, summaries: bool = True) -> DataFrame:
+    """Dialog features. Both medians come from one distribution of vector lengths and distances.
+
+    Without ``summaries`` the distances between consecutive vectors and the medians, which need sorted copies, are left out.
+    """
     months = dialog_months(dialog)
     base = months.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("dialog_cnt_m"),
@@ -183,11 +197,18 @@ def feats_dialog(dialog: DataFrame) -> DataFrame:
         *moments("v_norm", "dialog_norm"),
         *drift_aggs(),
     )
-    base = base.withColumn("dialog_drift_m", euclidean("first_emb", "last_emb")).drop("first_emb", "last_emb")
-    distances = materialize(consecutive_distances(months), "distances")
-    joined = base.join(median_of(months, "v_norm", "dialog_norm"), KEY, "left").join(
-        score_summary(distances, "cos_dist", "dialog_cos_dist"), KEY, "left"
-    )
+    joined = base.withColumn("dialog_drift_m", euclidean("first_emb", "last_emb")).drop("first_emb", "last_emb")
+    if summaries:
+        distances = consecutive_distances(months)
+        kind = F.lit("dialog_norm").alias("kind")
+        values = months.select(*KEY, kind, F.col("v_norm").alias("value")).unionByName(
+            distances.select(*KEY, F.lit("dialog_cos_dist").alias("kind"), F.col("cos_dist").alias("value"))
+        )
+        middle = exact_quantiles(values, [*KEY, "kind"], "value", {"median": 0.5})
+        medians = middle.groupBy(*KEY).agg(
+            *[F.max(F.when(F.col("kind") == k, F.col("median"))).alias(f"{k}_median_m") for k in ("dialog_norm", "dialog_cos_dist")]
+        )
+        joined = joined.join(medians, KEY, "left").join(distances.groupBy(*KEY).agg(*moments("cos_dist", "dialog_cos_dist")), KEY, "left")
     span = timeline("client_id", "mon")
     out = joined.withColumns(
         {

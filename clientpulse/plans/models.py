@@ -1,10 +1,10 @@
-"""Training, temporal search and comparison, persistence, scoring."""
+"""Preparation per product, training, comparison over folds, persistence, scoring."""
 
 from __future__ import annotations
 
-import random
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 from datetime import date
 from functools import partial, reduce
 from typing import Any
@@ -19,22 +19,94 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clientpulse.operators.folds import MONTHS, calendar
-from clientpulse.operators.metrics import decide, ranking_metrics, score_histogram, threshold_metrics
+from clientpulse.operators.metrics import decide, ranking_metrics, score_histogram
 from clientpulse.operators.sampling import balanced_weight
-from clientpulse.prep import CategoryImputer, ColumnPicker, FeatureMeans, NumericImputer, OutlierCapper, Scaler, SignedLog, WoeEncoder
+from clientpulse.plans.boosting import fit_with_patience
+from clientpulse.prep import (
+    CategoryImputer,
+    ColumnPicker,
+    FeatureAssembler,
+    FeatureAssemblerModel,
+    FeatureMeans,
+    NumericImputer,
+    OutlierCapper,
+    Scaler,
+    SignedLog,
+    WoeEncoder,
+)
 from clientpulse.session import materialize
 
 FAMILIES = {"forest": RandomForestClassifier, "boosted": GBTClassifier, "logistic": LogisticRegression}
 # Decision thresholds and the model family chosen per product.
 THRESHOLDS = {1: 0.45454545454545453, 3: 0.43434343434343436, 4: 0.5}
 CHOSEN = {1: "forest", 3: "boosted", 4: "boosted"}
-# Parameter ranges of the search: (low, high) or a tuple of choices.
-SPACES = {
-    "forest": {"numTrees": (20, 60), "maxDepth": (3, 12), "minInstancesPerNode": (5, 60), "weight_root": (1, 9)},
-    "boosted": {"maxIter": (5, 20), "maxDepth": (2, 5), "stepSize": (0.02, 0.3), "weight_root": (1, 9)},
-    "logistic": {"regParam": (0.001, 0.2), "elasticNetParam": (0.0, 1.0), "weight_root": (1, 9)},
-}
 PARALLEL_FITS = 4
+OWN_SETTINGS = ("weight_root", "balanced", "inverse_strength")
+
+
+@dataclass(frozen=True)
+class Preparation:
+    """How the columns of one product's model are treated."""
+
+    uncapped: Sequence[str] = ()
+    category_fills: Mapping[str, Any] = field(default_factory=dict)
+    number_fills: Mapping[str, float] = field(default_factory=dict)
+    unencoded: Sequence[str] = ()
+    imputation: str = "median"
+    null_flags: bool = False
+    min_share: float = 0.05
+    similarity: float = 0.1
+    max_skew: float = 1.5
+    scaler: str = "robust"
+
+
+def _of_product(category_fills: Mapping[str, Any]) -> Preparation:
+    """Columns with a fixed fill are indicators already: they keep their numbers."""
+    return Preparation(
+        uncapped=("trans_type_currency_cnt_m",),
+        category_fills=category_fills,
+        number_fills={"trans_type_currency_cnt_m": 1.0},
+        unencoded=tuple(category_fills),
+        imputation="random",
+        null_flags=True,
+        min_share=0.1,
+        max_skew=1.0,
+        scaler="standard",
+    )
+
+
+# The categories that are filled with 0, per product.
+PREPARATIONS = {
+    1: _of_product({"pur_any_purchase": 0}),
+    3: _of_product({"pur_any_purchase": 0, "trx_growth_streak_3m": 0}),
+    4: _of_product({"trx_growth_streak_3m": 0}),
+}
+
+
+def preparation_stages(
+    ids: Sequence[str], numeric: Sequence[str], categorical: Sequence[str], target: str, how: Preparation
+) -> list:
+    """Stages in order: select, cap outliers, fill categories, fill numbers, encode, signed log, scale, assemble.
+
+    Settings for columns that are not among the given ones are left out. Random draws are fixed by the ids.
+    """
+    numeric, categorical = list(numeric), list(categorical)
+    own = lambda names: {c: v for c, v in names.items() if c in numeric or c in categorical}
+    encoded = [c for c in categorical if c not in how.unencoded]
+    return [
+        ColumnPicker(inputCols=[*ids, *numeric, *categorical], optionalCols=[target, "weight", "shown"]),
+        OutlierCapper(inputCols=numeric, excludeCols=[c for c in how.uncapped if c in numeric]),
+        CategoryImputer(inputCols=categorical, fixed=own(how.category_fills)),
+        NumericImputer(
+            inputCols=numeric, strategy=how.imputation, addFlags=how.null_flags, fixed=own(how.number_fills), keyCols=list(ids)
+        ),
+        WoeEncoder(categoricalCols=encoded, targetCol=target, minShare=how.min_share, similarity=how.similarity),
+        SignedLog(inputCols=numeric, threshold=how.max_skew),
+        Scaler(inputCols=numeric, kind=how.scaler),
+        FeatureAssembler(inputCols=[*numeric, *categorical])
+        if how.null_flags
+        else VectorAssembler(inputCols=[*numeric, *categorical], outputCol="features"),
+    ]
 
 
 def preprocessing(
@@ -45,33 +117,74 @@ def preprocessing(
     uncapped: Sequence[str] = (),
     scaler: str = "robust",
 ) -> list:
-    """Stages in order: select, cap outliers, fill categories, fill numbers, encode, signed log, scale."""
-    numeric, categorical = list(numeric), list(categorical)
-    return [
-        ColumnPicker(inputCols=[*ids, *numeric, *categorical], optionalCols=[target, "weight", "shown"]),
-        OutlierCapper(inputCols=numeric, excludeCols=list(uncapped)),
-        CategoryImputer(inputCols=categorical),
-        NumericImputer(inputCols=numeric, strategy="median", addFlags=False),
-        WoeEncoder(categoricalCols=categorical, targetCol=target),
-        SignedLog(inputCols=numeric),
-        Scaler(inputCols=numeric, kind=scaler),
-        VectorAssembler(inputCols=[*numeric, *categorical], outputCol="features"),
-    ]
+    """The stages with settings of no product in particular: medians, no null indicators."""
+    return preparation_stages(ids, numeric, categorical, target, Preparation(uncapped=uncapped, scaler=scaler))
+
+
+def product_preprocessing(product: int, ids: Sequence[str], numeric: Sequence[str], categorical: Sequence[str], target: str) -> list:
+    """The stages as the product's own model has them."""
+    return preparation_stages(ids, numeric, categorical, target, PREPARATIONS[product])
+
+
+def feature_names(model: PipelineModel) -> list[str]:
+    """Columns of the vector that the pipeline's classifier sees, in its order."""
+    for stage in model.stages:
+        if isinstance(stage, FeatureAssemblerModel):
+            return stage.names
+        if isinstance(stage, VectorAssembler):
+            return list(stage.getInputCols())
+    raise ValueError("the pipeline assembles no features")
 
 
 def classifier(family: str, target: str, seed: int = 42, **params):
-    params = {k: v for k, v in params.items() if k != "weight_root"}
+    """Spark's classifier of a family; settings that are not Spark's are applied by ``fitted``."""
+    params = {k: v for k, v in params.items() if k not in OWN_SETTINGS}
     seeded = {} if family == "logistic" else {"seed": seed}
     return FAMILIES[family](featuresCol="features", labelCol=target, weightCol="weight", **seeded, **params)
 
 
+def weighted(df: DataFrame, target: str, weight_root: int | None = 1, balanced: bool = False) -> DataFrame:
+    """``weight``: (n0/n1)^(1/weight_root) for positives (1 without a root), times n / 2n_class if classes are balanced."""
+    rows = balanced_weight(df, target, weight_root) if weight_root else df.withColumn("weight", F.lit(1.0))
+    if not balanced:
+        return rows
+    shares = df.agg(F.count_if(F.col(target) == 0).alias("n0"), F.count_if(F.col(target) == 1).alias("n1"))
+    share = shares.select(F.struct("n0", "n1").alias("s")).scalar()
+    own = F.when(F.col(target) == 1, share["n1"]).otherwise(share["n0"])
+    return rows.withColumn("weight", F.col("weight") * (share["n0"] + share["n1"]) / (2 * own))
+
+
+def fitted(
+    family: str,
+    rows: DataFrame,
+    target: str,
+    seed: int = 42,
+    valid: DataFrame | None = None,
+    patience: int | None = None,
+    **params,
+):
+    """A classifier fitted on prepared rows.
+
+    ``weight_root`` and ``balanced`` set the row weights. ``inverse_strength`` c penalises by 1 / (c * total weight), so that the
+    penalty counts as c times less than one row's loss. A boosted model with ``patience`` keeps the best rounds on ``valid``.
+    """
+    rows = weighted(rows, target, params.get("weight_root", 1), params.get("balanced", False))
+    if "inverse_strength" in params:
+        total = rows.agg(F.sum("weight")).first()[0]
+        params = params | {"regParam": 1.0 / (params["inverse_strength"] * total)}
+    model = classifier(family, target, seed, **params)
+    if family == "boosted" and patience and valid is not None:
+        return fit_with_patience(model, rows, valid.select("features", target), patience)[0]
+    return model.fit(rows)
+
+
 def train(
-    df: DataFrame, stages: Sequence, family: str, target: str, weight_root: int = 1, seed: int = 42, **params
+    df: DataFrame, stages: Sequence, family: str, target: str, weight_root: int | None = 1, seed: int = 42, **params
 ) -> PipelineModel:
     """Preprocessing and classifier as one pipeline; positives weighted by (n0/n1)^(1/weight_root)."""
-    weighted = balanced_weight(df, target, weight_root)
+    rows = weighted(df, target, weight_root, params.get("balanced", False))
     baseline = [FeatureMeans()] if family == "logistic" else []
-    return Pipeline(stages=[*stages, *baseline, classifier(family, target, seed, **params)]).fit(weighted)
+    return Pipeline(stages=[*stages, *baseline, classifier(family, target, seed, **params)]).fit(rows)
 
 
 def run_all(jobs: Mapping[Any, Callable[[], Any]]) -> dict[Any, Any]:
@@ -92,19 +205,6 @@ def score(df: DataFrame, model, threshold: float = 0.5) -> DataFrame:
     return decide(scored, "prob", threshold).drop("rawPrediction", "probability", "prediction")
 
 
-def draw(family: str, n_trials: int, seed: int = 42) -> list[dict]:
-    """Seeded parameter draws: whole numbers where the range is whole, else uniform."""
-    rng, out = random.Random(seed), []
-    for _ in range(n_trials):
-        out.append(
-            {
-                k: rng.randint(lo, hi) if isinstance(lo, int) else round(rng.uniform(lo, hi), 6)
-                for k, (lo, hi) in SPACES[family].items()
-            }
-        )
-    return out
-
-
 def fold_cuts(df: DataFrame, time_col: str, freq: str = "monthly", last: int | None = None) -> list[date]:
     """Back-test dates inside the data (one per period, so a short list), optionally only the last few."""
     bounds = df.agg(F.add_months(F.min(time_col), 1).alias("start"), F.max(time_col).alias("end"))
@@ -127,37 +227,11 @@ def prepared_fold(
 ) -> tuple[DataFrame, DataFrame]:
     """Both parts with the preprocessing fitted on this fold's training rows only, written once for all trials."""
     train_rows, test_rows = fold_parts(df, time_col, cut, freq, span)
-    fitted = Pipeline(stages=list(stages)).fit(train_rows)
-    return tuple(materialize(fitted.transform(part), "fold") for part in (train_rows, test_rows))
-
-
-def search(
-    df: DataFrame,
-    stages: Sequence,
-    target: str,
-    time_col: str,
-    family: str,
-    n_trials: int = 15,
-    seed: int = 42,
-    threshold: float = 0.5,
-    freq: str = "monthly",
-    last_folds: int | None = None,
-) -> DataFrame:
-    """Mean F1 over expanding folds for seeded parameter draws: ``trial, params, mean_f1``, best first."""
-    spark, cuts = df.sparkSession, fold_cuts(df, time_col, freq, last_folds)
-    folds = run_all({cut: partial(prepared_fold, df, time_col, cut, stages, freq) for cut in cuts})
-    trials = draw(family, n_trials, seed)
-
-    def one(trial: int, cut: date) -> float:
-        params, (train_rows, test_rows) = trials[trial], folds[cut]
-        model = classifier(family, target, seed, **params).fit(balanced_weight(train_rows, target, params["weight_root"]))
-        scored = score(test_rows, model, threshold)
-        return threshold_metrics(scored, target, "pred").select("f1").first()["f1"]
-
-    results = run_all({(t, cut): partial(one, t, cut) for t in range(n_trials) for cut in cuts})
-    rows = [(t, str(sorted(trials[t].items())), f1) for (t, _), f1 in results.items()]
-    table = spark.createDataFrame(rows, "trial int, params string, f1 double")
-    return table.groupBy("trial", "params").agg(F.avg("f1").alias("mean_f1")).orderBy(F.desc("mean_f1"), "trial")
+    ends = train_rows.agg(F.max(time_col).alias("last")).crossJoin(test_rows.agg(F.min(time_col).alias("first"))).first()  # one row each
+    if ends["last"] is not None and ends["first"] is not None and ends["last"] >= ends["first"]:
+        raise ValueError(f"training rows up to {ends['last']} reach into the test period from {ends['first']}")
+    prepared = Pipeline(stages=list(stages)).fit(train_rows)
+    return tuple(materialize(prepared.transform(part), "fold") for part in (train_rows, test_rows))
 
 
 def compare(
@@ -169,21 +243,28 @@ def compare(
     span: int = 1,
     last_folds: int | None = None,
     seed: int = 42,
+    patience: int | None = None,
+    freq: str = "monthly",
 ) -> DataFrame:
-    """Brier, ROC AUC and PR AUC per rolling fold and family, all from one grouped metrics job."""
-    cuts = fold_cuts(df, time_col, last=last_folds)
-    folds = run_all({cut: partial(prepared_fold, df, time_col, cut, stages, span=span) for cut in cuts})
+    """Brier, ROC AUC and PR AUC per rolling fold and family, all from one grouped metrics job.
+
+    With ``patience`` boosting stops by its loss on the fold's own test rows. Folds with a single class in training are left out.
+    """
+    cuts = fold_cuts(df, time_col, freq, last_folds)
+    parts = {cut: fold_parts(df, time_col, cut, freq, span) for cut in cuts}
+    kinds = {cut: p[0].select(target).distinct().count() for cut, p in parts.items()} if span is not None else {}
+    usable = [cut for cut in cuts if kinds.get(cut, 2) == 2]
+    folds = run_all({cut: partial(prepared_fold, df, time_col, cut, stages, freq, span) for cut in usable})
 
     def one(cut: date, family: str, params: dict) -> DataFrame:
         train_rows, test_rows = folds[cut]
-        root = params.get("weight_root", 1)
-        model = classifier(family, target, seed, **params).fit(balanced_weight(train_rows, target, root))
+        model = fitted(family, train_rows, target, seed, test_rows, patience, **params)
         return score(test_rows, model).select(
             F.lit(cut).alias("fold"), F.lit(family).alias("model"), F.col(target).alias("y"), "prob"
         )
 
-    parts = run_all({(cut, f): partial(one, cut, f, p) for cut in cuts for f, p in families.items()})
-    scored = reduce(DataFrame.unionByName, parts.values())
+    found = run_all({(cut, f): partial(one, cut, f, p) for cut in usable for f, p in families.items()})
+    scored = materialize(reduce(DataFrame.unionByName, found.values()), "scored")
     by = ["fold", "model"]
     return ranking_metrics(score_histogram(scored, "y", "prob", by), by).select(
         *by, "pr_auc", "roc_auc", "brier_score_loss"

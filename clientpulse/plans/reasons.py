@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clientpulse.operators.sampling import fraction_sample
+from clientpulse.plans.models import feature_names
 from clientpulse.prep import FeatureMeansModel
 from clientpulse.session import scratch_path
 
@@ -52,19 +53,23 @@ def linear_contributions(
 
 
 def tree_nodes(model, spark) -> pd.DataFrame:
-    """Node table of a forest or boosted model, in the layout Spark saves: one row per node, model-sized."""
+    """Node table of a forest or boosted model, in the layout Spark saves: one row per node, model-sized.
+
+    ``cover`` is the weight of the training rows that reached the node.
+    """
     path = scratch_path(spark, "trees")
     model.write().save(path)
     node = F.col("nodeData")
     if isinstance(model, RandomForestClassificationModel):
-        total = F.aggregate(node["impurityStats"], F.lit(0.0), lambda a, x: a + x)
-        value = F.get(node["impurityStats"], F.lit(1)) / total
+        cover = F.aggregate(node["impurityStats"], F.lit(0.0), lambda a, x: a + x)
+        value = F.get(node["impurityStats"], F.lit(1)) / cover
     else:
-        value = node["prediction"]
+        value, cover = node["prediction"], F.get(node["impurityStats"], F.lit(0))
     rows = spark.read.parquet(f"{path}/data").select(
         F.col("treeID").alias("tree"),
         node["id"].alias("node"),
         value.alias("value"),
+        cover.alias("cover"),
         node["leftChild"].alias("left"),
         node["rightChild"].alias("right"),
         node["split"]["featureIndex"].alias("feature"),
@@ -81,7 +86,7 @@ def _node_chunks(nodes: pd.DataFrame, weights: np.ndarray) -> Iterator[list[tupl
     """Trees as arrays, in chunks of bounded size, so what is sent to a task never grows with the forest."""
     chunk, size = [], 0
     for tree, part in nodes.groupby("tree", sort=True):
-        arrays = tuple(part[c].to_numpy() for c in ("left", "right", "feature", "threshold", "value"))
+        arrays = tuple(part[c].to_numpy() for c in ("left", "right", "feature", "threshold", "value", "cover"))
         if chunk and size + len(part) > NODES_PER_PASS:
             yield chunk
             chunk, size = [], 0
@@ -90,28 +95,67 @@ def _node_chunks(nodes: pd.DataFrame, weights: np.ndarray) -> Iterator[list[tupl
     yield chunk
 
 
-def _walk(x: np.ndarray, trees: list[tuple], out: np.ndarray) -> np.ndarray:
-    """Add each split's change in node value to the feature it splits on, for all rows of a batch at once."""
-    rows = np.arange(len(x))
-    for weight, left, right, feature, threshold, value in trees:
-        at = np.zeros(len(x), dtype=np.int64)
-        while True:
-            live = rows[left[at] >= 0]
-            if not len(live):
-                break
-            here = at[live]
-            split = feature[here]
-            to = np.where(x[live, split] <= threshold[here], left[here], right[here])
-            out[live, split] += weight * (value[to] - value[here])
-            at[live] = to
+def leaf_rules(tree: tuple) -> Iterator[tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per leaf its weighted value and, per feature on its path: the feature, bounds (low, high] and the share of cover kept.
+
+    A feature met more than once on a path has the intersection of its intervals and the product of its shares.
+    """
+    weight, left, right, feature, threshold, value, cover = tree
+    pending = [(0, {})]
+    while pending:
+        node, path = pending.pop()
+        if left[node] < 0:
+            rules = [(f, low, high, share) for f, (low, high, share) in path.items()]
+            f, low, high, share = (np.array(c) for c in zip(*rules)) if rules else (np.zeros(0),) * 4
+            yield weight * value[node], f.astype(np.int64), low, high, share
+            continue
+        f, cut = int(feature[node]), float(threshold[node])
+        low, high, share = path.get(f, (-math.inf, math.inf, 1.0))
+        for child, bounds in ((left[node], (low, min(high, cut))), (right[node], (max(low, cut), high))):
+            kept = share * cover[child] / cover[node] if cover[node] > 0 else 0.0
+            pending.append((int(child), path | {f: (*bounds, kept)}))
+
+
+def expected_value(trees: list[tuple]) -> float:
+    """Mean of the leaves, each weighted by its share of the cover."""
+    return math.fsum(value * float(np.prod(share)) for tree in trees for value, _, _, _, share in leaf_rules(tree))
+
+
+def attribute(x: np.ndarray, trees: list[tuple], out: np.ndarray) -> np.ndarray:
+    """Add the exact Shapley values of all rows, with features that are left out following the cover.
+
+    On the path to a leaf let o be 1 for a feature whose interval holds the row's value, else 0, and z its share of the cover. The
+    leaf is worth v times the product of o over known and z over unknown features, so the value of feature i is
+
+        v (o_i - z_i) * integral over t from 0 to 1 of the product over j <> i of (t o_j + (1 - t) z_j),
+
+    a polynomial in t that Gauss-Legendre nodes integrate exactly. Rows that agree in all o of a leaf share one evaluation.
+    """
+    for tree in trees:
+        for value, feature, low, high, share in leaf_rules(tree):
+            d = len(feature)
+            if not d:
+                continue
+            mine = x[:, feature]
+            inside = ~(mine <= low) & ((mine <= high) | np.isinf(high))  # a missing value goes right, as in the model
+            patterns, which = np.unique(inside, axis=0, return_inverse=True)
+            at, weight = np.polynomial.legendre.leggauss(d // 2 + 1)
+            t = (at + 1)[:, None, None] / 2
+            terms = t * patterns + (1 - t) * share
+            before, after = np.ones_like(terms), np.ones_like(terms)
+            before[..., 1:] = np.cumprod(terms[..., :-1], axis=2)
+            after[..., :-1] = np.cumprod(terms[..., :0:-1], axis=2)[..., ::-1]
+            others = np.tensordot(weight / 2, before * after, axes=1)
+            out[:, feature] += (value * (patterns - share) * others)[which.reshape(-1)]
     return out
 
 
 def tree_contributions(df: DataFrame, keys: Sequence[str], model, features: Sequence[str]) -> DataFrame:
     """``keys, base, contribs`` of a forest (probability of class 1) or boosted model (margin).
 
-    ``df`` holds the assembled ``features`` vector; base plus contributions is the model's score. The reported values
-    come from an array column ``shown`` where there is one, else from the vector.
+    Contributions are exact Shapley values of the trees with their training cover; ``base`` is the model's expected score, and base
+    plus contributions is the row's score. ``df`` holds the assembled ``features`` vector. The reported values come from an array
+    column ``shown`` where there is one, else from the vector.
     """
     spark, features = df.sparkSession, list(features)
     nodes = tree_nodes(model, spark)
@@ -121,8 +165,7 @@ def tree_contributions(df: DataFrame, keys: Sequence[str], model, features: Sequ
         weights = np.asarray(model.treeWeights)
     else:
         raise TypeError("a forest or boosted-tree classifier is needed")
-    roots = nodes[nodes["node"] == 0].sort_values("tree")
-    base = float((roots["value"].to_numpy() * weights).sum())
+    base = sum(expected_value(chunk) for chunk in _node_chunks(nodes, weights))
     shown = ["shown"] if "shown" in df.columns else []
     rows = df.select(*keys, vector_to_array("features").alias("x"), *shown)
     rows = rows.withColumn("parts", F.transform("x", lambda _: F.lit(0.0)))
@@ -130,13 +173,13 @@ def tree_contributions(df: DataFrame, keys: Sequence[str], model, features: Sequ
     for chunk in _node_chunks(nodes, weights):
         sent = spark.sparkContext.broadcast(chunk)
 
-        def attribute(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+        def added(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 if len(batch):
                     x, parts = np.stack(batch["x"].to_numpy()), np.stack(batch["parts"].to_numpy()).copy()
-                    yield batch.assign(parts=list(_walk(x, sent.value, parts)))
+                    yield batch.assign(parts=list(attribute(x, sent.value, parts)))
 
-        rows = rows.mapInPandas(attribute, schema)
+        rows = rows.mapInPandas(added, schema)
     at = [F.lit(i) for i in range(len(features))]
     values = [F.get("shown" if shown else "x", i) for i in at]
     packed = _packed(features, values, [F.get("parts", i) for i in at])
@@ -163,20 +206,21 @@ def explain(
     wanted: DataFrame,
     master: DataFrame,
     models: dict[int, PipelineModel],
-    features: Sequence[str],
     keys: Sequence[str],
     time_col: str = "mon",
 ) -> DataFrame:
     """``keys, product_id, contribs`` of the wanted (client, product) pairs, each by its product's own pipeline.
 
-    Each client is explained at its latest month. The values reported are the raw ones of the master table, not the encoded and
-    scaled ones the model sees. A linear model's baseline is the training mean kept in its pipeline, so it does not depend on who asks.
+    Each client is explained at its latest month, by the features its product's model sees. The values reported are the raw ones
+    of the master table, not the encoded and scaled ones; of a null indicator, whether the value is missing. A linear model's baseline is
+    the training mean kept in its pipeline, so it does not depend on who asks.
     """
-    raw = F.array(*[F.col(f).try_cast("double") for f in features]).alias("shown")
+    newest = F.row_number().over(W.partitionBy("client_id").orderBy(F.desc(time_col)))  # one row per client and month
     out = None
     for product, model in models.items():
+        features = feature_names(model)
+        raw = F.array(*[_raw(master, f) for f in features]).alias("shown")
         clients = wanted.filter(F.col("product_id") == product).select("client_id").distinct()
-        newest = F.row_number().over(W.partitionBy("client_id").orderBy(F.desc(time_col)))  # one row per client and month
         rows = master.join(clients, "client_id", "left_semi").withColumn("__place", newest).filter("__place = 1").drop("__place").select("*", raw)
         prepared = PipelineModel(model.stages[:-1]).transform(rows)
         means = next((s.values["means"] for s in model.stages if isinstance(s, FeatureMeansModel)), None)
@@ -187,6 +231,12 @@ def explain(
     return out
 
 
+def _raw(master: DataFrame, feature: str) -> Column:
+    if feature not in master.columns and feature.endswith("_null"):
+        return F.col(feature.removesuffix("_null")).isNull().cast("double")
+    return F.col(feature).try_cast("double")
+
+
 def top_reasons(contribs: DataFrame, k: int = 2) -> DataFrame:
     """The ``k`` features with the largest absolute contribution as text, inside the row and without a shuffle; null ones come last."""
     ordered = F.sort_array(

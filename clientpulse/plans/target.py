@@ -103,10 +103,11 @@ def lookahead_label(
     span = timeline("client_id", "mon")
     keys = None if sampled is None else sampled.select(*KEY)
     rows = purchase.join(keys, KEY, "left_semi") if keys is not None and label_after_sampling else purchase
-    labelled = rows.withColumn(target, lookahead_max(span, flag, ahead))
+    # the horizon is that of the history, not of the sample, which may lack the last months
+    labelled = observable(rows.withColumn(target, lookahead_max(span, flag, ahead)), ahead)
     if keys is not None and not label_after_sampling:
         labelled = labelled.join(keys, KEY, "left_semi")
-    return observable(labelled, ahead).select("client_id", period_start("mon").alias("mon"), target)
+    return labelled.select("client_id", period_start("mon").alias("mon"), target)
 
 
 def build_target(purchase: DataFrame, product: int, ratio: float = 0.625, seed: int = 42) -> DataFrame:
@@ -114,7 +115,7 @@ def build_target(purchase: DataFrame, product: int, ratio: float = 0.625, seed:
     flag = f"target_{product}"
     features = materialize(strata_features(purchase, flag), "strata")
     class0, class1 = by_class(features)
-    strata = clusters(materialize(reduced(class0, seed=seed), "reduced"), seed=seed)
+    strata = clusters(materialize(reduced(class0), "reduced"), seed=seed)
     sample = stratified_sample(strata, class1, "cluster", KEY, ratio, seed)
     return lookahead_label(purchase, flag, flag, sampled=materialize(sample, "sample"))
 

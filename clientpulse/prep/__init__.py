@@ -3,6 +3,7 @@
 Fitting is aggregation that leaves a small table of numbers; transforming is column expressions.
 """
 
+from clientpulse.prep.assemble import FeatureAssembler, FeatureAssemblerModel
 from clientpulse.prep.impute import CategoryImputer, CategoryImputerModel, NumericImputer, NumericImputerModel
 from clientpulse.prep.means import FeatureMeans, FeatureMeansModel
 from clientpulse.prep.outliers import OutlierCapper, OutlierCapperModel
@@ -13,6 +14,8 @@ __all__ = [
     "CategoryImputer",
     "CategoryImputerModel",
     "ColumnPicker",
+    "FeatureAssembler",
+    "FeatureAssemblerModel",
     "FeatureMeans",
     "FeatureMeansModel",
     "NumericImputer",

@@ -7,11 +7,12 @@ from collections.abc import Sequence
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clientpulse.operators.ordered import distribution, quantile_columns
+from clientpulse.session import materialize
 
 
 class Stage(Params):
@@ -35,7 +36,11 @@ class Stage(Params):
 
 
 class Fit(Stage, Estimator, DefaultParamsReadable, DefaultParamsWritable):
-    """Estimator that turns a DataFrame into a dict of fitted values."""
+    """Estimator that turns a DataFrame into a dict of fitted values.
+
+    Values that are DataFrames (one row per level or per point of a distribution, so as large as the data makes them) become
+    tables of the model: written once under the shared folder while it lives, and into its own folder when it is saved.
+    """
 
     model_class: type
 
@@ -45,14 +50,47 @@ class Fit(Stage, Estimator, DefaultParamsReadable, DefaultParamsWritable):
     def _fit(self, dataset: DataFrame):
         model = self.model_class()
         shared = {p.name: v for p, v in self.extractParamMap().items() if model.hasParam(p.name)}
-        model._set(**shared, fitted=self.fitted_values(dataset))
+        found = self.fitted_values(dataset)
+        model.tables = {k: materialize(v, k) for k, v in found.items() if isinstance(v, DataFrame)}
+        plain = {k: v for k, v in found.items() if k not in model.tables}
+        model._set(**shared, fitted=plain, tableNames=sorted(model.tables))
+        return model
+
+
+class _TableWriter(DefaultParamsWriter):
+    """Params as Spark ML saves them, and the model's tables beside them."""
+
+    def saveImpl(self, path: str) -> None:
+        super().saveImpl(path)
+        for name, table in self.instance.tables.items():
+            table.write.parquet(f"{path}/tables/{name}")
+
+
+class _TableReader(DefaultParamsReader):
+    def load(self, path: str):
+        model = super().load(path)
+        session = SparkSession.active()
+        model.tables = {n: session.read.parquet(f"{path}/tables/{n}") for n in model.getOrDefault("tableNames")}
         return model
 
 
 class Fitted(Stage, Model, DefaultParamsReadable, DefaultParamsWritable):
-    """Model holding fitted values as one JSON-ready param."""
+    """Model holding fitted values as one JSON-ready param, and fitted tables that are saved inside its folder."""
 
     fitted = Param(Params._dummy(), "fitted", "fitted values", TypeConverters.identity)
+    tableNames = Param(Params._dummy(), "tableNames", "tables saved with the model", TypeConverters.toListString)
+
+    def __init__(self, **settings):
+        super().__init__(**settings)
+        self._setDefault(tableNames=[])
+        self.tables: dict[str, DataFrame] = {}
+
+    def write(self) -> DefaultParamsWriter:
+        return _TableWriter(self)
+
+    @classmethod
+    def read(cls) -> DefaultParamsReader:
+        return _TableReader(cls)
 
     @property
     def values(self) -> dict:

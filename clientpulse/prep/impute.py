@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from clientpulse.functions.scalars import hash_uniform
 from clientpulse.operators.ordered import next_point, previous_row
 from clientpulse.prep.base import Fit, Fitted, Stage, column_aggregates, column_quantiles, value_distribution
-from clientpulse.session import scratch_path
 
 
 class _Fixed(Stage):
@@ -81,29 +80,39 @@ class NumericImputerModel(Fitted, _Numeric):
         filled = {c: F.coalesce(F.col(c), F.lit(v["value"])) for c, v in values.items() if v.get("value") is not None}
         filled |= {c: F.coalesce(F.col(c), F.lit(v)) for c, v in fixed.items()}
         out = dataset.withColumns(flags | filled) if flags or filled else dataset
-        for c, v in values.items():
-            if v.get("cdf"):
-                out = self._drawn(out, c, v["cdf"])
-        return out
-
-    def _drawn(self, df: DataFrame, col: str, path: str) -> DataFrame:
-        """Missing values drawn from the fitted distribution by interpolation at a hash-based uniform number."""
-        cdf = df.sparkSession.read.parquet(path).filter(F.col("feature") == col)
-        first = cdf.agg(F.min("share")).scalar()
-        missing = df.filter(F.col(col).isNull())
-        uniform = hash_uniform(self.getOrDefault("seed"), *self.getOrDefault("keyCols"), F.lit(col))
-        placed = missing.withColumn("share", first + uniform * (1 - first))
-        found = next_point(placed, cdf, "share", ["share", "value", "share_before", "value_before"], "cdf")
+        drawn = [c for c, v in values.items() if v.get("drawn")]
+        return self._drawn(out, drawn) if drawn else out
+
+    def _drawn(self, df: DataFrame, cols: list[str]) -> DataFrame:
+        """Missing values drawn from the fitted distributions by interpolation at hash-based uniform numbers.
+
+        A draw depends on the row's keys and the column only, so the missing cells of all columns are placed among the points
+        of all distributions by one sort, and joined back by key.
+        """
+        cdf, keys = self.tables["cdf"], self.getOrDefault("keyCols")
+        # one row per feature
+        first = cdf.groupBy("feature").agg(F.min("share").alias("first"))
+        missing = F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in cols]), lambda c: c.isNotNull())
+        wanted = df.select(*keys, F.explode(missing).alias("feature")).distinct().join(F.broadcast(first), "feature")
+        uniform = hash_uniform(self.getOrDefault("seed"), *keys, F.col("feature"))
+        placed = wanted.select(*keys, "feature", (F.col("first") + uniform * (1 - F.col("first"))).alias("share"))
+        found = next_point(placed, cdf, "share", ["share", "value", "share_before", "value_before"], "cdf", ["feature"])
         step = F.try_divide(F.col("share") - F.col("cdf.share_before"), F.col("cdf.share") - F.col("cdf.share_before"))
-        drawn = F.col("cdf.value_before") + (F.col("cdf.value") - F.col("cdf.value_before")) * step
-        filled = found.withColumn(col, F.coalesce(drawn, F.col("cdf.value"))).select(*df.columns)
-        return df.filter(F.col(col).isNotNull()).unionByName(filled)
+        between = F.col("cdf.value_before") + (F.col("cdf.value") - F.col("cdf.value_before")) * step
+        value = F.coalesce(between, F.col("cdf.value"))
+        wide = found.groupBy(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)]).agg(
+            *[F.max(F.when(F.col("feature") == c, value)).alias(f"__draw{i}") for i, c in enumerate(cols)]
+        )
+        same = [F.col(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)]
+        joined = df.join(wide, same, "left")
+        filled = {c: F.coalesce(F.col(c).cast("double"), F.col(f"__draw{i}")) for i, c in enumerate(cols)}
+        return joined.withColumns(filled).select(*df.columns)
 
 
 class NumericImputer(Fit, _Numeric):
-    """Mean, exact median, or a random draw from the column's own distribution.
+    """Mean, exact median, or a random draw from the column's own distribution; 0 where a column had no value at fit time.
 
-    The distribution is written to the shared folder as one row per distinct value and stays exact at any size.
+    The distributions are a table of the model, one row per feature and distinct value, and stay exact at any size.
     """
 
     model_class = NumericImputerModel
@@ -117,8 +126,15 @@ class NumericImputer(Fit, _Numeric):
             raise ValueError("a random draw needs keyCols; without them all missing values of a column would get the same one")
         if not cols:
             return {}
-        nulls, flags = _null_counts(df, cols), self.getOrDefault("addFlags")
+        nulls, flags, size = _null_counts(df, cols), self.getOrDefault("addFlags"), df.count()
         out = {c: {"flag": bool(flags and nulls[c] > 0)} for c in cols}
+        # a column without a value has nothing to fill from
+        empty = {c: out.pop(c) | {"value": 0.0} for c in cols if nulls[c] == size}
+        return empty | self._found(df, [c for c in cols if c not in empty], strategy, out)
+
+    def _found(self, df: DataFrame, cols: list[str], strategy: str, out: dict) -> dict:
+        if not cols:
+            return {}
         if strategy == "mean":
             means = column_aggregates(df, cols, {"mean": F.avg})
             return {c: v | {"value": means[c]["mean"]} for c, v in out.items()}
@@ -126,9 +142,7 @@ class NumericImputer(Fit, _Numeric):
         if strategy == "median":
             middle = column_quantiles(dist, {"mid": 0.5})
             return {c: v | {"value": middle.get(c, {}).get("mid")} for c, v in out.items()}
-        path = scratch_path(df.sparkSession, "cdf")
-        _with_previous(dist).write.mode("overwrite").parquet(path)
-        return {c: v | {"cdf": path} for c, v in out.items()}
+        return {c: v | {"drawn": True} for c, v in out.items()} | {"cdf": _with_previous(dist)}
 
 
 def _with_previous(dist: DataFrame) -> DataFrame:

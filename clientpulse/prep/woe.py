@@ -18,11 +18,10 @@ from clientpulse.operators.statistics import (
     value_counts,
 )
 from clientpulse.prep.base import Fit, Fitted, Stage
-from clientpulse.session import materialize, scratch_path
+from clientpulse.session import materialize
 
-# Smoothing term, and how many level rows a model keeps inside its own parameters.
+# Fixed value: smoothing term.
 EPS = 1e-4
-INLINE_LEVELS = 1000
 MISSING = "nan"
 
 
@@ -109,12 +108,10 @@ class _Woe(Stage):
 
 
 class WoeEncoderModel(Fitted, _Woe):
-    def mapping(self, spark) -> DataFrame:
+    @property
+    def mapping(self) -> DataFrame:
         """``feature, value, woe`` of the categorical levels."""
-        levels = self.values["levels"]
-        if isinstance(levels, str):
-            return spark.read.parquet(levels)
-        return spark.createDataFrame([tuple(r) for r in levels], "feature string, value string, woe double")
+        return self.tables["levels"]
 
     def information_values(self) -> dict[str, float]:
         return self.values["iv"]
@@ -132,10 +129,9 @@ class WoeEncoderModel(Fitted, _Woe):
             coded[c] = F.coalesce(F.get(weights, at.cast("int")), F.lit(0.0))
         out = dataset.withColumns(coded) if coded else dataset
         names = self.listed("categoricalCols")
-        table = self.mapping(dataset.sparkSession) if names else None
         for c in names:
             # Spark broadcasts the level table when its size allows and shuffles otherwise
-            own = table.filter(F.col("feature") == c).select(F.col("value").alias("__level"), F.col("woe").alias("__woe"))
+            own = self.mapping.filter(F.col("feature") == c).select(F.col("value").alias("__level"), F.col("woe").alias("__woe"))
             level = F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
             out = out.join(own, level == F.col("__level"), "left").withColumn(c, F.coalesce("__woe", F.lit(0.0)))
             out = out.drop("__level", "__woe")
@@ -154,7 +150,7 @@ class WoeEncoder(Fit, _Woe):
     def fitted_values(self, df: DataFrame) -> dict:
         bins, iv_bins = self._numeric(df)
         levels, iv_levels = self._categorical(df)
-        return {"bins": bins, "levels": levels, "iv": iv_bins | iv_levels}
+        return {"bins": bins, "iv": iv_bins | iv_levels} | ({"levels": levels} if levels is not None else {})
 
     def _numeric(self, df: DataFrame) -> tuple[dict, dict]:
         cols, target, k = self.listed("numericCols"), self.getOrDefault("targetCol"), self.getOrDefault("bins")
@@ -186,10 +182,10 @@ class WoeEncoder(Fit, _Woe):
             }
         return fitted, ivs
 
-    def _categorical(self, df: DataFrame) -> tuple[list | str, dict]:
+    def _categorical(self, df: DataFrame) -> tuple[DataFrame | None, dict]:
         cols, target = self.listed("categoricalCols"), self.getOrDefault("targetCol")
         if not cols:
-            return [], {}
+            return None, {}
         rows = long_view(df, cols, target, "string").withColumn("value", F.coalesce("value", F.lit(MISSING)))
         counts = rows.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("bad"))
         pooled = materialize(rare_levels(materialize(counts, "levels"), self.getOrDefault("minShare")), "pooled")
@@ -221,12 +217,7 @@ class WoeEncoder(Fit, _Woe):
             & group.eqNullSafe(F.col("level"))
             & F.col("slot").eqNullSafe(F.col("in_slot"))
         )
-        mapping = pooled.join(F.broadcast(table), same).select("feature", "value", "woe")
-        if pooled.count() <= INLINE_LEVELS:
-            return [list(r) for r in mapping.collect()], ivs
-        path = scratch_path(spark, "woe-levels")
-        mapping.write.mode("overwrite").parquet(path)
-        return path, ivs
+        return pooled.join(F.broadcast(table), same).select("feature", "value", "woe"), ivs
 
 
 def _weights(groups: dict) -> tuple[dict, float]:

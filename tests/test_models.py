@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clientpulse.plans import models as ML
 from clientpulse.plans import reasons as R
+from clientpulse.plans import search as SE
 
 FEATURES = ["a", "b", "c"]
 
@@ -54,7 +55,7 @@ def test_contributions_explain_the_score(data, stages, family, params, monkeypat
 def test_explain_reports_raw_values(spark, data, stages):
     model = ML.train(data, stages(), "forest", "target", numTrees=3, maxDepth=3)
     wanted = spark.createDataFrame([(1, 1), (2, 1), (3, 4)], "client_id int, product_id int")
-    got = R.explain(wanted, data, {1: model}, FEATURES, ["client_id", "mon"]).collect()
+    got = R.explain(wanted, data, {1: model}, ["client_id", "mon"]).collect()
     known = {r.client_id: r for r in data.filter("client_id in (1, 2)").collect()}
     assert {r.client_id for r in got} == {1, 2}
     for r in got:
@@ -88,8 +89,8 @@ def test_folds_are_disjoint_in_time(data):
 
 
 def test_search_is_seeded(data, stages):
-    assert ML.draw("forest", 3) == ML.draw("forest", 3)
-    table = ML.search(data, stages(), "target", "mon", "logistic", n_trials=2, last_folds=1).collect()
+    assert SE.draw("forest", 3) == SE.draw("forest", 3)
+    table = SE.summary(SE.search(data, stages(), "target", "mon", "logistic", n_trials=2, last_folds=1)).collect()
     assert len(table) == 2 and table[0].mean_f1 >= table[1].mean_f1 > 0
 
 

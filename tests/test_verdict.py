@@ -50,7 +50,7 @@ def test_client_explained_alone(spark, tmp_path):
     model = ML.train(data, ML.preprocessing(["client_id", "mon"], ["a", "b"], ["c"], "target"), "logistic", "target", regParam=0.1)
     ML.save(model, spark, str(tmp_path), 1)
     model = ML.load_latest(spark, str(tmp_path), 1)
-    ask = lambda rows: {r.client_id: r for r in R.explain(rows, data, {1: model}, ["a", "b", "c"], ["client_id", "mon"]).collect()}
+    ask = lambda rows: {r.client_id: r for r in R.explain(rows, data, {1: model}, ["client_id", "mon"]).collect()}
     everyone = ask(data.select("client_id", F.lit(1).alias("product_id")))
     alone = ask(spark.createDataFrame([(7, 1)], "client_id int, product_id int"))
     assert len(everyone) == 120 and set(alone) == {7} and alone[7].mon == date(2020, 2, 1)
@@ -63,8 +63,8 @@ def test_late_and_repeated_requests_are_answered_once(spark, tmp_path):
         rows = [(i, 7, "hola", None, datetime(2024, 2, 20 - i)) for i in ids]
         spark.createDataFrame(rows, "update_id long, chat_id long, text string, reply_json string, received_at timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         query = (
-            ST.read_requests(spark, str(tmp_path / "in"))
-            .writeStream.foreachBatch(ST.each_once(lambda rows, n: rows.write.mode("overwrite").parquet(str(tmp_path / f"out/batch={n}")), str(tmp_path / "answered")))
+            ST.first_deliveries(ST.read_requests(spark, str(tmp_path / "in")))
+            .writeStream.foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(str(tmp_path / f"out/batch={n}")))
             .option("checkpointLocation", str(tmp_path / "check"))
             .trigger(availableNow=True)
             .start()
