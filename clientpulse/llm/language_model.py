@@ -1,297 +1,540 @@
-"""Document scores by a hierarchical Pitman-Yor model, its seating sampled by Gibbs.
+"""Document scores by a hierarchical Pitman-Yor model of words in context, its seating sampled by Gibbs.
 
-Words sit in one restaurant whose parent spells them letter by letter; the letter restaurants are one per context of up to three
-letters and share parents: each context's parent is the context without its oldest letter, the last one's is uniform. Letters are
-64 classes of bytes, so the letter model has a fixed size bound. A table of the word restaurant is a customer of its spelling, a table of a
-context restaurant one of its parent's.
+Every context, the word before, has a restaurant; all of them share one parent, the restaurant of words without context, whose own parent
+gives each outcome the same probability. The outcomes are the training tokens and one symbol for every other word, as in the add-one
+base. A table of a context's restaurant is a customer of the parent's. Contexts are told apart by ``BITS`` bits of the previous word's hash:
+words that share them share a restaurant, so that what is known of all restaurants together has a fixed size.
 
-A sweep takes the customers of one dish out and seats them again one by one given all others (from the 64th on in runs of five
-percent, whose number of new tables is binomial). Words are sampled by Spark tasks, given the table total and the letter model of the sweep
-before; tasks send back letter counts only. After ``BURN`` sweeps the predictive probabilities of the following ones are averaged.
+With c customers and t tables of a word in context u, discount d and strength s, the predictive probability is
 
-The outcomes are the training tokens and one symbol for every other word, as in the add-one base. That symbol's probability is a new table's
-times the share of spellings that are no training word.
+    P(word | u) = (c - d t + (s + d t_u) P(word)) / (s + c_u)
 
-Word counts come from all training documents, each task adding up its own first. Scoring deals documents over parts by id; each part asks for the
-counts of its distinct words, so a word travels once per part, not once per token.
+and likewise P(word) over its even base; in every context it adds up to one over all outcomes. Discounts follow from how many
+cells hold one and two customers.
 
-Null text is the empty text: its only token is the end. A null id is training. Without training text every count is 0 and words are
-the unknown symbol is certain. Rows are answered one by one, repeated ids included. An empty table gives an empty result. Other columns are ignored.
+A sweep takes the customers of each dish out of their restaurant and seats them again one by one, given the tables of the others and the
+parent's state of the sweep before. After ``BURN`` sweeps the predictive probabilities of the following ones are averaged.
+Every draw is a hash of the word, its context, the sweep and the customer: a seating is the same however the rows are dealt, and any task
+can repeat the seatings so far from the cells and the totals of the earlier sweeps, so no seating has to be kept or moved.
+
+Tasks send the cells of a slice of texts, (word, context, document) with counts, to the part that owns the word; the part keeps them as one
+row. Words that a bounded sample shows to be frequent (at most ``HOT``) are dealt by word and context, and their parent's state is kept by the
+driver. Sweeps move one number per context, scores one row per part and slice.
+
+Null text is the empty text: its only token is the end. A null id is training. Without training text every count is 0 and the unknown symbol
+is certain. Rows are answered one by one, repeated ids included. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clientpulse.llm.texts import byte_column, parts_for, sliced
-from clientpulse.session import materialize
-
-CLASSES, DEPTH = 64, 3
-SWEEPS, BURN = 5, 2
-WORD_DISCOUNT, WORD_STRENGTH = 0.6, 10.0
-LETTER_DISCOUNTS, LETTER_STRENGTH = (0.1, 0.3, 0.5, 0.6), 1.0
-HELD_WORDS = 1_000_000  # distinct words a task adds up before it sends them on
+from clientpulse.llm.texts import Words, byte_column, mixed, parts_for, sliced
+from clientpulse.session import materialize, shuffle_width
+
+BITS = 16
+CONTEXTS = 1 << BITS
+SWEEPS, BURN = 4, 2
+STRENGTH, ROOT_STRENGTH = 1.0, 10.0
+SLICE, SLICE_ROWS = 4 << 20, 1 << 16
+HOT, SAMPLE_CHARS = 4096, 4_000_000
+STEPS = 64  # customers that are seated one by one before whole runs without a new table are
+START = 0  # the context of a text's first token
 END = b""  # no word is empty, so the end token has this place
+BLOCK = "part int, first long, block binary"
 
 
-def _classes() -> np.ndarray:
-    """Class of each byte: 0 is the end of a word, then letters, digits, marks, and the parts of longer characters."""
-    out = np.full(256, 30)
-    out[97:123] = np.arange(1, 27)
-    out[48:58] = 27
-    out[ord(".")], out[ord(",")] = 28, 29
-    out[0xC0:] = 31
-    out[0x80:0xC0] = 32 + (np.arange(0x80, 0xC0) & 31)
-    return out
+def packed(**arrays: np.ndarray) -> bytes:
+    """Arrays of any lengths as one compressed block."""
+    columns = [pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), pa.array(a)) for a in arrays.values()]
+    batch = pa.RecordBatch.from_arrays(columns, names=list(arrays))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
-_CLASS = _classes()
+def unpacked(block: bytes) -> dict[str, np.ndarray]:
+    batch = pa.ipc.open_stream(block).read_next_batch()
+    return {n: c.flatten().to_numpy(zero_copy_only=False) for n, c in zip(batch.schema.names, batch.columns)}
 
 
-@dataclass
-class Letters:
-    """Seated letter restaurants: for each depth the seated cells and, per context, how much goes to the parent."""
-
-    cells: list[np.ndarray] = field(default_factory=list)
-    own: list[np.ndarray] = field(default_factory=list)
-    passed: list[np.ndarray] = field(default_factory=list)
-    emit: np.ndarray = field(default_factory=lambda: np.log10(1 / np.bincount(_CLASS, minlength=CLASSES)[_CLASS]))
-
-    def predict(self, deepest: np.ndarray) -> np.ndarray:
-        """P(letter | context) for cells context * CLASSES + letter of the deepest level."""
-        p = np.full(len(deepest), 1 / CLASSES)
-        for depth, (cells, own, passed) in enumerate(zip(self.cells, self.own, self.passed, strict=True)):
-            cell = deepest % CLASSES ** (depth + 1)
-            at = np.minimum(np.searchsorted(cells, cell), max(len(cells) - 1, 0))
-            seated = np.where(cells[at] == cell, own[at], 0.0) if len(cells) else 0.0
-            p = seated + passed[cell // CLASSES] * p
-        return p
-
-
-    def predict_parent(self, cells: np.ndarray, depth: int) -> np.ndarray:
-        """P(letter) in the parent of each cell's context at ``depth``."""
-        if depth == 0:
-            return np.full(len(cells), 1 / CLASSES)
-        return Letters(self.cells[:depth], self.own[:depth], self.passed[:depth]).predict(cells % CLASSES**depth)
-
-
-def spelled(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Cells of all letters (and ends) of words, the word of each, the words' bytes and the word of each byte."""
-    data, offsets = byte_column(words)
-    n = len(words)
-    length = np.diff(offsets)
-    of = np.repeat(np.arange(n), length)
-    symbols = np.zeros(len(data) + n, np.int64)
-    symbols[np.arange(len(data)) + of] = _CLASS[data]
-    owner = np.repeat(np.arange(n), length + 1)
-    place = np.arange(len(symbols)) - (offsets[:-1] + np.arange(n))[owner]
-    cell, scale = symbols.copy(), CLASSES
-    for back in range(1, DEPTH + 1):
-        earlier = np.zeros_like(symbols)
-        earlier[back:] = symbols[:-back] if back < len(symbols) else 0
-        cell += np.where(place >= back, earlier, 0) * scale
-        scale *= CLASSES
-    return cell, owner, data, of
-
-
-def spelling(words: pa.Array, letters: Letters) -> np.ndarray:
-    """P(word) as its letters and end spell it."""
-    cell, owner, data, of = spelled(words)
-    logs = np.bincount(owner, weights=np.log10(letters.predict(cell)), minlength=len(words))
-    logs += np.bincount(of, weights=letters.emit[data], minlength=len(words))
-    return 10.0 ** np.maximum(logs, -290)
-
-
-def seated(customers: np.ndarray, discount: float, pull: np.ndarray, random: np.random.Generator) -> np.ndarray:
-    """Tables of each dish when its customers sit down one after another; ``pull`` weighs a new table against the customers seated."""
+def _hashes(words: pa.Array) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words))
+
+
+def _tokens(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct tokens, and the token and text of every place; each text closes with the end token."""
+    words = Words(batch.column("text"), lower=True)
+    n, texts = len(words.starts), batch.num_rows
+    bounds = np.empty(2 * n + 1, np.int64)
+    bounds[0:-1:2], bounds[1::2], bounds[-1] = words.starts, words.ends, len(words.data)
+    data = np.ascontiguousarray(words.data)
+    both = pa.Array.from_buffers(pa.large_binary(), 2 * n, [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+    own = both.take(pa.array(np.arange(0, 2 * n, 2)))
+    coded = pa.concat_arrays([own, pa.array([END], pa.large_binary())]).dictionary_encode()
+    ids = coded.indices.to_numpy().astype(np.int64)
+    token, row = np.empty(n + texts, np.int64), np.repeat(np.arange(texts), np.diff(words.first) + 1)
+    token[np.arange(n) + words.row] = ids[:n]
+    token[words.first[1:] + np.arange(texts)] = ids[n]
+    return coded.dictionary, token, row
+
+
+def context_of(hashes: np.ndarray) -> np.ndarray:
+    return (mixed(hashes, 1) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def _sent(parts: int, hot: list[bytes]) -> Callable:
+    """Blocks of (word, context, text, count) by the part that owns them, and one with what a slice's texts are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = pa.array(hot, pa.large_binary())
+        for wide in sliced(batches, "text", SLICE):
+            for at in range(0, wide.num_rows, SLICE_ROWS):
+                batch = wide.slice(at, SLICE_ROWS)
+                first = batch.column("row")[0].as_py()
+                held = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+                words, token, row = _tokens(batch)
+                hashes = _hashes(words)
+                before = np.empty(len(token), np.int64)
+                before[1:] = context_of(hashes)[token[:-1]]
+                before[np.append(0, np.cumsum(np.bincount(row, minlength=batch.num_rows))[:-1])] = START
+                entry, count = np.unique((token << BITS | before) << 16 | row, return_counts=True)
+                word, context, text = entry >> (BITS + 16), entry >> 16 & CONTEXTS - 1, entry & 0xFFFF
+                is_hot = pc.is_in(words, frequent).to_numpy(zero_copy_only=False)
+                dealt = np.where(is_hot[word], mixed(hashes[word] + context.astype(np.uint64), 2), mixed(hashes[word], 2))
+                part = (dealt % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                cuts = np.searchsorted(part[order], np.arange(parts + 1))
+                blocks = []
+                for p in np.flatnonzero(np.diff(cuts)).tolist():
+                    mine = order[cuts[p] : cuts[p + 1]]
+                    used, local = np.unique(word[mine], return_inverse=True)
+                    data, offsets = byte_column(words.take(pa.array(used)))
+                    block = packed(
+                        bytes=data,
+                        sizes=np.diff(offsets).astype(np.uint32),
+                        words=np.bincount(local).astype(np.uint32),
+                        contexts=context[mine].astype(np.uint16),
+                        texts=text[mine].astype(np.uint16),
+                        counts=count[mine].astype(np.uint32),
+                        held=np.packbits(held),
+                    )
+                    blocks.append((p, first, block))
+                ids = batch.column("doc_id")
+                facts = packed(
+                    ids=ids.fill_null(0).to_numpy(),
+                    known=ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8),
+                    held=held.astype(np.uint8),
+                    tokens=np.bincount(row, minlength=batch.num_rows),
+                )
+                blocks.append((-1 - first % parts, first, facts))
+                columns = list(zip(*blocks))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())],
+                    names=["part", "first", "block"],
+                )
+
+    return run
+
+
+def _owned(hot: list[bytes]) -> Callable:
+    """One row per part: its words and cells, and the entries of every slice; the slices' facts pass through."""
+
+    def merged(blocks: list[tuple[int, bytes]]) -> tuple:
+        read = [(first, unpacked(b)) for first, b in blocks]
+        names = []
+        for _, b in read:
+            offsets = np.append(0, np.cumsum(b["sizes"], dtype=np.int64))
+            names.append(pa.Array.from_buffers(pa.large_binary(), len(b["sizes"]), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(b["bytes"]))]))
+        coded = pa.concat_arrays(names).dictionary_encode()
+        ids, at, keys, trained = coded.indices.to_numpy().astype(np.int64), 0, [], []
+        for _, b in read:
+            own = ids[at : at + len(b["sizes"])]
+            at += len(b["sizes"])
+            keys.append(np.repeat(own, b["words"]) << BITS | b["contexts"])
+            held = np.unpackbits(b["held"]).astype(bool)
+            trained.append(np.where(held[b["texts"]], 0, b["counts"]))
+        cell, which = np.unique(np.concatenate(keys), return_inverse=True)
+        customers = np.bincount(which, weights=np.concatenate(trained), minlength=len(cell)).astype(np.int64)
+        place = {w: i for i, w in enumerate(hot)}
+        words = coded.dictionary.to_pylist()
+        cells = packed(
+            hashes=_hashes(coded.dictionary),
+            hot=np.fromiter((place.get(w, -1) for w in words), np.int32, len(words)),
+            words=np.bincount(cell >> BITS, minlength=len(words)).astype(np.uint32),
+            contexts=(cell & CONTEXTS - 1).astype(np.uint16),
+            customers=customers.astype(np.uint32 if customers.max(initial=0) < 1 << 32 else np.int64),
+        )
+        entries, at = [], 0
+        for first, b in read:
+            mine = which[at : at + len(b["texts"])]
+            at += len(b["texts"])
+            entries.append(packed(cells=np.diff(mine, prepend=0).astype(np.int32), texts=b["texts"], counts=b["counts"]))
+        return cells, [first for first, _ in read], entries
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, blocks = None, []
+        for batch in batches:
+            for part, first, block in zip(*(batch.column(c).to_pylist() for c in ("part", "first", "block"))):
+                if part != now and blocks:
+                    yield _row(now, *merged(blocks))
+                    blocks = []
+                now = part
+                if part < 0:
+                    yield _row(part, None, [first], [block])
+                else:
+                    blocks.append((first, block))
+        if blocks:
+            yield _row(now, *merged(blocks))
+
+    return run
+
+
+def _row(part: int, cells: bytes | None, first: list[int], blocks: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([part], pa.int32()), pa.array([cells], pa.binary()), pa.array([first], pa.list_(pa.int64())), pa.array([blocks], pa.list_(pa.binary()))],
+        names=["part", "cells", "first", "blocks"],
+    )
+
+
+ROW = "part int, cells binary, first array<long>, blocks array<binary>"
+
+
+def uniform(seeds: np.ndarray, sweep: int, customer: np.ndarray | int) -> np.ndarray:
+    """A number in (0, 1) per seed, sweep and customer."""
+    step = np.atleast_1d(np.asarray(customer, np.uint64)) * np.uint64(0xD1342543DE82EF95)
+    step += np.uint64(sweep * 0x9E3779B97F4A7C15 % (1 << 64))
+    return ((mixed(mixed(seeds + step)) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Of positive numbers: Stirling's series eight places further on."""
+    shift = np.zeros_like(x)
+    for k in range(8):
+        shift += np.log(x + k)
+    y = x + 8
+    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + series - shift
+
+
+def seated(customers: np.ndarray, discount: float, strength: float, others: np.ndarray, base: np.ndarray, seeds: np.ndarray, sweep: int) -> np.ndarray:
+    """Tables of each dish when its customers sit down one after another.
+
+    With i of them seated at t tables, the next one opens a table with weight (strength + discount (others + t)) base against i - discount t.
+    The first ``STEPS`` customers draw one by one; after that, the customer who opens the next table is drawn at once from the
+    probability that nobody does before, a ratio of gamma functions. Both follow the same law.
+    """
     tables = np.minimum(customers, 1)
     order = np.argsort(-customers, kind="stable")
-    left, pull, got = customers[order], pull[order], tables[order]
-    done = 1
-    while True:
-        active = int(np.searchsorted(-left, -done, "left"))  # those with more customers than are seated
+    left, pull, own, got = customers[order], base[order], seeds[order], tables[order].astype(np.float64)
+    rest = others[order]
+    for done in range(1, STEPS):
+        active = int(np.searchsorted(-left, -done, "left"))
         if not active:
             break
-        step = 1 if done < 64 else int(done * 0.05)
-        new = pull[:active] / (done - discount * got[:active] + pull[:active])
-        got[:active] += random.binomial(np.minimum(step, left[:active] - done), np.clip(new, 0, 1))
-        done += step
-    tables[order] = got
+        new = (strength + discount * (rest[:active] + got[:active])) * pull[:active]
+        got[:active] += uniform(own[:active], sweep, done) * (done - discount * got[:active] + new) < new
+    at = np.flatnonzero(left > STEPS)
+    done = np.full(len(at), float(STEPS))
+    while len(at):
+        new = (strength + discount * (rest[at] + got[at])) * pull[at]
+        x, y = done - discount * got[at], left[at] - discount * got[at]
+        draw = np.log(uniform(own[at], sweep, done.astype(np.uint64)))
+        start = _log_gamma(x) - _log_gamma(x + new)
+
+        def survived(until: np.ndarray, start=start, new=new) -> np.ndarray:
+            return _log_gamma(until) - _log_gamma(until + new) - start
+
+        opens = survived(y) < draw
+        at, done, x, draw, new, start = (v[opens] for v in (at, done, x, draw, new, start))
+        low, high = np.zeros(len(at), np.int64), left[at] - done.astype(np.int64)
+        while (high - low > 1).any():  # the first customer by whom nobody opening a table is less likely than the draw
+            middle = (low + high) // 2
+            short = survived(x + middle, start, new) < draw
+            high, low = np.where(short, middle, high), np.where(short, low, middle)
+        got[at] += 1
+        done += high
+        on = done < left[at]
+        at, done = at[on], done[on]
+    tables[order] = got.astype(np.int64)
     return tables
 
 
-def seat_letters(cells: np.ndarray, customers: np.ndarray, before: Letters | None, seed: int) -> Letters:
-    """Seat the letters of all contexts, deepest first; the tables of each level are the customers of the next."""
-    random, out = np.random.default_rng(seed), Letters()
-    levels = []
-    for depth in range(DEPTH, -1, -1):
-        discount = LETTER_DISCOUNTS[depth]
-        context = cells // CLASSES
-        many = CLASSES**depth
-        guests = np.bincount(context, weights=customers, minlength=many)
-        dishes = np.bincount(context, minlength=many)
-        parent = before.predict_parent(cells, depth) if before else np.full(len(cells), 1 / CLASSES)
-        tables = seated(customers, discount, (LETTER_STRENGTH + discount * dishes[context]) * parent, random)
-        total = np.bincount(context, weights=tables, minlength=many)
-        levels.append((cells, (customers - discount * tables) / (LETTER_STRENGTH + guests)[context], (LETTER_STRENGTH + discount * total) / (LETTER_STRENGTH + guests)))
-        shorter, at = np.unique(cells % CLASSES ** max(depth, 1), return_inverse=True)
-        cells, customers = shorter, np.bincount(at, weights=tables, minlength=len(shorter)).astype(np.int64)
-    for found in reversed(levels):
-        for into, value in zip((out.cells, out.own, out.passed), found, strict=True):
-            into.append(value)
-    return out
+@dataclass(frozen=True)
+class Totals:
+    """What a sweep leaves that parts have to know of one another: fixed in size."""
 
+    tables: np.ndarray  # per context
+    guests: int  # of the parent
+    root_tables: int
+    hot_guests: np.ndarray
+    hot_tables: np.ndarray
 
-@dataclass(frozen=True)
-class Sample:
-    """State after a sweep: tables in the word restaurant, the letter model and the share of spellings that are training words."""
 
-    tables: float
-    letters: Letters
-    seed: int
-    taken: float = 0.0
+@dataclass
+class Model:
+    hot: list[bytes]
+    hot_hashes: np.ndarray
+    hot_counts: np.ndarray = None
+    customers: np.ndarray = None  # per context
+    tokens: int = 0
+    distinct: int = 0
+    discount: float = 0.5
+    root_discount: float = 0.5
+    totals: list[Totals] = field(default_factory=list)
+
+    def root(self, guests: np.ndarray, tables: np.ndarray, sweep: int) -> np.ndarray:
+        """P(word) by the parent's state after a sweep."""
+        t = self.totals[sweep]
+        even = (ROOT_STRENGTH + self.root_discount * t.root_tables) / (self.distinct + 1)
+        return (guests - self.root_discount * tables + even) / (ROOT_STRENGTH + t.guests)
 
 
-def _tables(words: pa.Array, counts: np.ndarray, sample: Sample, spell: np.ndarray) -> np.ndarray:
-    random = np.random.default_rng(xxhash.xxh3_64_intdigest((words[0].as_py() or b"") if len(words) else b"", sample.seed))
-    return seated(counts, WORD_DISCOUNT, (WORD_STRENGTH + WORD_DISCOUNT * sample.tables) * spell, random)
+@dataclass
+class Part:
+    """The words and cells of one part."""
 
+    hashes: np.ndarray
+    hot: np.ndarray
+    word: np.ndarray
+    contexts: np.ndarray
+    customers: np.ndarray
 
-def _swept(sample: Sample | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Letter cells that the sampled tables order, and the tables under cell -1; cells are added up per slice."""
-        for batch in sliced(batches, "word"):
-            words, counts = batch.column("word"), batch.column("c").to_numpy()
-            tables = np.minimum(counts, 1) if sample is None else _tables(words, counts, sample, spelling(words, sample.letters))
-            cell, owner, _, _ = spelled(words)
-            cells, at = np.unique(cell, return_inverse=True)
-            n = np.bincount(at, weights=tables[owner], minlength=len(cells)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(cells, -1)), pa.array(np.append(n, tables.sum()).astype(np.int64))], ["cell", "n"])
+    @classmethod
+    def of(cls, cells: bytes) -> Part:
+        read = unpacked(cells)
+        word = np.repeat(np.arange(len(read["hashes"])), read["words"])
+        return cls(read["hashes"], read["hot"], word, read["contexts"].astype(np.int64), read["customers"].astype(np.int64))
 
-    return run
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.word, weights=values, minlength=len(self.hashes)).astype(np.int64)
 
+    def counts(self, model: Model) -> np.ndarray:
+        """Training occurrences of each word, wherever they are."""
+        return self._whole(self.sums(self.customers), model.hot_counts)
 
-def sample_model(words: DataFrame, sweeps: int = SWEEPS, burn: int = BURN) -> list[Sample]:
-    """States after burn-in, from ``words`` (word, c). The driver gets at most CLASSES^4 letter counts per sweep."""
-    kept, sample = [], None
-    for sweep in range(sweeps):
-        got = words.mapInArrow(_swept(sample), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow().sort_by("cell")
-        cells, n = got.column("cell").to_numpy(), got.column("n").to_numpy()
-        total = float(n[0]) if len(n) else 0.0
-        letters = seat_letters(cells[1:], n[1:], sample.letters if sample else None, sweep)
-        sample = Sample(total, letters, sweep + 1)
-        if sweep >= burn:
-            kept.append(sample)
-    shares = words.mapInArrow(_spelling_sums(kept), "sample int, p double").groupBy("sample").agg(F.sum("p").alias("p")).collect()
-    taken = {r["sample"]: min(r["p"], 1.0) for r in shares}
-    return [replace(s, taken=taken.get(k, 0.0)) for k, s in enumerate(kept)]
-
-
-def _spelling_sums(samples: list[Sample]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "word"):
-            sums = [float(spelling(batch.column("word"), s.letters).sum()) for s in samples]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array(sums, pa.float64())], ["sample", "p"])
+    def _whole(self, own: np.ndarray, of_hot: np.ndarray) -> np.ndarray:
+        return np.where(self.hot >= 0, of_hot[np.maximum(self.hot, 0)], own) if len(of_hot) else own
 
-    return run
+    def seatings(self, model: Model, sweeps: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Tables per cell, and guests and tables of the parent per word, after each sweep; those of frequent words are the driver's.
 
+        Sweep k needs the totals of sweeps before k, and its own only to be told the parent's state of frequent words.
+        """
+        seeds = mixed(self.hashes[self.word] ^ (self.contexts.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)), 3)
+        tables = np.minimum(self.customers, 1)
+        guests = self.sums(tables)
+        root = np.minimum(guests, 1)
+        yield tables, guests, root
+        for sweep in range(1, sweeps):
+            before = model.totals[sweep - 1]
+            word = model.root(self._whole(guests, before.hot_guests), self._whole(root, before.hot_tables), sweep - 1)
+            others = before.tables[self.contexts] - tables
+            tables = seated(self.customers, model.discount, STRENGTH, others, word[self.word], seeds, sweep)
+            guests = self.sums(tables)
+            root = seat_root(model, guests, root, self.hashes, sweep)
+            yield tables, guests, root
 
-def unknown(samples: list[Sample], total: int) -> float:
-    """log10 of the averaged probability that the next token is no training token."""
-    shares = [(WORD_STRENGTH + WORD_DISCOUNT * s.tables) / (WORD_STRENGTH + total) * (1 - s.taken) for s in samples]
-    return float(np.log10(max(np.mean(shares), 1e-300)))
 
+def seat_root(model: Model, guests: np.ndarray, tables: np.ndarray, hashes: np.ndarray, sweep: int) -> np.ndarray:
+    others = model.totals[sweep - 1].root_tables - tables
+    even = np.full(len(guests), 1 / (model.distinct + 1))
+    return seated(guests, model.root_discount, ROOT_STRENGTH, others, even, mixed(hashes, 4), sweep)
 
-def predictive(words: pa.Array, counts: np.ndarray, samples: list[Sample], total: int) -> np.ndarray:
-    """log10 of the averaged probability of each training word."""
-    p = np.zeros(len(words))
-    for sample in samples:
-        spell = spelling(words, sample.letters)
-        tables = _tables(words, counts, sample, spell)
-        p += (counts - WORD_DISCOUNT * tables + (WORD_STRENGTH + WORD_DISCOUNT * sample.tables) * spell) / (WORD_STRENGTH + total)
-    return np.log10(np.maximum(p / len(samples), 1e-300))
 
+_FACTS = 6  # words, ones, twos, root ones, root twos, tokens
 
-def split_words(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
 
+def _swept(model: Model, sweep: int) -> Callable:
+    """Sums of one sweep over a task's parts: tables per context, then those of the parent, of frequent words and of the counts."""
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter[bytes] = Counter()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = len(model.hot), None
+        for batch in batches:
+            for cells in batch.column("cells").to_pylist():
+                part = Part.of(cells)
+                *_, (tables, guests, root) = part.seatings(model, sweep + 1)
+                mine, cold = np.zeros(2 * CONTEXTS + 2 + 2 * n + _FACTS, np.int64), part.hot < 0
+                mine[:CONTEXTS] = np.bincount(part.contexts, weights=tables, minlength=CONTEXTS)
+                mine[CONTEXTS : 2 * CONTEXTS] = np.bincount(part.contexts, weights=part.customers, minlength=CONTEXTS)
+                counts = part.sums(part.customers)
+                at = 2 * CONTEXTS + 2
+                mine[at - 2], mine[at - 1] = guests.sum(), root[cold].sum()
+                mine[at : at + n] = np.bincount(part.hot[~cold], weights=guests[~cold], minlength=n)[:n]
+                mine[at + n : at + 2 * n] = np.bincount(part.hot[~cold], weights=counts[~cold], minlength=n)[:n]
+                singles = [(counts[cold] > 0), part.customers == 1, part.customers == 2, guests[cold] == 1, guests[cold] == 2]
+                mine[at + 2 * n :] = [*(s.sum() for s in singles), part.customers.sum()]
+                total = mine if total is None else total + mine
+        if total is not None:
+            slot = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([packed(sums=total)], pa.binary())], names=["slot", "sums"])
+
+    return run
 
-    def sent() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], ["word", "c"])
-        held.clear()
-        return out
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
     for batch in batches:
-        for text in batch.column("text"):
-            held.update(split_words(text.as_py()))
-            held[END] += 1
-            if len(held) > HELD_WORDS:
-                yield sent()
-    if held:
-        yield sent()
+        for block in batch.column("sums").to_pylist():
+            mine = unpacked(block)["sums"]
+            total = mine if total is None else total + mine
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([packed(sums=total)], pa.binary())], names=["slot", "sums"])
+
+
+def _collected(parts: DataFrame, model: Model, sweep: int) -> np.ndarray:
+    """The sums of a sweep over all parts, added up by two rounds of tasks; the driver gets a few rows of fixed size."""
+    width = shuffle_width(parts.sparkSession)
+    sums = parts.mapInArrow(_swept(model, sweep), "slot int, sums binary").repartition(max(1, width // 8), "slot")
+    total = np.zeros(2 * CONTEXTS + 2 + 2 * len(model.hot) + _FACTS, np.int64)
+    for r in sums.mapInArrow(_added, "slot int, sums binary").collect():
+        total += unpacked(bytes(r["sums"]))["sums"]
+    return total
 
 
-def _known(samples: list[Sample], total: int, distinct: int):
+def _discount(ones: int, twos: int) -> float:
+    return min(max(ones / (ones + 2 * twos), 0.05), 0.95) if ones + twos else 0.5
+
+
+def sample_model(parts: DataFrame, hot: list[bytes], sweeps: int = SWEEPS) -> Model:
+    """The totals after each sweep, from rows of ``cells``."""
+    model = Model(hot, _hashes(pa.array(hot, pa.large_binary())))
+    n, at = len(hot), 2 * CONTEXTS + 2
+    model.hot_counts = np.zeros(n, np.int64)
+    for sweep in range(sweeps):
+        sums = _collected(parts, model, sweep)
+        guests = sums[at : at + n]
+        if sweep == 0:
+            model.customers, model.hot_counts = sums[CONTEXTS : 2 * CONTEXTS], sums[at + n : at + 2 * n]
+            words, ones, twos, root_ones, root_twos, model.tokens = (int(x) for x in sums[at + 2 * n :])
+            model.distinct = words + int((model.hot_counts > 0).sum())
+            model.discount = _discount(ones, twos)
+            model.root_discount = _discount(root_ones + int((guests == 1).sum()), root_twos + int((guests == 2).sum()))
+            tables = np.minimum(guests, 1)
+        else:
+            tables = seat_root(model, guests, model.totals[-1].hot_tables, model.hot_hashes, sweep)
+        model.totals.append(Totals(sums[:CONTEXTS], int(sums[at - 2]), int(sums[at - 1] + tables.sum()), guests, tables))
+    return model
+
+
+def probabilities(part: Part, model: Model, burn: int = BURN) -> tuple[np.ndarray, np.ndarray]:
+    """P(word | context) of every cell, averaged over the kept sweeps (of the unknown symbol where the word is not known), and each
+    word's training occurrences."""
+    counts = part.counts(model)
+    out = np.zeros(len(part.word))
+    kept = range(min(burn, len(model.totals) - 1), len(model.totals))
+    for sweep, (tables, guests, root) in enumerate(part.seatings(model, len(model.totals))):
+        if sweep not in kept:
+            continue
+        t = model.totals[sweep]
+        word = model.root(part._whole(guests, t.hot_guests), part._whole(root, t.hot_tables), sweep)
+        word = np.where(counts > 0, word, model.root(np.zeros(1), np.zeros(1), sweep))
+        spread = (STRENGTH + model.discount * t.tables) / (STRENGTH + model.customers)
+        own = (part.customers - model.discount * tables) / (STRENGTH + model.customers[part.contexts])
+        out += own + spread[part.contexts] * word[part.word]
+    return out / len(kept), counts
+
+
+def _scored(model: Model) -> Callable:
+    """Per part and slice, the sums over the texts' tokens that the part owns."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "word"):
-            counts = batch.column("c").to_numpy()
-            base = np.log10((counts + 1) / (total + distinct + 1))
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(base), pa.array(predictive(batch.column("word"), counts, samples, total))], ["word", "base", "score"])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                part = Part.of(batch.column("cells")[i].as_py())
+                p, counts = probabilities(part, model)
+                score = np.log10(np.maximum(p, 1e-300))
+                base = np.log10((counts + 1) / (model.tokens + model.distinct + 1))
+                known = (counts > 0)[part.word]
+                base = base[part.word]
+                firsts, blocks = batch.column("first")[i].as_py(), []
+                for block in batch.column("blocks")[i]:
+                    b = unpacked(block.as_py())
+                    cell, weight = np.cumsum(b["cells"]), b["counts"].astype(np.float64)
+                    text, at = np.unique(b["texts"], return_inverse=True)
+                    sums = {n: np.bincount(at, weights=weight * v[cell], minlength=len(text)) for n, v in (("score", score), ("base", base), ("known", known))}
+                    blocks.append(packed(texts=text, score=sums["score"], base=sums["base"], known=sums["known"].astype(np.uint32)))
+                yield pa.RecordBatch.from_arrays([pa.array(firsts, pa.int64()), pa.array(blocks, pa.binary())], names=["first", "block"])
 
     return run
 
 
-def _asked(table: pa.Table) -> pa.Table:
-    words: set[bytes] = {END}
-    for text in table.column("text"):
-        words.update(split_words(text.as_py()))
-    part = table.column("part")[0].as_py() if table.num_rows else None
-    return pa.table({"part": pa.array([part] * len(words), pa.int64()), "word": pa.array(list(words), pa.binary())})
+def _answered(tokens: int) -> Callable:
+    """The rows of one slice: its facts and the sums of all parts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        read = [unpacked(b) for b in table.column("block").to_pylist()]
+        facts = next(b for b in read if "ids" in b)
+        n = len(facts["ids"])
+        score, base, known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
+        for b in read:
+            if "ids" not in b:
+                score[b["texts"]] += b["score"]
+                base[b["texts"]] += b["base"]
+                known[b["texts"]] += b["known"]
+        ids = pa.array(facts["ids"], pa.int64(), mask=facts["known"] == 0)
+        return pa.table(
+            {
+                "doc_id": ids,
+                "held_out": pa.array(facts["held"].astype(bool)),
+                "n_tokens": pa.array(facts["tokens"], pa.int64()),
+                "n_known": pa.array(known),
+                "train_tokens": pa.array(np.full(n, tokens), pa.int64()),
+                "base_score": pa.array(base),
+                "score": pa.array(score),
+            }
+        )
 
+    return run
 
-def _scored(new_score: float, total: int, distinct: int):
-    new_base = np.log10(1 / (total + distinct + 1))
 
-    def run(_, left: pa.Table, right: pa.Table) -> pa.Table:
-        place = {w: i for i, w in enumerate(right.column("word").to_pylist())}
-        known = len(place)
-        base, score = np.append(right.column("base").to_numpy(), new_base), np.append(right.column("score").to_numpy(), new_score)
-        texts = [split_words(t.as_py()) for t in left.column("text")]
-        found = []
-        for text in texts:
-            ids = np.fromiter((place.get(w, known) for w in (*text, END)), np.int64, len(text) + 1)
-            found.append((len(ids), int((ids < known).sum()), float(base[ids].sum()), float(score[ids].sum())))
-        columns = list(zip(*found, strict=True)) or [[]] * 4
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        values = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-        return pa.table([left.column("doc_id"), left.column("held_out"), *values], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+def _frequent(texts: DataFrame) -> list[bytes]:
+    """At most ``HOT`` words that make up a large share of a bounded sample; being among them changes where a word is counted only."""
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    share = min(1.0, SAMPLE_CHARS / chars) if chars else 1.0
 
-    return run
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text", SLICE):
+            words, token, _ = _tokens(batch)
+            n = np.bincount(token, minlength=len(words))
+            yield pa.RecordBatch.from_arrays([words.cast(pa.binary()), pa.array(n, pa.int64())], names=["word", "n"])
+
+    counts = texts.filter(F.rand(7) < share).mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.filter(F.col("n") * HOT >= F.lit(total)).orderBy(F.desc("n"), "word").limit(HOT).collect()
+    return sorted(bytes(r["word"]) for r in found)
+
+
+def seat_documents(docs: DataFrame, held_out: Column) -> tuple[DataFrame, list[bytes]]:
+    """The parts' rows, and those of the slices' facts (part below 0), with the frequent words."""
+    texts = docs.select(
+        F.monotonically_increasing_id().alias("row"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        F.coalesce(held_out, F.lit(False)).alias("held_out"),
+    )
+    parts, hot = parts_for(texts, "text", 16), _frequent(texts.select("text"))
+    sent = texts.mapInArrow(_sent(parts, hot), BLOCK)
+    dealt = sent.repartitionById(parts, F.pmod("part", F.lit(parts)).cast("int")).sortWithinPartitions("part", "first")
+    return materialize(dealt.mapInArrow(_owned(hot), ROW), "parts"), hot
 
 
 def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; ``held_out`` says which rows the model doesn't learn from."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    counted = texts.where("not held_out").select("text").mapInArrow(_counted, "word binary, c long")
-    words = materialize(counted.groupBy("word").agg(F.sum("c").alias("c")), "words")
-    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    samples = sample_model(words)
-    table = words.mapInArrow(_known(samples, total, distinct), "word binary, base double, score double")
-    parts = parts_for(texts, "text")
-    dealt = texts.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("long"))
-    asked = dealt.groupBy("part").applyInArrow(_asked, "part long, word binary")
-    answers = asked.join(table, "word").select("part", "word", "base", "score")
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    scored = dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_scored(unknown(samples, total), total, distinct), schema)
-    return scored.withColumn("train_tokens", F.lit(total).cast("long"))
+    rows, hot = seat_documents(docs, held_out)
+    parts = rows.filter("part >= 0")
+    model = sample_model(parts.select("cells"), hot)
+    sums = parts.select("cells", "first", "blocks").mapInArrow(_scored(model), "first long, block binary")
+    facts = rows.filter("part < 0").select(F.col("first")[0].alias("first"), F.col("blocks")[0].alias("block"))
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return facts.unionByName(sums).groupBy("first").applyInArrow(_answered(model.tokens), schema)
