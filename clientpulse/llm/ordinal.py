@@ -1,11 +1,14 @@
 """Ordinal quality grades by a cumulative-link model on hashed text.
 
 P(grade > k) = sigmoid(w . x - threshold_k), one weight vector for all thresholds, and thresholds in order. x are hashed words, each at
-most once per text and scaled to unit length, and a few shape measures. The model is fitted on at most ``FIT_ROWS`` rated rows, those
+most once per text, as they stand between white space and as runs of letters, and a few shape measures. The model is fitted on at most ``FIT_ROWS`` rated rows, those
 whose hashed id is smallest; scoring reads every row and moves none.
 
-Ratings: 0 toxic, 1 poor, 2 good. Rows without a rating don't take part in fitting. With fewer than two grades among the ratings every row
-gets the one grade (2 where there is none) with probability 1. Null text is empty. Rows are answered one by one, repeated ids included. An
+Ratings count the faults that a label names: 2 for none, 1 for poor or toxic, 0 for both. Each fault takes one grade off, so a text of a
+lower grade has more of what lowers the score, and one weight per word can order them; toxic, poor and good as three grades could
+not, since most toxic texts are well written. Of several labels of a text the lowest grade counts. Rows without a rating don't take part
+in fitting. Fitting is unweighted, so tail probabilities are those of the rated population. With fewer than two grades among the ratings
+every row gets the one grade (2 where there is none) with probability 1. Null text is empty. Rows are answered one by one, repeated ids included. An
 empty table gives an empty result. Other columns are ignored.
 """
 
@@ -19,12 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clientpulse.llm.texts import Words, byte_column, sliced
+from clientpulse.llm.texts import SPACES, Words, byte_column, sliced
 
 FIT_ROWS = 6_000
 BUCKETS, SHAPES, GRADES = 1 << 16, 6, 3
-STEPS, RATE, DECAY = 400, 0.05, 1e-4
-KEEP_TAIL = 0.5  # a document is selected when a grade above the lowest is at least as likely as not
+STEPS, RATE, DECAY = 400, 0.2, 3e-4
+LEAST_TEXTS = 5
+_APART = np.ones(256, bool)
+_APART[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
+# words between white space, scaled to unit length, and runs of letters and digits, of which a single one may decide
+KINDS = ((SPACES, 0.5), (_APART, 0.4))
+HASHED = len(KINDS) * BUCKETS
+KEEP_TAIL = 0.5  # a document is selected when no fault is at least as likely as one
 
 
 @dataclass(frozen=True)
@@ -39,11 +48,17 @@ class Model:
 
 def features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, column and value of every nonzero feature; rows have about unit length whatever the text's length."""
-    words = Words(batch.column("text"), lower=True)
     n = batch.num_rows
-    pair = np.unique(words.row * np.int64(BUCKETS) + (words.hashes % np.uint64(BUCKETS)).astype(np.int64))
-    row, column = pair // BUCKETS, pair % BUCKETS
-    value = 1 / np.sqrt(np.bincount(row, minlength=n))[row]
+    rows, columns, values = [], [], []
+    for place, (gap, power) in enumerate(KINDS):
+        words = Words(batch.column("text"), lower=True, gap=gap)
+        pair = np.unique(words.row * np.int64(BUCKETS) + (words.hashes % np.uint64(BUCKETS)).astype(np.int64))
+        row = pair // BUCKETS
+        rows.append(row)
+        columns.append(pair % BUCKETS + place * BUCKETS)
+        values.append(1 / np.bincount(row, minlength=n)[row] ** power)
+        if place == 0:
+            count, distinct = np.diff(words.first), np.bincount(row, minlength=n)
     data, offsets = byte_column(batch.column("text"))
 
     def share(mask: np.ndarray) -> np.ndarray:
@@ -51,20 +66,19 @@ def features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         return (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(np.diff(offsets), 1)
 
     letter = ((data | 32) >= 97) & ((data | 32) <= 122) | (data >= 128)
-    count = np.diff(words.first)
     shapes = np.stack(
         [
             np.ones(n),
             share(letter),
             share((data >= 48) & (data <= 57)),
             share((data == 10)),
-            np.bincount(row, minlength=n) / np.maximum(count, 1),
+            distinct / np.maximum(count, 1),
             np.log1p(count) / 10,
         ],
         axis=1,
     )
     own = np.repeat(np.arange(n), SHAPES)
-    return np.concatenate([row, own]), np.concatenate([column, BUCKETS + np.tile(np.arange(SHAPES), n)]), np.concatenate([value, shapes.ravel()])
+    return np.concatenate([*rows, own]), np.concatenate([*columns, HASHED + np.tile(np.arange(SHAPES), n)]), np.concatenate([*values, shapes.ravel()])
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,25 +98,25 @@ def fit(rated: DataFrame, rows: int = FIT_ROWS) -> Model:
     present = np.unique(grades)
     if len(present) < 2:
         only = int(present[0]) if len(present) else GRADES - 1
-        return Model(np.zeros(BUCKETS + SHAPES), np.where(np.arange(GRADES - 1) < only, -1e3, 1e3))
+        return Model(np.zeros(HASHED + SHAPES), np.where(np.arange(GRADES - 1) < only, -1e3, 1e3))
     lists = got.column("columns").combine_chunks()
     row = np.repeat(np.arange(len(grades)), np.diff(lists.offsets.to_numpy()))
     column, value = lists.flatten().to_numpy(), got.column("values").combine_chunks().flatten().to_numpy().astype(float)
+    seen = np.bincount(column, minlength=HASHED + SHAPES) >= LEAST_TEXTS  # rarer ones would only name single texts
+    row, column, value = row[seen[column]], column[seen[column]], value[seen[column]]
     above = (grades[:, None] > np.arange(GRADES - 1)[None, :]).astype(float)
-    share = np.clip(above.mean(0), 1e-3, 1 - 1e-3)
-    weight = np.where(above > 0, 0.5 / share, 0.5 / (1 - share)) / len(grades)  # each side of a threshold counts the same
-    free = np.concatenate([np.zeros(BUCKETS + SHAPES), [0.0], np.full(GRADES - 2, np.log(0.5))])
+    free = np.concatenate([np.zeros(HASHED + SHAPES), [0.0], np.full(GRADES - 2, np.log(0.5))])
     first, second = np.zeros_like(free), np.zeros_like(free)
     for step in range(1, STEPS + 1):
         model = _model(free)
         score = np.bincount(row, weights=value * free[column], minlength=len(grades))
-        slope = (model.tails(score) - above) * weight
+        slope = (model.tails(score) - above) / len(grades)
         gradient = np.empty_like(free)
-        gradient[: BUCKETS + SHAPES] = np.bincount(column, weights=value * slope.sum(1)[row], minlength=BUCKETS + SHAPES) + DECAY * free[: BUCKETS + SHAPES]
+        gradient[: HASHED + SHAPES] = np.bincount(column, weights=value * slope.sum(1)[row], minlength=HASHED + SHAPES) + DECAY * free[: HASHED + SHAPES]
         by_threshold = -slope.sum(0)
         later = np.cumsum(by_threshold[::-1])[::-1]
-        gradient[BUCKETS + SHAPES] = later[0]
-        gradient[BUCKETS + SHAPES + 1 :] = later[1:] * np.exp(free[BUCKETS + SHAPES + 1 :])
+        gradient[HASHED + SHAPES] = later[0]
+        gradient[HASHED + SHAPES + 1 :] = later[1:] * np.exp(free[HASHED + SHAPES + 1 :])
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
         free -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     return _model(free)
@@ -110,8 +124,8 @@ def fit(rated: DataFrame, rows: int = FIT_ROWS) -> Model:
 
 def _model(free: np.ndarray) -> Model:
     """Thresholds are a first one and positive steps, so they stay in order."""
-    rest = free[BUCKETS + SHAPES :]
-    return Model(free[: BUCKETS + SHAPES], rest[0] + np.concatenate([[0.0], np.cumsum(np.exp(rest[1:]))]))
+    rest = free[HASHED + SHAPES :]
+    return Model(free[: HASHED + SHAPES], rest[0] + np.concatenate([[0.0], np.cumsum(np.exp(rest[1:]))]))
 
 
 def _graded(model: Model):
@@ -119,22 +133,23 @@ def _graded(model: Model):
         for batch in sliced(batches, "text"):
             row, column, value = features(batch)
             tails = model.tails(np.bincount(row, weights=value * model.weights[column], minlength=batch.num_rows))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tails.sum(1)), pa.array(tails[:, 0]), pa.array(tails[:, -1])], ["doc_id", "expected_grade", "p_not_toxic", "p_good"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tails.sum(1)), pa.array(tails[:, 0]), pa.array(tails[:, -1])], ["doc_id", "expected_grade", "p_not_both", "p_clean"])
 
     return run
 
 
 def grade(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, expected_grade (0 to 2), p_not_toxic = P(grade > 0), p_good = P(grade > 1), kept."""
+    """doc_id, expected_grade (0 to 2), p_not_both = P(grade > 0), p_clean = P(grade > 1), kept."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    graded = texts.mapInArrow(_graded(model), "doc_id long, expected_grade double, p_not_toxic double, p_good double")
-    return graded.withColumn("kept", F.col("p_not_toxic") >= KEEP_TAIL)
+    graded = texts.mapInArrow(_graded(model), "doc_id long, expected_grade double, p_not_both double, p_clean double")
+    return graded.withColumn("kept", F.col("p_clean") >= KEEP_TAIL)
 
 
 def ratings(labels: DataFrame) -> DataFrame:
-    """doc_id and grade: 0 toxic, else 1 or 2 by quality; null where the label says neither."""
-    value = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
-    return labels.select("doc_id", value.alias("grade")).dropDuplicates(["doc_id"])
+    """doc_id and grade: 2 less one for each fault the label names; null where it names neither quality nor toxicity."""
+    faults = (F.coalesce(F.col("toxic"), F.lit(0)) == 1).cast("int") + (F.coalesce(F.col("quality"), F.lit(1)) == 0).cast("int")
+    value = F.when(F.col("toxic").isNotNull() | F.col("quality").isNotNull(), F.lit(GRADES - 1) - faults)
+    return labels.groupBy("doc_id").agg(F.min(value).alias("grade"))
 
 
 def fit_on_labels(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
 WHITE = b" \t\n\x0b\x0c\r"
-_WHITE = np.zeros(256, bool)
-_WHITE[list(WHITE)] = True
+SPACES = np.zeros(256, bool)
+SPACES[list(WHITE)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15 | 3, 0xC2B2AE3D27D4EB4F | 3
@@ -89,13 +89,16 @@ def span_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: in
 
 
 class Words:
-    """Start and end byte, and 64-bit hash, of every word; ``first[d]:first[d + 1]`` are the words of row d."""
+    """Start and end byte, and 64-bit hash, of every word; ``first[d]:first[d + 1]`` are the words of row d.
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    ``gap`` says of each byte whether it parts words, white space if not given.
+    """
+
+    def __init__(self, column: pa.Array, lower: bool = False, gap: np.ndarray = SPACES):
         self.data, offsets = byte_column(column)
         if lower:
             self.data = _LOWER[self.data]
-        gap = _WHITE[self.data]
+        gap = gap[self.data]
         begin, end = ~gap, ~gap
         begin[1:] &= gap[:-1]
         end[:-1] &= gap[1:]
