@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clientpulse.llm.texts import WHITE, byte_column, sliced
@@ -98,6 +98,22 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns; rows of the same id stay or go together."""
-    gone = exact_groups(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """The documents that stay, with all their columns: exactly one row of each group of equal texts.
+
+    Rows are told by their id; only those with an id that several rows have, or with none, are told by their texts' digests too. Of rows
+    equal in both any one stays, as they differ in white space at most.
+    """
+    groups = materialize(exact_groups(docs), "groups")
+    gone = groups.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    shared = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("_shared"))
+    shared = materialize(shared, "shared")
+    if shared.isEmpty():
+        return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    bare = F.sha2(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]", "").cast("binary"), 256)
+    # an id may stay for one text and go for another: rows with such ids are judged by their text
+    repeated = docs.join(shared, docs["doc_id"].eqNullSafe(shared["_shared"]), "left_semi").withColumn("_digest", bare)
+    plain = docs.join(shared, docs["doc_id"].eqNullSafe(shared["_shared"]), "left_anti").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    keepers = groups.select(F.col("text_sha256").alias("_text"), F.col("keep_id").alias("_keep")).distinct()
+    stays = repeated.join(keepers, (F.col("_digest") == F.col("_text")) & F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    place = F.row_number().over(Window.partitionBy("_digest", "doc_id").orderBy("_digest"))
+    return plain.unionByName(stays.withColumn("_place", place).where("_place = 1").select(docs.columns))

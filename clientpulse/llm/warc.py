@@ -8,8 +8,8 @@ its pieces take; sums over the splits of a file give absolute offsets. Each piec
 successor's offset. Pointer jumping from the start of each file, twice as far in every round, keeps the reachable candidates, so
 magic inside a payload never starts a record. A payload that holds magic is put together again from the pieces it was cut into.
 
-Null html is the empty payload. Pages with the same id and payload are separate records; a null id loses every tie, and such records
-refer to no id. An empty table writes no record and reads back as no row. Other columns are ignored.
+Null html is the empty payload. Pages with the same id are separate records, each with its own payload; those with the largest id of a
+payload are all responses. A page with a null id is always a response, and nothing refers to it. An empty table writes no record and reads back as no row. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,9 +51,11 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> N
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     digests = own.select("page_id", F.octet_length("html").alias("size"), F.sha2(F.col("html").cast("binary"), 256).alias("digest")).where(F.col("size") >= min_revisit_bytes)
     shared = digests.groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    later = digests.join(shared, "digest").where(F.coalesce(F.col("page_id") < F.col("first"), F.lit(False))).select(F.col("page_id").alias("_page"), F.col("first").alias("_first")).distinct()
+    later = digests.join(shared, "digest").where(F.coalesce(F.col("page_id") < F.col("first"), F.lit(False)))
+    later = later.select(F.col("page_id").alias("_page"), F.col("digest").alias("_same"), F.col("first").alias("_first")).distinct()
     later = materialize(later, "revisits")
-    rows = own.join(later, own["page_id"] == later["_page"], "left")
+    # an id may stand for several payloads, so a revisit is told by both
+    rows = own.join(later, (own["page_id"] == later["_page"]) & (F.sha2(own["html"].cast("binary"), 256) == later["_same"]), "left")
     revisit = F.col("_first").isNotNull()
     block = F.when(revisit, F.lit(_HTTP)).otherwise(F.concat(F.lit(_HTTP), F.col("html")))
 
@@ -208,8 +210,8 @@ def round_trip(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_archives(pages, path, min_revisit_bytes)
     records = materialize(read_archives(spark, path), "records")
-    sizes = records.where("record_type = 'response'").select(F.col("page_id").alias("_id"), F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest"))
-    revisits = records.where("record_type = 'revisit'").join(sizes, F.col("refers_to") == F.col("_id"), "left")
+    sizes = records.where("record_type = 'response'").select(F.col("page_id").alias("_id"), F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest")).distinct()
+    revisits = records.where("record_type = 'revisit'").join(sizes, (F.col("refers_to") == F.col("_id")) & (F.col("named_digest") == F.col("_digest")), "left")
     revisits = revisits.withColumns({"payload_bytes": F.col("_bytes"), "payload_digest": F.col("named_digest")})
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
     return records.where("record_type = 'response'").select(columns).unionByName(revisits.select(columns))
