@@ -215,7 +215,7 @@ def count_stream(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, te
         if held:
             yield _runs(held, least, longest)
 
-    blocks = rows.mapInArrow(sent, "part int, block binary").repartition(len(borders) + 1, "part").sortWithinPartitions("part")
+    blocks = rows.mapInArrow(sent, "part int, block binary").repartitionById(len(borders) + 1, F.col("part")).sortWithinPartitions("part")
     counted = materialize(blocks.mapInArrow(merged, "lang string, k int, phrase string, f long"), "runs")
     total = counted.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
     return materialize(total.filter((F.col("k") == 0) | (F.col("f") >= least)), "stream")
@@ -262,14 +262,14 @@ def _runs(blocks: list[bytes], least: int, longest: int) -> pa.RecordBatch:
 def scored(stream: DataFrame) -> DataFrame:
     """Candidates that no longer one absorbs, with their weakest cut: ``lang, phrase, a, l, r, n, score``."""
     counts = stream.filter("k > 0").select("lang", "phrase", "f")
-    words = stream.filter("k = 0").select("lang", F.col("f").alias("n"))
+    # one row per language, written so that Spark knows its size
+    words = materialize(stream.filter("k = 0").select("lang", F.col("f").alias("n")), "words")
     candidates = stream.filter("k > 1").select("lang", "k", "phrase", F.col("f").alias("a"))
     cut = candidates.withColumn("c", F.explode(F.sequence(F.lit(1), F.col("k") - 1)))
     cut = cut.withColumn("head", F.expr("substring_index(phrase, ' ', c)")).withColumn("tail", F.expr("substring_index(phrase, ' ', c - k)"))
     heads = counts.select("lang", F.col("phrase").alias("head"), F.col("f").alias("l"))
     tails = counts.select("lang", F.col("phrase").alias("tail"), F.col("f").alias("r"))
     parts = cut.join(heads.hint("merge"), ["lang", "head"]).join(tails.hint("merge"), ["lang", "tail"])
-    # one row per language
     parts = parts.join(words, "lang")
     whole = "cast({} as decimal(38, 0))"
     value = F.expr(f"({whole.format(1000)} * {whole.format('a')} * {whole.format('n')}) div ({whole.format('l')} * {whole.format('r')})")
