@@ -60,7 +60,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and their log trigram probabilities, from ``labelled`` (id, text, label); the driver gets languages x buckets counts."""
-    sample = labelled.where("label is not null and text is not null").orderBy(F.xxhash64("id", "text"), "id").limit(rows).select("text", "label")
+    usable = labelled.where("label is not null and text is not null").withColumn("_key", F.xxhash64("id", "text"))
+    # keys are chosen first, at most ``rows`` of them, and texts are read where they lie
+    chosen = usable.select("_key").distinct().orderBy("_key").limit(rows)
+    sample = usable.join(F.broadcast(chosen), "_key", "left_semi").select("text", "label")
     got = sample.mapInArrow(_counted, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(got["label"].unique())
     counts = np.ones((len(languages), BUCKETS))
