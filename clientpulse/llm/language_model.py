@@ -12,8 +12,8 @@ With c customers and t tables of a word in context u, discount d and strength s,
 and likewise P(word) over its even base; in every context it adds up to one over all outcomes. Discounts follow from how many
 cells hold one and two customers.
 
-A sweep takes the customers of each dish out of their restaurant and seats them again one by one, given the tables of the others and the
-parent's state of the sweep before. After ``BURN`` sweeps the predictive probabilities of the following ones are averaged.
+A sweep takes the customers of each dish out of their restaurant and seats them again, given the tables of the others and the parent's
+state of the sweep before. After ``BURN`` sweeps the predictive probabilities of the following ones are averaged.
 Every draw is a hash of the word, its context, the sweep and the customer: a seating is the same however the rows are dealt, and any task
 can repeat the seatings so far from the cells and the totals of the earlier sweeps, so no seating has to be kept or moved.
 
@@ -47,7 +47,7 @@ SWEEPS, BURN = 4, 2
 STRENGTH, ROOT_STRENGTH = 1.0, 10.0
 SLICE, SLICE_ROWS = 4 << 20, 1 << 16
 HOT, SAMPLE_CHARS = 4096, 4_000_000
-STEPS = 64  # customers that are seated one by one before whole runs without a new table are
+RUN = 64
 START = 0  # the context of a text's first token
 END = b""  # no word is empty, so the end token has this place
 BLOCK = "part int, first long, block binary"
@@ -210,62 +210,34 @@ def _row(part: int, cells: bytes | None, first: list[int], blocks: list[bytes])
 ROW = "part int, cells binary, first array<long>, blocks array<binary>"
 
 
-def uniform(seeds: np.ndarray, sweep: int, customer: np.ndarray | int) -> np.ndarray:
+def uniform(seeds: np.ndarray, sweep: int, customer: int) -> np.ndarray:
     """A number in (0, 1) per seed, sweep and customer."""
-    step = np.atleast_1d(np.asarray(customer, np.uint64)) * np.uint64(0xD1342543DE82EF95)
-    step += np.uint64(sweep * 0x9E3779B97F4A7C15 % (1 << 64))
-    return ((mixed(mixed(seeds + step)) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
-
-
-def _log_gamma(x: np.ndarray) -> np.ndarray:
-    """Of positive numbers: Stirling's series eight places further on."""
-    shift = np.zeros_like(x)
-    for k in range(8):
-        shift += np.log(x + k)
-    y = x + 8
-    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + series - shift
+    step = (customer * 0xD1342543DE82EF95 + sweep * 0x9E3779B97F4A7C15) % (1 << 64)
+    return ((mixed(seeds + np.uint64(step)) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
 def seated(customers: np.ndarray, discount: float, strength: float, others: np.ndarray, base: np.ndarray, seeds: np.ndarray, sweep: int) -> np.ndarray:
     """Tables of each dish when its customers sit down one after another.
 
     With i of them seated at t tables, the next one opens a table with weight (strength + discount (others + t)) base against i - discount t.
-    The first ``STEPS`` customers draw one by one; after that, the customer who opens the next table is drawn at once from the
-    probability that nobody does before, a ratio of gamma functions. Both follow the same law.
+    They come in runs of a ``RUN``-th of those seated, one at least, whose odds are those of the run's first; the new tables of a run
+    are their expected number, rounded up or down at random, which for a run of one is the draw itself.
     """
     tables = np.minimum(customers, 1)
     order = np.argsort(-customers, kind="stable")
-    left, pull, own, got = customers[order], base[order], seeds[order], tables[order].astype(np.float64)
-    rest = others[order]
-    for done in range(1, STEPS):
-        active = int(np.searchsorted(-left, -done, "left"))
+    left, pull, own, rest = customers[order], base[order], seeds[order], others[order]
+    got = tables[order].astype(np.float64)
+    done = 1
+    while True:
+        active = int(np.searchsorted(-left, -done, "left"))  # those with more customers than are seated
         if not active:
             break
-        new = (strength + discount * (rest[:active] + got[:active])) * pull[:active]
-        got[:active] += uniform(own[:active], sweep, done) * (done - discount * got[:active] + new) < new
-    at = np.flatnonzero(left > STEPS)
-    done = np.full(len(at), float(STEPS))
-    while len(at):
-        new = (strength + discount * (rest[at] + got[at])) * pull[at]
-        x, y = done - discount * got[at], left[at] - discount * got[at]
-        draw = np.log(uniform(own[at], sweep, done.astype(np.uint64)))
-        start = _log_gamma(x) - _log_gamma(x + new)
-
-        def survived(until: np.ndarray, start=start, new=new) -> np.ndarray:
-            return _log_gamma(until) - _log_gamma(until + new) - start
-
-        opens = survived(y) < draw
-        at, done, x, draw, new, start = (v[opens] for v in (at, done, x, draw, new, start))
-        low, high = np.zeros(len(at), np.int64), left[at] - done.astype(np.int64)
-        while (high - low > 1).any():  # the first customer by whom nobody opening a table is less likely than the draw
-            middle = (low + high) // 2
-            short = survived(x + middle, start, new) < draw
-            high, low = np.where(short, middle, high), np.where(short, low, middle)
-        got[at] += 1
-        done += high
-        on = done < left[at]
-        at, done = at[on], done[on]
+        t = got[:active]
+        new = (strength + discount * (rest[:active] + t)) * pull[:active]
+        run = max(1, done // RUN)
+        comes = np.minimum(run, left[:active] - done) if run > 1 else 1
+        t += np.floor(comes * (new / (done - discount * t + new)) + uniform(own[:active], sweep, done))
+        done += run
     tables[order] = got.astype(np.int64)
     return tables
 
