@@ -1,7 +1,10 @@
+import os
 import sys
 
 import pytest
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
 EDGES = "doc_id long, text string, lang string, source string, n_chars long, part string, block string"
 
 

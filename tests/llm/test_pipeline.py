@@ -10,8 +10,8 @@ from clientpulse.llm import queries
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.abspath(__file__)), "..", "..", "tools"))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+from brute import brute_groups, brute_removed, texts_of, words  # noqa: E402
 from check_oracles import compare, duck, rows_of  # noqa: E402
-from test_operators import brute_groups, brute_removed, texts_of, words  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
