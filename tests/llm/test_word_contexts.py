@@ -25,15 +25,15 @@ def chain(spark):
     return spark.createDataFrame(rows, "doc_id long, text string")
 
 
-def scored(docs, held=F.col("doc_id") % 5 == 0):
-    return {(r["doc_id"], r["n_tokens"]): r for r in L.score_documents(docs, held).collect()}
+def scored(docs):
+    return {(r["doc_id"], r["n_tokens"]): r for r in L.score_documents(docs, F.col("doc_id") % 5 == 0).collect()}
 
 
 def test_outcomes_sum_to_one_in_every_context(spark, chain, monkeypatch):
-    for hot in (L.HOT, 4):
+    for hot in (L.HOT, 40, 1):  # all words are frequent, some are, none is
         monkeypatch.setattr(L, "HOT", hot)
         rows, frequent = L.seat_documents(chain, F.col("doc_id") % 5 == 0)
-        assert 0 < len(frequent) <= hot
+        assert len(frequent) <= hot and (len(frequent) > 0) == (hot > 1)
         cells = rows.filter("part >= 0").select("cells")
         model = L.sample_model(cells, frequent)
         assert len(model.totals) == L.SWEEPS and model.tokens > 0
