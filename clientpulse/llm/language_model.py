@@ -48,6 +48,7 @@ STRENGTH, ROOT_STRENGTH = 1.0, 10.0
 SLICE, SLICE_ROWS = 4 << 20, 1 << 16
 HOT, SAMPLE_CHARS = 4096, 4_000_000
 RUN = 64
+UNIT = 2.0**-24  # parts' sums are rounded to it, so a text's score is right to a few millionths
 START = 0  # the context of a text's first token
 END = b""  # no word is empty, so the end token has this place
 BLOCK = "part int, first long, block binary"
@@ -417,6 +418,12 @@ def probabilities(part: Part, model: Model, burn: int = BURN) -> tuple[np.ndarra
     return out / len(kept), counts
 
 
+def _units(sums: np.ndarray) -> np.ndarray:
+    """Sums of logarithms as whole multiples of ``UNIT``, half as wide and the same in whatever order they are added."""
+    whole = np.rint(sums / UNIT).astype(np.int64)
+    return whole.astype(np.int32) if np.abs(whole).max(initial=0) < 1 << 31 else whole
+
+
 def _scored(model: Model) -> Callable:
     """Per part and slice, the sums over the texts' tokens that the part owns."""
 
@@ -435,7 +442,7 @@ def _scored(model: Model) -> Callable:
                     cell, weight = np.cumsum(b["cells"]), b["counts"].astype(np.float64)
                     text, at = np.unique(b["texts"], return_inverse=True)
                     sums = {n: np.bincount(at, weights=weight * v[cell], minlength=len(text)) for n, v in (("score", score), ("base", base), ("known", known))}
-                    blocks.append(packed(texts=text, score=sums["score"], base=sums["base"], known=sums["known"].astype(np.uint32)))
+                    blocks.append(packed(texts=text, score=_units(sums["score"]), base=_units(sums["base"]), known=sums["known"].astype(np.uint32)))
                 yield pa.RecordBatch.from_arrays([pa.array(firsts, pa.int64()), pa.array(blocks, pa.binary())], names=["first", "block"])
 
     return run
@@ -448,7 +455,7 @@ def _answered(tokens: int) -> Callable:
         read = [unpacked(b) for b in table.column("block").to_pylist()]
         facts = next(b for b in read if "ids" in b)
         n = len(facts["ids"])
-        score, base, known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
+        score, base, known = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
         for b in read:
             if "ids" not in b:
                 score[b["texts"]] += b["score"]
@@ -462,8 +469,8 @@ def _answered(tokens: int) -> Callable:
                 "n_tokens": pa.array(facts["tokens"], pa.int64()),
                 "n_known": pa.array(known),
                 "train_tokens": pa.array(np.full(n, tokens), pa.int64()),
-                "base_score": pa.array(base),
-                "score": pa.array(score),
+                "base_score": pa.array(base * UNIT),
+                "score": pa.array(score * UNIT),
             }
         )
 
