@@ -1,8 +1,10 @@
 """Exact n-gram Jaccard join by prefix trees, and the groups its links form.
 
-A document's set is its distinct word shingles in one global order, rarest first by a count sketch of all documents. Equal sets become one
-class. Sets that reach the threshold share one of their first elements, so every class reports its first elements; each element names the smallest
-class that reports it, its pivot, and a class joins the buckets of its pivots: any two that share a first element meet in one bucket.
+A document's set is its distinct word shingles. Equal sets become one class. A shingle of one class alone adds to no overlap, so each class
+first learns how many of its shingles others have too, and leaves if these are fewer than a link needs. The classes that stay learn which
+shingles they share, and how common those are among them: that is the global order, rarest first. Sets that reach the threshold share one
+of their first shared elements, so every class reports those; each element names the smallest class that reports it, its pivot, and a class
+joins the buckets of its pivots: any two that share a first element meet in one bucket.
 Members without another of like size, or whose
 odd sketch differs from all others by more bits than a link allows, leave the bucket before any text moves. In a bucket the sets stand in a trie of shared beginnings. Each set walks it, adding up the overlap with every shared segment once, and leaves
 a subtree when no length in it can still reach the threshold, or when all of it already belongs to the walker's group.
@@ -11,6 +13,8 @@ Buckets over ``BLOCK`` shingles are cut into blocks that all hold the pivot. Wha
 with all its blocks, so no link between different sets is lost and nothing is compared that is already together. Links are one per set and
 bucket; groups come from alternating stars over them.
 
+A class is known by a 64-bit name; where two different sets get the same one, all are named anew.
+
 Null, empty or white-only text has the empty set and is linked with nothing. Repeated ids are one document each and count as equal ids in groups;
 a null id is never the smallest unless alone. An empty table gives an empty result. Other columns are ignored.
 """
@@ -25,19 +29,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clientpulse.llm.shared_shingles import PART_MB, rarest_shared, shared_counts
 from clientpulse.llm.texts import Words, mixed, parts_for, sliced
 from clientpulse.session import materialize
 
 SIZE, LEAST = 4, 85  # words of a shingle; percent
-SKETCH = 1 << 15
+NAMINGS = 16  # tries to name all sets apart
+ENTRIES = 1 << 20  # shingles that a task sorts at a time
 SMALL = 200  # what a set of any size counts for in a block
 BLOCK = 600_000  # shingles of the sets that one trie holds, about
 
 
 class Sets:
-    """The distinct shingles of every row, as ``items[first[d]:first[d + 1]]`` in global order."""
+    """The distinct shingles of every row, as ``items[first[d]:first[d + 1]]`` in order of their hashes."""
 
-    def __init__(self, column: pa.Array, size: int, sketch: np.ndarray | None = None):
+    def __init__(self, column: pa.Array, size: int):
         words = Words(column, lower=True)
         at, hashes = words.windows(size)
         row = words.row[at]
@@ -46,8 +52,6 @@ class Sets:
         if len(short):  # the whole sequence is the one shingle
             whole = [mixed(np.array([np.bitwise_xor.reduce(mixed(words.hashes[words.first[d] : words.first[d + 1]] + np.arange(count[d], dtype=np.uint64)))], np.uint64), 77 + count[d])[0] for d in short]
             row, hashes = np.concatenate([row, short]), np.concatenate([hashes, np.array(whole, np.uint64)])
-        if sketch is not None:  # the level of an element's count, then its hash
-            hashes = (sketch[(hashes % np.uint64(SKETCH)).astype(np.int64)].astype(np.uint64) << np.uint64(57)) | (hashes >> np.uint64(7))
         order = np.lexsort((hashes, row))
         row, hashes = row[order], hashes[order]
         fresh = np.ones(len(row), bool)
@@ -68,51 +72,59 @@ class Sets:
             out.append(np.packbits((flips & 1).astype(np.uint8)).tobytes())
         return out
 
-    def names(self) -> tuple[np.ndarray, np.ndarray]:
+    def names(self, naming: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Two 64-bit names of each row's set."""
         out = []
-        for seed in (1, 2):
+        for seed in (2 * naming + 1, 2 * naming + 2):
             sums = np.zeros(len(self.items) + 1, np.uint64)
             np.cumsum(mixed(self.items, seed), out=sums[1:])
             out.append(mixed(sums[self.first[1:]] - sums[self.first[:-1]], seed).astype(np.int64))
         return out[0], out[1]
 
 
-def _sketched(size: int):
+def _named(size: int, naming: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
+        """One row per document."""
         for batch in sliced(batches, "text"):
-            total += np.bincount((Sets(batch.column("text"), size).items % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
+            sets = Sets(batch.column("text"), size)
+            n = np.diff(sets.first)
+            name, check = sets.names(naming)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(name, mask=n == 0), pa.array(check)], ["doc_id", "n", "set_id", "other"])
 
     return run
 
 
-def sketch_levels(texts: DataFrame, size: int) -> np.ndarray:
-    """Bit length of how often the elements of each sketch cell occur in all documents; the driver gets ``SKETCH`` numbers."""
-    counts = np.zeros(SKETCH, np.int64)
-    for r in texts.mapInArrow(_sketched(size), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        counts[r["cell"]] = r["n"]
-    return np.ceil(2 * np.log2(counts + 1)).astype(np.int64)
+def _entries(size: int, naming: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Set and shingle of every entry of the sets that have an id, about ``ENTRIES`` at a time; each set once."""
+        names, items, seen = [], [], set()
+        for batch in sliced(batches, "text"):
+            sets = Sets(batch.column("text"), size)
+            name = sets.names(naming)[0]
+            known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False) & (np.diff(sets.first) > 0)
+            once = np.zeros(len(name), bool)
+            once[[d for d in np.flatnonzero(known).tolist() if not (int(name[d]) in seen or seen.add(int(name[d])))]] = True
+            taken = once[sets.row]
+            names.append(name[sets.row[taken]])
+            items.append(sets.items[taken])
+            if sum(map(len, items)) >= ENTRIES:
+                yield np.concatenate(names), np.concatenate(items)
+                names, items, seen = [], [], set()
+        if items:
+            yield np.concatenate(names), np.concatenate(items)
+
+    return run
 
 
-def _classes(size: int, sketch: np.ndarray, least: int):
+def _owned(size: int, naming: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row per document; ``heads`` are the first elements of a set, in one of a slice's rows that have that set and an id."""
+        """The rows whose text has the set they stand for, with its size and odd sketch."""
         for batch in sliced(batches, "text"):
-            sets = Sets(batch.column("text"), size, sketch)
-            n = np.diff(sets.first)
-            name, check = sets.names()
-            known = np.flatnonzero(batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False))
-            once = np.zeros(len(n), bool)
-            once[known[np.unique(name[known], return_index=True)[1]]] = True
-            reach = np.where(once & (n > 0), n - -(-least * n // 100) + 1, 0)
-            place = np.arange(len(sets.items)) - sets.first[sets.row]
-            items = sets.items[place < reach[sets.row]].astype(np.int64)
-            heads = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(reach)]).astype(np.int32)), pa.array(items))
-            columns = [batch.column("doc_id"), pa.array(n), pa.array(name, mask=n == 0), pa.array(check), pa.array(sets.parities(), pa.binary()), heads]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "set_id", "other", "parity", "heads"])
+            sets = Sets(batch.column("text"), size)
+            # a repeated id brings other texts along
+            own = pa.array(sets.names(naming)[0] == batch.column("set_id").to_numpy(zero_copy_only=False))
+            columns = [batch.column("set_id"), batch.column("doc_id"), pa.array(np.diff(sets.first)), pa.array(sets.parities(), pa.binary()), batch.column("text")]
+            yield pa.RecordBatch.from_arrays([c.filter(own) for c in columns], ["set_id", "doc_id", "n", "parity", "text"])
 
     return run
 
@@ -175,7 +187,7 @@ class Trie:
         return out
 
 
-def _linked(size: int, sketch: np.ndarray, least: int):
+def _linked(size: int, naming: int, least: int):
     def run(table: pa.Table) -> pa.Table:
         """Links within each (bucket, block) of the slot; rows marked ``walker`` are compared with all, others only through them if there are any."""
         keys = list(zip(table.column("bucket").to_pylist(), table.column("block").to_pylist(), strict=True))
@@ -187,10 +199,10 @@ def _linked(size: int, sketch: np.ndarray, least: int):
         for rows in members.values():
             items, named = [], []
             for batch in sliced(iter(table.select(["text"]).take(rows).combine_chunks().to_batches()), "text"):
-                sets = Sets(batch.column("text"), size, sketch)
+                sets = Sets(batch.column("text"), size)
                 items += np.split(sets.items, sets.first[1:-1])
-                named += sets.names()[0].tolist()
-            # a repeated id brings other texts along: a class takes one row, with its own set
+                named += sets.names(naming)[0].tolist()
+            # a repeated row comes again, and a repeated id brings other texts along: a class takes one row, with its own set
             right_ones = {int(ids[r]): i for i, r in enumerate(rows) if named[i] == ids[r]}
             rows = [rows[i] for i in right_ones.values()]
             items = [items[i] for i in right_ones.values()]
@@ -226,12 +238,22 @@ def components(edges: DataFrame) -> DataFrame:
         edges = materialize(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
 
 
-def _compared(texts: DataFrame, work: DataFrame, size: int, sketch: np.ndarray, least: int) -> DataFrame:
+def _compared(owned: DataFrame, work: DataFrame, size: int, naming: int, least: int, slots: int) -> DataFrame:
     """Links among the rows of ``work`` (bucket, block, set_id, rep, walker, label); only texts of sets with candidates move."""
-    rows = work.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("bucket", "block", "set_id", "walker", "label", "text")
-    slots = parts_for(texts, "text", 4)
+    rows = work.join(owned.select("set_id", "text"), "set_id").select("bucket", "block", "set_id", "walker", "label", "text")
     rows = rows.withColumn("slot", F.pmod(F.xxhash64("bucket", "block"), F.lit(slots)))
-    return materialize(rows.groupBy("slot").applyInArrow(_linked(size, sketch, least), "a long, b long"), "links")
+    return materialize(rows.groupBy("slot").applyInArrow(_linked(size, naming, least), "a long, b long"), "links")
+
+
+def _classes(texts: DataFrame, size: int) -> tuple[DataFrame, DataFrame, int]:
+    """Documents with the name of their set, the sets with their smallest document, and the naming that tells all sets apart."""
+    for naming in range(NAMINGS):
+        members = materialize(texts.mapInArrow(_named(size, naming), "doc_id long, n long, set_id long, other long"), "members")
+        classes = members.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min("other").alias("x"), F.max("other").alias("y"))
+        classes = materialize(classes, "classes")
+        if classes.where("x <> y").isEmpty():
+            return members, classes.where("rep is not null").select("set_id", "rep", "n"), naming
+    raise ValueError("too many different sets for 64-bit names")
 
 
 def jaccard_groups(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> DataFrame:
@@ -239,14 +261,17 @@ def jaccard_groups(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> Dat
     if not 50 <= least <= 100:
         raise ValueError("least must be from 50 to 100")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = sketch_levels(texts, size)
-    schema = "doc_id long, n long, set_id long, other long, parity binary, heads array<long>"
-    members = materialize(texts.mapInArrow(_classes(size, sketch, least), schema), "members")
-    classes = members.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min("other").alias("x"), F.max("other").alias("y"), F.first("parity").alias("parity"))
-    if not classes.where("x <> y").isEmpty():
-        raise ValueError("two different sets have the same 64-bit name; choose other seeds")
-    classes = materialize(classes.where("rep is not null").select("set_id", "rep", "n", "parity"), "classes")
-    heads = members.select("set_id", F.explode("heads").alias("item"))
+    members, named, naming = _classes(texts, size)
+    entries = _entries(size, naming)
+    counted = shared_counts(texts, entries, parts_for(texts, "text", PART_MB))
+    enough = named.join(counted, "set_id").where(F.col("shared") * 100 >= F.col("n") * least)
+    owned = texts.join(enough.select(F.col("rep").alias("doc_id"), "set_id"), "doc_id")
+    owned = materialize(owned.mapInArrow(_owned(size, naming), "set_id long, doc_id long, n long, parity binary, text string"), "owned")
+    slots = parts_for(owned, "text", 4)
+    classes = owned.groupBy("set_id").agg(F.first("doc_id").alias("rep"), F.first("n").alias("n"), F.first("parity").alias("parity"))
+    classes = materialize(classes, "sharing")
+    heads = rarest_shared(owned.select("doc_id", "text"), classes, entries, parts_for(owned, "text", PART_MB), least)
+    heads = materialize(heads, "heads").select("set_id", F.explode("heads").alias("item"))
     pivots = heads.groupBy("item").agg(F.min("set_id").alias("bucket"), F.max("set_id").alias("y")).where("bucket <> y").select("item", "bucket")
     met = heads.join(pivots, "item").select("set_id", "bucket").distinct()
     rows = _of_like_size(met.join(classes.select("set_id", "rep", "n"), "set_id"), least)
@@ -255,11 +280,11 @@ def jaccard_groups(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> Dat
     block = F.pmod(F.xxhash64("set_id"), F.col("blocks"))
     everywhere = F.when((F.col("set_id") == F.col("bucket")), F.sequence(F.lit(0), F.col("blocks") - 1).cast("array<long>")).otherwise(F.array(block))
     first = placed.select("bucket", F.explode(everywhere).alias("block"), "set_id", "rep", F.lit(False).alias("walker"), F.col("set_id").alias("label"))
-    links = _compared(texts, _promising(first, classes, least), size, sketch, least)
+    links = _compared(owned, _promising(first, classes, least, slots), size, naming, least, slots)
     roots = components(links)
     cut = placed.where("blocks > 1")
     if not cut.isEmpty():
-        links = links.unionByName(_compared(texts, _promising(_across(cut, roots), classes, least), size, sketch, least))
+        links = links.unionByName(_compared(owned, _promising(_across(cut, roots), classes, least, slots), size, naming, least, slots))
         roots = components(links)
     joined = members.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     smallest = joined.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -323,9 +348,8 @@ def _halved(wide: np.ndarray) -> np.ndarray:
     return np.packbits(bits[:, ::2] ^ bits[:, 1::2], axis=1).view(np.uint64)
 
 
-def _promising(work: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+def _promising(work: DataFrame, classes: DataFrame, least: int, slots: int) -> DataFrame:
     """The rows of ``work`` (bucket, block, set_id, rep, walker, label) that may have a link in their block, by odd sketches."""
-    slots = 4 * int(work.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = work.join(classes.select("set_id", "n", "parity"), "set_id").withColumn("slot", F.pmod(F.xxhash64("bucket", "block"), F.lit(slots)))
     schema = "bucket long, block long, set_id long, rep long, walker boolean, label long"
     return materialize(dealt.groupBy("slot").applyInArrow(_paired(least), schema), "candidates")
