@@ -61,7 +61,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "set_id")
+    return jaccard_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +112,15 @@ lost as (select doc_id, list(p) as lost from gone group by doc_id)
 select t.doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(len(lost), 0) as bigint) as n_removed,
        sha256(coalesce(array_to_string(list_filter(words, lambda x, i: not coalesce(list_contains(lost, i), false)), ' '), '')) as kept_sha256
 from t left join lost using (doc_id)""",
+    "op8_ngram_jaccard": f"""
+with recursive t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') as ws from documents),
+s as (select distinct doc_id, array_to_string(list_slice(ws, i, i + 3), ' ') as g
+      from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) as i from t where len(ws) > 0)),
+sizes as (select doc_id, count(*) as n from s group by doc_id),
+met as (select x.doc_id as a, y.doc_id as b, count(*) as k from s x join s y on x.g = y.g and x.doc_id <> y.doc_id group by all),
+links as (select a, b from met join sizes p on p.doc_id = a join sizes q on q.doc_id = b where 100 * k >= 85 * (p.n + q.n - k)),
+reached as (select doc_id, doc_id as node from t union select doc_id, b from reached join links on a = node)
+select doc_id, coalesce(any_value(n), 0) as n_shingles, min(node) as component_id from reached left join sizes using (doc_id) group by doc_id""",
     "op12_collocations": r"""
 with pieces as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),

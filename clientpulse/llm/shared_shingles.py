@@ -97,32 +97,39 @@ def _asked_counts(slices: Slices, parts: int):
     return run
 
 
-def _told_counts(table: pa.Table) -> pa.Table:
-    sets, keys = _flat(table, "<u4")
-    order, _, holders = _holders(np.zeros(len(keys), np.int64), keys, sets)
-    sets, keys = sets[order], keys[order]
-    from_slice = sets == _NOBODY
-    # an element that a slice sent for several of its sets is shared, whoever else holds it
-    edges = _runs(keys)
-    any_slice = np.repeat(np.logical_or.reduceat(from_slice, edges[:-1]), np.diff(edges)) if len(keys) else from_slice
-    shared = ((holders > 1) | any_slice) & ~from_slice
-    # equal keys of one set are its rows in several slices, or agree by chance: all count, as the number may only be too large
-    told, found = np.unique(sets[shared], return_counts=True)
-    known = [(s, c) for s, c in zip(table.column("sets").to_pylist(), table.column("sure").to_pylist(), strict=True) if c is not None]
-    own = np.frombuffer(b"".join(s for s, _ in known), "<i8")
-    sure = np.frombuffer(b"".join(c for _, c in known), "<u4")
-    return pa.table({"set_id": np.concatenate([told, own]), "shared": np.concatenate([found, sure]).astype(np.int64)})
+def _told_counts(parts: int):
+    def run(table: pa.Table) -> pa.Table:
+        sets, keys = _flat(table, "<u4")
+        order, _, holders = _holders(np.zeros(len(keys), np.int64), keys, sets)
+        sets, keys = sets[order], keys[order]
+        from_slice = sets == _NOBODY
+        # an element that a slice sent for several of its sets is shared, whoever else holds it
+        edges = _runs(keys)
+        any_slice = np.repeat(np.logical_or.reduceat(from_slice, edges[:-1]), np.diff(edges)) if len(keys) else from_slice
+        shared = ((holders > 1) | any_slice) & ~from_slice
+        # equal keys of one set are its rows in several slices, or agree by chance: all count, as the number may only be too large
+        own, found = np.unique(sets[shared], return_counts=True)
+        rows = [(to, ids, b"", b"", n) for to, ids, _, n in _packed(np.mod(own, parts), own, found.astype("<u4"))]
+        # what slices know themselves is passed on
+        known = [(s, n) for s, n in zip(table.column("sets").to_pylist(), table.column("sure").to_pylist(), strict=True) if n is not None]
+        if known:
+            rows.append((table.column("part")[0].as_py(), b"".join(s for s, _ in known), b"", b"", b"".join(n for _, n in known)))
+        return pa.Table.from_batches([_table(_ASKED, rows)])
+
+    return run
+
+
+def _added(table: pa.Table) -> pa.Table:
+    sets, found = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("sets", "<i8"), ("sure", "<u4")))
+    own, at = np.unique(sets, return_inverse=True)
+    return pa.table({"set_id": own, "shared": np.bincount(at, found, len(own)).astype(np.int64)})
 
 
 def shared_counts(rows: DataFrame, slices: Slices, parts: int) -> DataFrame:
     """set_id, shared: at least the number of its elements that other sets have; sets without any are left out."""
     asked = rows.mapInArrow(_asked_counts(slices, parts), _ASKED)
-    told = asked.groupBy("part").applyInArrow(_told_counts, "set_id long, shared long")
-    return told.groupBy("set_id").agg(F.sum("shared").alias("shared"))
-
-
-def _levels(holders: np.ndarray) -> np.ndarray:
-    return np.minimum(holders, COMMON + 1).astype(np.uint8)
+    told = asked.groupBy("part").applyInArrow(_told_counts(parts), _ASKED)
+    return told.groupBy("part").applyInArrow(_added, "set_id long, shared long")
 
 
 def _asked_items(slices: Slices, parts: int, told: bool):
@@ -151,7 +158,7 @@ def _told_items(parts: int):
         sets, items = sets[order], items[order]
         edges = _runs(items)
         common = np.repeat(np.logical_or.reduceat(sets == _NOBODY, edges[:-1]), np.diff(edges)) if len(items) else np.zeros(0, bool)
-        level = np.where(common, COMMON + 1, _levels(holders)).astype(np.uint8)
+        level = np.where(common, COMMON + 1, np.minimum(holders, COMMON + 1)).astype(np.uint8)
         stay = (level > 1) & (sets != _NOBODY)
         sets, items, level = sets[stay], items[stay], level[stay]
         return pa.Table.from_batches([_table(_TOLD, list(_packed(np.mod(sets, parts), sets, items.astype("<u8"), level)))])
