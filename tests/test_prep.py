@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
-from clientpulse.prep import CategoryImputer, NumericImputer, OutlierCapper, Scaler, SignedLog, WoeEncoder
+from clientpulse.prep import CategoryImputer, NumericImputer, OutlierCapper, Scaler, SignedLog, WoeEncoder, impute
 from clientpulse.prep import woe as W
 from clientpulse.prep.woe import merge_similar, rare_levels
 
@@ -127,3 +127,17 @@ def test_pipeline_survives_saving(spark, tmp_path):
     assert a == b
     mean = model.transform(frame).agg(F.avg("x")).first()[0]
     assert mean == pytest.approx(0.0, abs=1e-9)
+
+
+def test_random_fills_do_not_depend_on_how_points_are_found(spark, monkeypatch):
+    rows = [(None if i % 50 == 0 else i % 90, 1.0 * (i % 7) if i % 3 else None, i / 8 if i % 4 == 0 else None) for i in range(600)]
+    df = spark.createDataFrame(rows, "k int, a double, b double")
+    imputer = NumericImputer(inputCols=["a", "b"], strategy="random", keyCols=["k"])
+    found = {}
+    for bound in (0, 50, 4096):  # both columns sorted, one of them, none
+        monkeypatch.setattr(impute, "POINTS_IN_PLAN", bound)
+        filled = imputer.fit(df).transform(df)
+        found[bound] = sorted(filled.collect(), key=str)
+        assert ("Join" in filled._jdf.queryExecution().optimizedPlan().toString()) == (bound < 4096)
+    assert found[0] == found[50] == found[4096]
+    assert all(r["a"] is not None and r["b"] is not None for r in found[0])
