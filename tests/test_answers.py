@@ -110,6 +110,18 @@ def test_answers_and_stream_agree(spark, tables, tmp_path):
     assert sorted(map(tuple, got.collect())) == want
 
 
+def test_equal_messages_of_several_requests_lie_together(spark, tables):
+    clients = [f"{i:016x}" for i in range(160)]
+    positives = spark.createDataFrame([(c, 1, "product_1", 0.5) for c in clients], tables[0].schema)
+    portfolio = spark.createDataFrame([(c, 7) for c in clients] + [("e" * 16, 8)], "client_id string, chat_id long")
+    requests = ask(spark, *[(7, "hola", None)] * 5, (8, "hola", None))
+    got = RC.answer(requests, positives, tables[1], portfolio, tables[3]).collect()
+    parts = [r.part_no for r in got if r.chat_id == 7]
+    assert sorted(parts) == [p for p in (1, 2, 3, 4) for _ in range(5)]
+    assert sum(a != b for a, b in zip(parts, parts[1:])) == 3
+    assert [(r.update_id, r.section, r.part_no, r.body) for r in got if r.chat_id == 8] == [(5, 1, 1, RC.NO_RECS)]
+
+
 def test_refused_and_failed_requests(spark, tables, tmp_path):
     requests = ask(spark, (7, "hola", None), (8, "hola", None))
     requests.write.parquet(str(tmp_path / "in"))
