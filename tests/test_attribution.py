@@ -83,3 +83,12 @@ def test_leaf_only_and_missing_values():
     split = (1.0, *map(np.array, ([1, -1, -1], [2, -1, -1], [0, 0, 0], [0.0, 0.0, 0.0], [0.0, 1.0, 3.0], [4.0, 2.0, 2.0])))
     got = R.attribute(np.array([[np.nan], [-1.0]]), [split], np.zeros((2, 1)))
     assert got[:, 0] == pytest.approx([1.0, -1.0])
+
+
+@pytest.mark.parametrize("width", [1, 5, 62, 63, 70])
+def test_rows_are_told_apart_by_all_their_flags(width):
+    flags = np.random.default_rng(width).random((300, width)) < 0.5
+    flags[10:20] = flags[0]
+    patterns, which = R._distinct_rows(flags)
+    assert (patterns[which.reshape(-1)] == flags).all()
+    assert len(patterns) == len({row.tobytes() for row in flags})
