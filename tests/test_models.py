@@ -99,3 +99,12 @@ def test_batch_inference_is_long(data, stages):
     rows = ML.batch_inference(data.limit(10).drop("target"), {1: (model, 0.5), 3: (model, 0.9)})
     assert rows.columns == ["mon", "client_id", "product_id", "name_product", "prob", "pred"]
     assert rows.count() == 20
+
+
+def test_small_folds_make_few_tasks(spark, monkeypatch):
+    rows = spark.range(0, 1000, 1, 8)
+    assert ML.few_tasks(rows).rdd.getNumPartitions() == 1
+    assert ML.few_tasks(rows.filter("id < 0")).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(ML, "ROWS_PER_TASK", 10)
+    kept = ML.few_tasks(rows)
+    assert kept.rdd.getNumPartitions() == 8 and kept.count() == 1000
