@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from clientpulse.operators.metrics import ranking_metrics
 from clientpulse.operators.ordered import running_totals
-from clientpulse.plans.models import PARALLEL_FITS, fitted, fold_cuts, prepared_fold, run_all, score
+from clientpulse.plans.models import class_counts, fits_at_once, fitted, fold_cuts, fold_parts, prepared_fold, run_all, score
 from clientpulse.session import scratch_path
 
 # The ranges of the search, (low, high) or a tuple of more choices. None as a weight root means no weights.
@@ -204,7 +204,9 @@ def search(
     both = df.groupBy(target).agg(F.min(time_col).alias("first")).collect()
     since = max(r["first"] for r in both) if len(both) == 2 else None
     cuts = [c for c in cuts if since is not None and c > since]
-    folds = run_all({cut: partial(prepared_fold, df, time_col, cut, stages, freq) for cut in cuts})
+    counts = run_all({cut: partial(class_counts, fold_parts(df, time_col, cut, freq)[0], target) for cut in cuts})
+    at_once = fits_at_once(spark, max((n for _, _, n in counts.values()), default=0))
+    folds = run_all({cut: partial(prepared_fold, df, time_col, cut, stages, freq) for cut in cuts}, at_once)
     ledger = ledger or scratch_path(spark, "ledger")
     known = {
         (r["trial"], cuts.index(r["fold"])): {m: r[m] for m in METRICS}
@@ -214,12 +216,12 @@ def search(
 
     def one(trial: int, fold: int) -> dict[str, float]:
         train_rows, test_rows = folds[cuts[fold]]
-        model = fitted(family, train_rows, target, seed, **trials[trial])
+        model = fitted(family, train_rows, target, seed, counts=counts[cuts[fold]], **trials[trial])
         return fold_metrics(score(test_rows, model, threshold), target, f"{ledger}/counts/trial={trial}/fold={cuts[fold]}")
 
     race = _Race(spark, one, n_trials, len(cuts), startup, warmup, prune, known)
     noted = set(known)
-    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+    with ThreadPoolExecutor(at_once) as pool:
         pending = [
             [pool.submit(inheritable_thread_target(partial(race.work, t, fold))) for t in range(n_trials)] for fold in range(len(cuts))
         ]

@@ -107,3 +107,26 @@ def test_weights(data):
     assert rows.agg(F.min("weight"), F.max("weight")).first() == (1.0, 1.0)
     even = ML.weighted(data, "target", None, balanced=True).groupBy("target").agg(F.sum("weight").alias("w")).collect()
     assert even[0].w == pytest.approx(even[1].w) and sum(r.w for r in even) == pytest.approx(600)
+
+
+@pytest.mark.parametrize("root, balanced", [(None, False), (3, False), (1, True), (None, True)])
+def test_known_counts_weigh_as_a_pass_over_the_rows(data, root, balanced):
+    counts = ML.class_counts(data, "target")
+    with_pass, without = (ML.weighted(data, "target", root, balanced, c) for c in (None, counts))
+    assert without.exceptAll(with_pass).isEmpty() and without.count() == 600
+    totals = [ML._total_weight(with_pass, root, balanced, c) for c in (None, counts)]
+    assert totals[1] == pytest.approx(totals[0], rel=1e-12)
+
+
+def test_small_fits_take_all_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert ML.fits_at_once(spark, 90_000) == max(ML.PARALLEL_FITS, cores) and ML.fits_at_once(spark, 10**9) == ML.PARALLEL_FITS
+    assert ML.fits_at_once(spark, 0) >= ML.PARALLEL_FITS
+
+
+def test_trials_do_not_count_their_fold_again(data, monkeypatch):
+    seen = []
+    original = SE.fitted
+    monkeypatch.setattr(SE, "fitted", lambda *a, **k: seen.append(k["counts"]) or original(*a, **k))
+    run(data)
+    assert seen and all(n == n0 + n1 for n0, n1, n in seen) and len(set(seen)) == 4
