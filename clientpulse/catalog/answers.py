@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clientpulse.catalog.base import Query
-from clientpulse.catalog.modelling import CATEGORIES, FEATURES, KEY, TEST_ROWS, chosen, features, trained
+from clientpulse.catalog.modelling import CATEGORIES, FEATURES, KEY, TEST_ROWS, chosen, dataset, trained
 from clientpulse.functions.text import reply_intents
 from clientpulse.operators.sampling import fraction_sample
 from clientpulse.plans import master as M
@@ -15,7 +15,6 @@ from clientpulse.plans import models as ML
 from clientpulse.plans import reason_store as RS
 from clientpulse.plans import reasons as R
 from clientpulse.plans import recommend as RC
-from clientpulse.plans import target as T
 from clientpulse.session import materialize, scratch_path
 from clientpulse.sources import bindings as B
 from clientpulse.streaming import requests as ST
@@ -99,8 +98,7 @@ def _model_reasons(s, d):
 
 def test_master(s, d):
     """Features of the client-months of the test period."""
-    label = T.lookahead_label(B.purchase(s, d), "target_1", "target_1")
-    return M.join_features(M.temporal_split(label)[1].select(*KEY), features(s, d))
+    return M.temporal_split(dataset(s, d))[1].drop("target")
 
 
 def newest(rows):

@@ -6,11 +6,12 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from clientpulse.catalog import modelling
 from clientpulse.plans import maintain as MT
 from clientpulse.plans.features import feats_purchase
 from clientpulse.plans.master import join_features
 from clientpulse.plans.reason_store import ReasonStore
-from clientpulse.plans.target import build_target, lookahead_label
+from clientpulse.plans.target import build_target, lookahead_label, lookahead_labels
 from clientpulse.session import materialize
 from clientpulse.sources import bindings as B
 from clientpulse.sources import bucketed as BU
@@ -79,6 +80,35 @@ def test_label_build(spark):
     assert built.count() == built.select(*KEY).distinct().count() and built.exceptAll(label).isEmpty()
 
 
+def test_labels_of_all_products_in_one_pass(spark):
+    rows = [(i % 9, date(2020, 1 + i % 11, 1), int(i % 5 == 0), int(i % 7 == 0)) for i in range(99)] + [(None, date(2020, 3, 1), 1, 0)]
+    purchase = spark.createDataFrame(rows, "client_id int, mon date, target_1 int, target_3 int")
+    together = lookahead_labels(purchase, {"label_1": "target_1", "label_3": "target_3"})
+    for k in (1, 3):
+        alone = lookahead_label(purchase, f"target_{k}", f"label_{k}")
+        own = together.select(*KEY, f"label_{k}")
+        assert alone.count() == own.count() > 0 and own.exceptAll(alone).isEmpty()
+
+
+def test_product_datasets_share_one_join(spark, tmp_path):
+    priorities = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+    orders = [(i, i % 13 or None, datetime(2020, 1 + i * 7 % 12, 1 + i % 28), priorities[i * i % 5], "O") for i in range(300)]
+    items = [(i // 2, 1 + i % 7, 10.0 + i, "O", "NRA"[i % 3]) for i in range(600)]
+    named = {
+        "orders": (orders, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_orderpriority string, o_orderstatus string"),
+        "lineitem": (items, "l_orderkey long, l_linenumber long, l_extendedprice double, l_linestatus string, l_returnflag string"),
+    }
+    for name, (rows, schema) in named.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    tables = {k: modelling.dataset(spark, str(tmp_path), k) for k in B.PRODUCTS}
+    assert len({tuple(sorted(t.inputFiles())) for t in tables.values()}) == 1
+    for k, table in tables.items():
+        label = lookahead_label(B.purchase(spark, str(tmp_path)), f"target_{k}", "target")
+        joined = join_features(label, modelling.features(spark, str(tmp_path)))
+        assert table.columns == joined.columns and table.count() == joined.count() > 0
+        assert table.exceptAll(joined).isEmpty()
+
+
 def ask(spark, *ids):
     rows = [(i, 7, f"hola {i}", None, datetime(2024, 1, 1)) for i in ids]
     return spark.createDataFrame(rows, "update_id long, chat_id long, text string, reply_json string, received_at timestamp").coalesce(1)
