@@ -1,7 +1,9 @@
 """Edge cases on hand-made frames."""
 
 import math
-from datetime import date
+import statistics
+from datetime import date, datetime
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,8 +14,9 @@ from clientpulse.operators import statistics as S
 from clientpulse.operators.folds import add_period, assert_no_leak, calendar, expanding_folds
 from clientpulse.operators.rollup import category_profile
 from clientpulse.operators.sampling import balanced_weight, fraction_sample, stratified_sample
-from clientpulse.plans.features import feats_purchase
+from clientpulse.plans.features import feats_purchase, feats_trx, trx_rollup
 from clientpulse.plans.master import pick_columns
+from clientpulse.sources.bucketed import exchanges
 
 
 def test_mode_and_entropy_with_null_category(spark):
@@ -181,3 +184,30 @@ def test_leak_check(spark):
 def test_pick_columns_reports_missing(spark):
     with pytest.raises(ValueError, match="nope"):
         pick_columns(spark.range(1), ["id"], ["nope"])
+
+
+def test_transactions_move_as_combinations_and_amounts_are_exact(spark):
+    """One row per combination moves, then to its client; large amounts that differ little keep their deviation."""
+    months = [datetime(2020, m, d) for m, d in ((1, 3), (1, 3), (1, 9), (2, 1))]
+    rows = [
+        (c, t, e, cur, None if (i + (c or 0)) % 5 == 0 else 1e9 + i * 1e-3, s, None)
+        for c in (1, 2, None)
+        for t in months
+        for i, (e, cur, s) in enumerate([("a", 1, "x"), ("b", 1, "x"), ("b", None, "y"), ("b", 2, None), (None, 9, "y"), ("a", 1, "y")])
+    ] + [(3, months[0], "a", 1, 7.5, "x", "z")]
+    schema = "client_id int, event_time timestamp, event_type string, currency int, amount double, src_type11 string, dst_type11 string"
+    trx = spark.createDataFrame(rows, schema)
+    rolled = trx_rollup(trx, (1, 2, 3))
+    assert exchanges(feats_trx(trx, (1, 2, 3))) == 2
+    got = {(r.client_id, r.mon.month): r for r in rolled.collect()}
+    assert len(got) == 7
+    for (client, mon), r in got.items():
+        own = [x for x in rows if x[0] == client and x[1].month == mon]
+        paid = [x[4] for x in own if x[3] == 1 and x[4] is not None]
+        assert r.trans_trx_cnt_m == len(own) and r.trans_trx_others_currency_cnt_m == sum(x[3] not in (1, 2, 3) for x in own)
+        assert r.trans_days_active_m == len({x[1] for x in own}) and r.trans_type_src_account_cnt_m == len({x[5] for x in own} - {None})
+        assert r.trans_amt_trx_currency_1_sum_m == pytest.approx(sum(paid)) and r.trans_amt_currency_1_avg_m == pytest.approx(sum(paid) / len(paid))
+        if len(paid) > 1:
+            assert r.trans_amt_currency_1_std_m == pytest.approx(statistics.stdev(map(Fraction, paid)), rel=1e-3)
+        else:
+            assert r.trans_amt_currency_1_std_m is None
