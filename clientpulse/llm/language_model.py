@@ -27,6 +27,7 @@ is certain. Rows are answered one by one, repeated ids included. An empty table
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -38,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clientpulse.llm.texts import Words, byte_column, mixed, parts_for, sliced
+from clientpulse.llm.texts import Words, byte_column, mixed, sliced
 from clientpulse.session import materialize, shuffle_width
 
 BITS = 16
@@ -48,6 +49,7 @@ STRENGTH, ROOT_STRENGTH = 1.0, 10.0
 SLICE, SLICE_ROWS = 4 << 20, 1 << 16
 HOT, SAMPLE_CHARS = 4096, 4_000_000
 RUN = 64
+PARTS, PART_CHARS = 32, 16_000_000  # parts at least, and characters whose words meet in one
 UNIT = 2.0**-24  # parts' sums are rounded to it, so a text's score is right to a few millionths
 START = 0  # the context of a text's first token
 END = b""  # no word is empty, so the end token has this place
@@ -502,7 +504,9 @@ def seat_documents(docs: DataFrame, held_out: Column) -> tuple[DataFrame, list[b
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         F.coalesce(held_out, F.lit(False)).alias("held_out"),
     )
-    parts, hot = parts_for(texts, "text", 16), _frequent(texts.select("text"))
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    # not as many as the session's partitions: a text's sum is rounded part by part, so its score would follow that setting
+    parts, hot = max(PARTS, math.ceil(chars / PART_CHARS)), _frequent(texts.select("text"))
     sent = texts.mapInArrow(_sent(parts, hot), BLOCK)
     dealt = sent.repartitionById(parts, F.pmod("part", F.lit(parts)).cast("int")).sortWithinPartitions("part", "first")
     return materialize(dealt.mapInArrow(_owned(hot), ROW), "parts"), hot
