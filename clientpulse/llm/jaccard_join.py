@@ -37,6 +37,7 @@ SIZE, LEAST = 4, 85  # words of a shingle; percent
 NAMINGS = 16  # tries to name all sets apart
 ENTRIES = 1 << 20  # shingles that a task sorts at a time
 SMALL = 200  # what a set of any size counts for in a block
+SLICE = 1 << 19  # bytes of text that are cut into words at a time; what that takes is some thirty times as much
 BLOCK = 600_000  # shingles of the sets that one trie holds, about
 
 
@@ -85,7 +86,7 @@ class Sets:
 def _named(size: int, naming: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row per document."""
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", SLICE):
             sets = Sets(batch.column("text"), size)
             n = np.diff(sets.first)
             name, check = sets.names(naming)
@@ -98,7 +99,7 @@ def _entries(size: int, naming: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Set and shingle of every entry of the sets that have an id, about ``ENTRIES`` at a time; each set once."""
         names, items, seen = [], [], set()
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", SLICE):
             sets = Sets(batch.column("text"), size)
             name = sets.names(naming)[0]
             known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False) & (np.diff(sets.first) > 0)
@@ -108,7 +109,8 @@ def _entries(size: int, naming: int):
             names.append(name[sets.row[taken]])
             items.append(sets.items[taken])
             if sum(map(len, items)) >= ENTRIES:
-                yield np.concatenate(names), np.concatenate(items)
+                names, items = np.concatenate(names), np.concatenate(items)
+                yield names, items
                 names, items, seen = [], [], set()
         if items:
             yield np.concatenate(names), np.concatenate(items)
@@ -119,7 +121,7 @@ def _entries(size: int, naming: int):
 def _owned(size: int, naming: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows whose text has the set they stand for, with its size and odd sketch."""
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", SLICE):
             sets = Sets(batch.column("text"), size)
             # a repeated id brings other texts along
             own = pa.array(sets.names(naming)[0] == batch.column("set_id").to_numpy(zero_copy_only=False))

@@ -18,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clientpulse.llm.texts import mixed
+from clientpulse.llm.texts import byte_column, mixed
 
 COMMON = 16  # an element in more sets than this counts as common, the last level of the order
+STEPS = 8  # steps of equal width in which a part goes through its elements, to hold less beside them
 PART_MB = 16  # million characters of text whose elements meet in one part
 _NOBODY = -1 << 63  # stands for sets of a slice that were told by the slice itself
 _ASKED = "part long, sets binary, counts binary, items binary, sure binary"
@@ -57,9 +58,8 @@ def _packed(to: np.ndarray, sets: np.ndarray, *values: np.ndarray) -> Iterator[t
 
 
 def _flat(table: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    sets = np.frombuffer(b"".join(table.column("sets").to_pylist()), "<i8")
-    counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<u4")
-    return np.repeat(sets, counts), np.frombuffer(b"".join(table.column("items").to_pylist()), kind)
+    sets, counts, items = (byte_column(table.column(c))[0].view(k) for c, k in (("sets", "<i8"), ("counts", "<u4"), ("items", kind)))
+    return np.repeat(sets, counts), items
 
 
 def _dealt(items: np.ndarray, parts: int) -> np.ndarray:
@@ -81,11 +81,13 @@ def _asked_counts(slices: Slices, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sets, items in slices(batches):
             part, keys = _dealt(items, parts), mixed(items, 22).astype(np.uint32)
+            del items
             order, element, holders = _holders(part, keys, sets)
             part, keys, sets = part[order], keys[order], sets[order]
             first = np.ones(len(element), bool)
             first[1:] = element[1:] != element[:-1]
             known = holders > 1
+            del order, element, holders
             own, sure = np.unique(sets[known], return_counts=True)
             once = ~known | first
             sender = np.where(known, _NOBODY, sets)[once]
@@ -97,18 +99,32 @@ def _asked_counts(slices: Slices, parts: int):
     return run
 
 
+def _in_steps(sets: np.ndarray, items: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The entries by the first digits of their elements, which are spread evenly; equal elements come together."""
+    width = np.iinfo(items.dtype).bits - (STEPS - 1).bit_length()
+    step = (items >> items.dtype.type(width)).astype(np.uint8)
+    for k in range(STEPS):
+        own = np.flatnonzero(step == k)
+        if len(own):
+            yield sets[own], items[own]
+
+
+def _shared(sets: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The set of every entry whose element another set has too."""
+    order, _, holders = _holders(np.zeros(len(keys), np.uint8), keys, sets)
+    sets, keys = sets[order], keys[order]
+    from_slice = sets == _NOBODY
+    # an element that a slice sent for several of its sets is shared, whoever else holds it
+    edges = _runs(keys)
+    any_slice = np.repeat(np.logical_or.reduceat(from_slice, edges[:-1]), np.diff(edges))
+    return sets[((holders > 1) | any_slice) & ~from_slice]
+
+
 def _told_counts(parts: int):
     def run(table: pa.Table) -> pa.Table:
-        sets, keys = _flat(table, "<u4")
-        order, _, holders = _holders(np.zeros(len(keys), np.int64), keys, sets)
-        sets, keys = sets[order], keys[order]
-        from_slice = sets == _NOBODY
-        # an element that a slice sent for several of its sets is shared, whoever else holds it
-        edges = _runs(keys)
-        any_slice = np.repeat(np.logical_or.reduceat(from_slice, edges[:-1]), np.diff(edges)) if len(keys) else from_slice
-        shared = ((holders > 1) | any_slice) & ~from_slice
+        found = [_shared(*step) for step in _in_steps(*_flat(table, "<u4"))]
         # equal keys of one set are its rows in several slices, or agree by chance: all count, as the number may only be too large
-        own, found = np.unique(sets[shared], return_counts=True)
+        own, found = np.unique(np.concatenate(found) if found else np.empty(0, np.int64), return_counts=True)
         rows = [(to, ids, b"", b"", n) for to, ids, _, n in _packed(np.mod(own, parts), own, found.astype("<u4"))]
         # what slices know themselves is passed on
         known = [(s, n) for s, n in zip(table.column("sets").to_pylist(), table.column("sure").to_pylist(), strict=True) if n is not None]
@@ -151,16 +167,24 @@ def _asked_items(slices: Slices, parts: int, told: bool):
     return run
 
 
+def _levels(most: int, sets: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Set, element and level of the entries whose element another set has too."""
+    order, _, holders = _holders(np.zeros(len(items), np.uint8), items, sets)
+    sets, items = sets[order], items[order]
+    edges = _runs(items)
+    common = np.repeat(np.logical_or.reduceat(sets == _NOBODY, edges[:-1]), np.diff(edges))
+    level = np.where(common, most + 1, np.minimum(holders, most + 1)).astype(np.uint8)
+    stay = (level > 1) & (sets != _NOBODY)
+    return sets[stay], items[stay], level[stay]
+
+
 def _told_items(parts: int):
     def run(table: pa.Table) -> pa.Table:
-        sets, items = _flat(table, "<u8")
-        order, _, holders = _holders(np.zeros(len(items), np.int64), items, sets)
-        sets, items = sets[order], items[order]
-        edges = _runs(items)
-        common = np.repeat(np.logical_or.reduceat(sets == _NOBODY, edges[:-1]), np.diff(edges)) if len(items) else np.zeros(0, bool)
-        level = np.where(common, COMMON + 1, np.minimum(holders, COMMON + 1)).astype(np.uint8)
-        stay = (level > 1) & (sets != _NOBODY)
-        sets, items, level = sets[stay], items[stay], level[stay]
+        found = [_levels(COMMON, *step) for step in _in_steps(*_flat(table, "<u8"))]
+        if not found:
+            return pa.Table.from_batches([_table(_TOLD, [])])
+        sets, items, level = (np.concatenate(c) for c in zip(*found, strict=True))
+        del found
         return pa.Table.from_batches([_table(_TOLD, list(_packed(np.mod(sets, parts), sets, items.astype("<u8"), level)))])
 
     return run

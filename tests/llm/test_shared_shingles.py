@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -75,3 +76,22 @@ def test_join_in_small_slices_and_with_names_dealt_anew(spark, monkeypatch):
     assert jaccard_join._classes(docs, 4)[2] == 1
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_groups(docs).collect()}
     assert got == brute_groups(texts_of(docs), 4, 85)
+
+
+def test_a_part_holds_little_beside_its_elements():
+    """What a part takes while it counts, over what it was sent."""
+    rng = np.random.default_rng(5)
+    sets, keys = rng.integers(0, 1 << 40, 4000), [rng.integers(0, 1 << 32, 200, dtype=np.uint32) for _ in range(4000)]
+    rows = [(0, s.tobytes(), np.array([len(k)], "<u4").tobytes(), k.tobytes(), None) for s, k in zip(sets, keys, strict=True)]
+    table = shared_shingles.pa.Table.from_batches([shared_shingles._table(shared_shingles._ASKED, rows)])
+    tracemalloc.start()
+    told = shared_shingles._told_counts(3)(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = {}
+    for ids, n in zip(told.column("sets").to_pylist(), told.column("sure").to_pylist(), strict=True):
+        got |= dict(zip(np.frombuffer(ids, "<i8").tolist(), np.frombuffer(n, "<u4").tolist(), strict=True))
+    many = Counter(np.concatenate(keys).tolist())
+    want = {int(s): sum(many[v] > 1 for v in k.tolist()) for s, k in zip(sets, keys, strict=True)}
+    assert got == {s: n for s, n in want.items() if n}
+    assert peak < 30 * 800_000
