@@ -46,3 +46,16 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_stages_hand_whole_texts_over_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.createDataFrame([(1, "a text", "en", "a", 6)], "doc_id long, text string, lang string, source string, n_chars long")
+    try:
+        for held, wanted in (("10000", "1000"), ("0", "1000"), ("300", "300")):
+            spark.conf.set(key, held)
+            corpus_pipeline.exact_dedup(spark, docs, "")
+            assert spark.conf.get(key) == wanted
+    finally:
+        spark.conf.set(key, before)
