@@ -85,15 +85,14 @@ def _lookup(s, d):
 
 
 def _model_reasons(s, d):
-    """Reasons of every product's own model for a twentieth of the clients it recommends the product to, at their newest test month."""
+    """Reasons of every product's own model for all clients it recommends the product to, at their newest test month."""
     models = {k: model for k, (model, _) in chosen(s, d).items()}
-    master = materialize(test_master(s, d), "master")
+    rows = materialize(newest(test_master(s, d)), "newest")
     wanted = None
     for product, model in models.items():
-        part = ML.score(newest(master), model, ML.THRESHOLDS[product]).filter("pred = 1").select("client_id", F.lit(product).alias("product_id"))
+        part = ML.score(rows, model, ML.THRESHOLDS[product]).filter("pred = 1").select("client_id", F.lit(product).alias("product_id"))
         wanted = part if wanted is None else wanted.unionByName(part)
-    sampled = materialize(fraction_sample(wanted, ["client_id", "product_id"], 0.05), "sampled")
-    return R.top_reasons(R.explain(sampled, master, models, KEY))
+    return R.top_reasons(R.explain(materialize(wanted, "wanted"), rows, models, KEY))
 
 
 def test_master(s, d):

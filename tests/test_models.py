@@ -108,3 +108,21 @@ def test_small_folds_make_few_tasks(spark, monkeypatch):
     monkeypatch.setattr(ML, "ROWS_PER_TASK", 10)
     kept = ML.few_tasks(rows)
     assert kept.rdd.getNumPartitions() == 8 and kept.count() == 1000
+
+
+def test_every_recommended_client_gets_its_reasons(spark, data, stages, monkeypatch):
+    from clientpulse.catalog import answers as A
+
+    model = ML.train(data, stages(), "forest", "target", numTrees=3, maxDepth=3)
+    later = data.filter("client_id < 300").withColumn("mon", F.lit(date(2021, 1, 1)))
+    rows = data.unionByName(later).drop("target")
+    monkeypatch.setattr(A, "KEY", ["client_id", "mon"])
+    monkeypatch.setattr(A, "chosen", lambda s, d: {1: (model, None), 3: (model, None)})
+    monkeypatch.setattr(A, "test_master", lambda s, d: rows)
+    got = [(r.client_id, r.mon, r.product_id) for r in A._model_reasons(spark, "").collect()]
+    newest = {r.client_id: r for r in sorted(rows.collect(), key=lambda r: r.mon)}
+    want = set()
+    for product in (1, 3):
+        scored = ML.score(rows, model, ML.THRESHOLDS[product]).filter("pred = 1").select("client_id", "mon").collect()
+        want |= {(r.client_id, r.mon, product) for r in scored if newest[r.client_id].mon == r.mon}
+    assert len(want) > 200 and len(got) == len(set(got)) and set(got) == want
