@@ -239,6 +239,23 @@ def test_fingerprints(spark, edge_docs, no_docs):
     assert weighted_sampling.fingerprints(no_docs).count() == 0
 
 
+def test_fingerprints_build_no_table_of_terms(spark):
+    """Terms stay inside their text's row, and the samples are those of terms counted and dealt over bins by a table."""
+    texts = ["a b a b a b", "one two  three\tone two", "", " ", "x " * 300 + "y", "b a b a b"]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = weighted_sampling.fingerprints(docs)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+    rows = {r["doc_id"]: r for r in got.collect()}
+    pairs = [(i, a, b) for i, text in enumerate(texts) for w in [["", *text.split(), ""]] for a, b in zip(w, w[1:], strict=False)]
+    terms = spark.createDataFrame(pairs, "doc_id long, a string, b string").groupBy("doc_id", F.xxhash64("a", "b").alias("term")).agg(F.count(F.lit(1)).alias("weight"))
+    values = terms.groupBy("doc_id", F.pmod("term", F.lit(weighted_sampling.BINS)).cast("int").alias("bin")).agg(F.min(weighted_sampling.sampled(F.col("term"), F.col("weight"))).alias("value"))
+    want = {i: "" for i in range(len(texts))}
+    for r in values.withColumn("digits", F.lpad(F.hex(F.xxhash64("value")), 16, "0")).orderBy("doc_id", "bin").collect():
+        want[r["doc_id"]] += f"{r['bin']:02x}{r['digits'][:8].lower()}"
+    assert {i: r["fingerprint"] for i, r in rows.items()} == want
+
+
 def test_grades_on_held_out_rows(spark, edge_docs, no_docs):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     model = ordinal.fit_on_labels(docs, labels.where("doc_id % 3 <> 0"))
