@@ -1,5 +1,6 @@
 """Tables that are kept up: bucketed masters, monthly features, reasons; and the request stream's state."""
 
+import os
 from datetime import date, datetime
 
 import pytest
@@ -12,7 +13,7 @@ from clientpulse.plans.features import feats_purchase
 from clientpulse.plans.master import join_features
 from clientpulse.plans.reason_store import ReasonStore
 from clientpulse.plans.target import build_target, lookahead_label, lookahead_labels
-from clientpulse.session import materialize
+from clientpulse.session import materialize, scratch_path
 from clientpulse.sources import bindings as B
 from clientpulse.sources import bucketed as BU
 from clientpulse.streaming import requests as ST
@@ -158,6 +159,27 @@ def test_a_broken_off_batch_is_answered_again(spark, tmp_path, monkeypatch):
     assert sorted(got) == [1, 2, 3]
 
 
+def test_answers_are_built_and_written_once(spark, tmp_path):
+    """The batch that only moves the watermark is not answered, and no copy of the answers is kept elsewhere."""
+    ask(spark, *range(6)).write.parquet(str(tmp_path / "in"))
+    asked = []
+
+    def counted(rows, *_):
+        asked.append(rows.count())
+        return reply(rows)
+
+    made = scratch_path(spark, "x").rsplit("/", 1)[0]
+    before = set(os.listdir(made))
+    start(spark, tmp_path, counted)
+    assert asked == [6]
+    assert not [x for x in set(os.listdir(made)) - before if x.startswith("messages")]
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r.update_id for r in got.collect()) == list(range(6))
+    ask(spark).write.mode("append").parquet(str(tmp_path / "in"))
+    start(spark, tmp_path, counted)
+    assert asked == [6] and spark.read.parquet(str(tmp_path / "out")).count() == 6
+
+
 def test_requests_without_an_id_are_left_out(spark):
     rows = ask(spark, 1).unionByName(ask(spark, 2).withColumn("update_id", F.lit(None).cast("long")))
     assert [r.update_id for r in ST.usable(rows).collect()] == [1]
