@@ -206,7 +206,6 @@ def search(
     cuts = [c for c in cuts if since is not None and c > since]
     counts = run_all({cut: partial(class_counts, fold_parts(df, time_col, cut, freq)[0], target) for cut in cuts})
     at_once = fits_at_once(spark, max((n for _, _, n in counts.values()), default=0))
-    folds = run_all({cut: partial(prepared_fold, df, time_col, cut, stages, freq) for cut in cuts}, at_once)
     ledger = ledger or scratch_path(spark, "ledger")
     known = {
         (r["trial"], cuts.index(r["fold"])): {m: r[m] for m in METRICS}
@@ -215,13 +214,15 @@ def search(
     }
 
     def one(trial: int, fold: int) -> dict[str, float]:
-        train_rows, test_rows = folds[cuts[fold]]
+        train_rows, test_rows = folds[fold].result()
         model = fitted(family, train_rows, target, seed, counts=counts[cuts[fold]], **trials[trial])
         return fold_metrics(score(test_rows, model, threshold), target, f"{ledger}/counts/trial={trial}/fold={cuts[fold]}")
 
     race = _Race(spark, one, n_trials, len(cuts), startup, warmup, prune, known)
     noted = set(known)
-    with ThreadPoolExecutor(at_once) as pool:
+    with ThreadPoolExecutor(at_once) as preparing, ThreadPoolExecutor(at_once) as pool:
+        # trials run on the folds that are ready while later, larger ones are prepared
+        folds = [preparing.submit(inheritable_thread_target(partial(prepared_fold, df, time_col, cut, stages, freq))) for cut in cuts]
         pending = [
             [pool.submit(inheritable_thread_target(partial(race.work, t, fold))) for t in range(n_trials)] for fold in range(len(cuts))
         ]
@@ -231,6 +232,8 @@ def search(
             fresh = [k for k in list(race.scores) if k not in noted]
             _note(spark, ledger, fresh, race.scores, names, cuts)
             noted.update(fresh)
+        for fold in folds:  # also of folds that nothing was fitted on
+            fold.result()
     rows = [
         (t, names[t], cuts[f], *[float(v[m]) for m in METRICS], t in race.left and race.left[t] < len(cuts) - 1)
         for (t, f), v in sorted(race.kept().items())

@@ -1,9 +1,11 @@
 """The parameter search as a race over folds."""
 
 import random
+import threading
 from datetime import date
 
 import pytest
+from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
@@ -130,3 +132,28 @@ def test_trials_do_not_count_their_fold_again(data, monkeypatch):
     monkeypatch.setattr(SE, "fitted", lambda *a, **k: seen.append(k["counts"]) or original(*a, **k))
     run(data)
     assert seen and all(n == n0 + n1 for n0, n1, n in seen) and len(set(seen)) == 4
+
+
+def test_trials_run_while_later_folds_are_prepared(data, monkeypatch):
+    begun, prepare, fit = threading.Event(), SE.prepared_fold, SE.fitted
+
+    def waiting(df, time_col, cut, *rest):
+        assert cut < date(2020, 5, 1) or begun.wait(60)
+        return prepare(df, time_col, cut, *rest)
+
+    def noted(*args, **settings):
+        begun.set()
+        return fit(*args, **settings)
+
+    monkeypatch.setattr(SE, "prepared_fold", waiting)
+    monkeypatch.setattr(SE, "fitted", noted)
+    assert run(data, prune=False).count() == 4 * 4
+
+
+def test_random_draws_are_made_once(data):
+    drawn = [NumericImputer(inputCols=["a", "b"], strategy="random", keyCols=["client_id", "mon"]), VectorAssembler(inputCols=["a", "b"], outputCol="features")]
+    model, rows = ML.fitted_stages(drawn, data)
+    again = Pipeline(stages=drawn).fit(data).transform(data)
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (rows, again)]
+    assert ["ArrowEvalPython" in p for p in plans] == [False, True]
+    assert sorted(map(str, rows.collect())) == sorted(map(str, again.collect())) == sorted(map(str, model.transform(data).collect()))
